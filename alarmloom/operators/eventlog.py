@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alarmloom.operators.ordering import join_per_group, next_row, number_rows, running_total
-from alarmloom.operators.sizing import GROUP_ROWS, keep_matching, small_side
+from alarmloom.operators.sizing import GROUP_ROWS, join_by_weight, small_side
 
 LOG = ["label", "state"]
 
@@ -42,10 +42,15 @@ def traces(events: DataFrame, keys: list[str]) -> DataFrame:
 SIGNATURE = ["n_events", "signature_a", "signature_b"]
 
 
-def variants(trace_rows: DataFrame, log: list[str] = LOG) -> DataFrame:
-    """Traces grouped by activity sequence, with count and smallest case id."""
+def variants(trace_rows: DataFrame, log: list[str] = LOG, ids: list[str] = ("case_id",)) -> DataFrame:
+    """Traces grouped by activity sequence, with count, smallest case id and a first trace.
+
+    The struct column `first` identifies one trace of the variant by ids.
+    """
     return trace_rows.groupBy(*log, *SIGNATURE).agg(
-        F.count("*").alias("n_traces"), F.min("case_id").alias("first_case")
+        F.count("*").alias("n_traces"),
+        F.min("case_id").alias("first_case"),
+        F.min(F.struct(*ids)).alias("first"),
     )
 
 
@@ -106,21 +111,28 @@ def filter_variants(
     if abs(threshold - 1.0) < 0.001:
         return events
     trace_rows = traces(events, keys).persist()
-    kept = kept_variants(variants(trace_rows, log), threshold, log)
-    kept_traces = keep_matching(trace_rows, kept, [*log, *SIGNATURE], "n_traces").select(
+    matched = [*log, *SIGNATURE]
+    kept = kept_variants(variants(trace_rows, log), threshold, log).select(*matched, "n_traces")
+    kept_traces = join_by_weight(trace_rows, kept, matched, "n_traces", "left_semi").select(
         *keys, F.col("last_packet_no").alias("_last")
     )
     return join_per_group(events, kept_traces, keys, "packet_no", split, "left_semi")
 
 
 def variant_steps(
-    events: DataFrame, variant_rows: DataFrame, log: list[str] = LOG, split: int | None = None
+    events: DataFrame,
+    variant_rows: DataFrame,
+    log: list[str] = LOG,
+    ids: list[str] = ("case_id",),
+    split: int | None = None,
 ) -> DataFrame:
-    """Activity sequence of each variant, read from its first trace, one row per step."""
-    chosen = variant_rows.select(
-        *log, F.col("first_case").alias("case_id"), "n_traces", F.col("n_events").alias("_last")
-    )
-    return join_per_group(events, chosen, [*log, "case_id"], "event_no", split, "inner")
+    """Activity sequence of each variant, read from its first trace, one row per step.
+
+    The first traces can be many; Spark chooses the join, and a long trace is
+    joined piece by piece.
+    """
+    chosen = variant_rows.select(*log, "first.*", "n_traces", F.col("n_events").alias("_last"))
+    return join_per_group(events, chosen, [*log, *ids], "event_no", split, "inner")
 
 
 def directly_follows(

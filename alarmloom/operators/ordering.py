@@ -93,7 +93,7 @@ def _comparable(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-def _piece_column(position: str, split: int) -> Column:
+def piece_column(position: str, split: int) -> Column:
     return F.floor(F.col(position) / F.lit(split)).cast("bigint")
 
 
@@ -104,7 +104,7 @@ def running_total(
     if split is None:
         so_far = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(so_far))
-    pieces = df.withColumn(_PIECE, _piece_column(position, split)).withColumn("_value", value)
+    pieces = df.withColumn(_PIECE, piece_column(position, split)).withColumn("_value", value)
     piece_keys = [*keys, _PIECE]
     inside = Window.partitionBy(*piece_keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
@@ -126,23 +126,34 @@ def next_row(
     df: DataFrame, keys: list[str], position: str, columns: list[str], out: str, split: int | None = None
 ) -> DataFrame:
     """Struct of the columns of the next row in the group; null on the last row."""
+    return _neighbour(df, keys, position, columns, out, split, F.lead, F.min_by)
+
+
+def previous_row(
+    df: DataFrame, keys: list[str], position: str, columns: list[str], out: str, split: int | None = None
+) -> DataFrame:
+    """Struct of the columns of the previous row in the group; null on the first row."""
+    return _neighbour(df, keys, position, columns, out, split, F.lag, F.max_by)
+
+
+def _neighbour(df, keys, position, columns, out, split, step, edge_row) -> DataFrame:
     held = F.struct(*columns)
     if split is None:
-        return df.withColumn(out, F.lead(held).over(Window.partitionBy(*keys).orderBy(position)))
-    pieces = df.withColumn(_PIECE, _piece_column(position, split))
+        return df.withColumn(out, step(held).over(Window.partitionBy(*keys).orderBy(position)))
+    pieces = df.withColumn(_PIECE, piece_column(position, split))
     piece_keys = [*keys, _PIECE]
-    following = (
+    across = (
         pieces.groupBy(*piece_keys)
-        .agg(F.min_by(held, position).alias("_first"))
-        .withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy(_PIECE)))
-        .drop("_first")
+        .agg(edge_row(held, position).alias("_edge"))
+        .withColumn("_across", step("_edge").over(Window.partitionBy(*keys).orderBy(_PIECE)))
+        .drop("_edge")
     )
     inside = Window.partitionBy(*piece_keys).orderBy(position)
     return (
-        pieces.withColumn("_next", F.lead(held).over(inside))
-        .join(following, piece_keys, "left")
-        .withColumn(out, F.coalesce("_next", "_after"))
-        .drop(_PIECE, "_next", "_after")
+        pieces.withColumn("_inside", step(held).over(inside))
+        .join(across, piece_keys, "left")
+        .withColumn(out, F.coalesce("_inside", "_across"))
+        .drop(_PIECE, "_inside", "_across")
     )
 
 
@@ -167,7 +178,7 @@ def join_per_group(
     """
     if split is None:
         return df.join(facts.drop("_last"), keys, how)
-    numbers = F.sequence(F.lit(0).cast("bigint"), _piece_column("_last", split))
+    numbers = F.sequence(F.lit(0).cast("bigint"), piece_column("_last", split))
     per_piece = facts.withColumn(_PIECE, F.explode(numbers)).drop("_last")
-    pieces = df.withColumn(_PIECE, _piece_column(position, split))
+    pieces = df.withColumn(_PIECE, piece_column(position, split))
     return pieces.join(per_piece, [*keys, _PIECE], how).drop(_PIECE)

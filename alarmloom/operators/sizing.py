@@ -22,21 +22,23 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def keep_matching(
-    df: DataFrame, kept: DataFrame, keys: list[str], weight: str, max_rows: int = BROADCAST_ROWS
+def join_by_weight(
+    df: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Rows of df whose keys appear in kept (one row per key, weight = rows of df with it).
+    """Inner or left semi join with facts that hold one row per key.
 
-    A large kept side is joined by shuffle, except for its heavy keys: at most
-    one key per GROUP_ROWS rows of df can be heavy, and those are broadcast.
+    The weight column tells how many rows of df have the key. Small facts are
+    broadcast. Large ones are joined by shuffle, except for their heavy keys:
+    at most one key per GROUP_ROWS rows of df can be heavy, and those are
+    broadcast, so no task gets all rows of a heavy key.
     """
-    known = small_side(kept.select(*keys, weight), max_rows)
-    heavy = small_side(known.where(F.col(weight) > GROUP_ROWS).select(*keys), max_rows)
-    if known.limit(max_rows + 1).count() <= max_rows:
-        return df.join(known.select(*keys), keys, "left_semi")
-    light = known.where(F.col(weight) <= GROUP_ROWS).select(*keys)
-    rest = df.join(heavy, keys, "left_anti").join(light, keys, "left_semi")
-    return df.join(heavy, keys, "left_semi").unionByName(rest)
+    small = small_side(facts, max_rows)
+    if small is not facts:
+        return df.join(small.drop(weight), keys, how)
+    heavy = small_side(facts.where(F.col(weight) > GROUP_ROWS), max_rows).drop(weight)
+    light = facts.where(F.col(weight) <= GROUP_ROWS).drop(weight)
+    rest = df.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how)
+    return df.join(heavy, keys, how).unionByName(rest)
 
 
 def longest_group(df: DataFrame, keys: list[str]) -> int:
