@@ -21,7 +21,7 @@ from alarmloom.operators.sizing import join_by_weight
 from alarmloom.operators.trees import LOG_MOVE, Markings, Net, advance, concurrent_parts, read_trees
 from alarmloom.shipping import ensure_on_workers
 
-PART = "part"
+PART = "model_part"
 # Cells of the cost table that one batch of sequences may fill.
 BATCH_CELLS = 20_000_000
 

@@ -1,8 +1,9 @@
 """Size checks that decide how a plan is laid out."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows of one ordered group that a single task is asked to sort.
 GROUP_ROWS = 1_000_000
@@ -52,18 +53,24 @@ def split_rows(longest: int, limit: int = GROUP_ROWS) -> int | None:
     return None if longest <= limit else limit
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names, or a folder of its own in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = tempfile.mkdtemp(prefix="alarmloom-")
+    return folder
 
-    A folder of its own is made only in local mode with none configured.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, for tables that a job writes and reads back."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the session names."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="alarmloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

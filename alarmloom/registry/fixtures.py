@@ -4,10 +4,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from alarmloom.operators.eventlog import number_events
-from alarmloom.operators.ordering import number_rows
+from alarmloom.operators.eventlog import number_events, traces, variant_steps, variants
+from alarmloom.operators.ordering import join_per_group, number_rows
 from alarmloom.operators.sizing import longest_group, split_rows
+from alarmloom.operators.split import split_traces
 from alarmloom.operators.windows import full_windows, route_windows, with_first_sender
+from alarmloom.schema import TCP_FLAG_BITS
 
 WINDOW = 3
 CASE = ["label", "phase", "case_id"]
@@ -97,3 +99,166 @@ def state_events(source: Packets) -> DataFrame:
 
 def numbered_events(source: Packets) -> DataFrame:
     return number_events(state_events(source), TRACE, source.split)
+
+
+def training(rows: DataFrame) -> DataFrame:
+    return rows.where("phase = 'training'")
+
+
+def inference(rows: DataFrame) -> DataFrame:
+    return rows.where("phase = 'inference'")
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow records of `lineitem`."""
+    identifier = F.concat_ws(
+        "_",
+        *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+        F.col("l_shipdate").cast("date").cast("string"),
+    )
+    handshake = F.when(F.col("l_partkey") % 7 == 0, "not a complete handshake")
+    return table(spark, sf_dir, "lineitem").select(
+        identifier.alias("flow_identifier"),
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        (F.col("l_quantity") - 1).alias("duration"),
+        F.col("l_returnflag").alias("protocol"),
+        handshake.otherwise(F.col("l_extendedprice").cast("string")).alias("delta_start"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("label"),
+    )
+
+
+FLOW_FEATURES = ["quantity", "price", "discount", "tax", "delta_start"]
+FLOW_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def embedding_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide flow records of `embeddings`: vectors with label 9 are the attacks."""
+    values = F.transform("embedding", lambda x: (x.cast("double") + 1) / 2)
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), values.alias("features"), F.when(F.col("label") == 9, -1).otherwise(1).alias("label")
+    )
+
+
+DETECTORS = ["toxic_flag", "low_quality", "odd_id"]
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of three rules over `labels`, in long form."""
+    flagged = [
+        F.struct(F.lit("toxic_flag").alias("model"), (F.col("toxic") == 1).alias("flag")),
+        F.struct(F.lit("low_quality").alias("model"), (F.col("quality") == 0).alias("flag")),
+        F.struct(F.lit("odd_id").alias("model"), (F.col("doc_id") % 2 == 1).alias("flag")),
+    ]
+    return table(spark, sf_dir, "labels").withColumn("_m", F.explode(F.array(*flagged))).select(
+        F.col("_m.model").alias("model"),
+        F.col("doc_id").alias("id"),
+        F.when(F.col("doc_id") % 4 != 0, 1).otherwise(-1).alias("y_true"),
+        F.when(F.col("_m.flag"), -1).otherwise(1).alias("y_pred"),
+    )
+
+
+def conversation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event log of `conversations`: case is the conversation, activity the role."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.lit("conversation").alias("log"),
+        F.col("conv_id").alias("case_id"),
+        "turn",
+        F.col("role").alias("activity"),
+        F.length("text").cast("bigint").alias("payload_size"),
+        F.timestamp_seconds("turn").alias("ts"),
+    )
+    numbered = number_rows(turns, ["log", "case_id"], ["turn"], "event_no")
+    return numbered.withColumn("packet_no", F.col("event_no"))
+
+
+def window_cases(source: Packets) -> DataFrame:
+    """Events with every full window as a case of its own: short traces, repeated variants."""
+    events = route_windows(windows(source, HELD), rule_state(), CASE)
+    place = F.col("packet_no") - F.col("window_no") * WINDOW
+    return events.withColumn("case_id", F.concat_ws("#", "case_id", "window_no")).withColumn("event_no", place)
+
+
+def parts_of_training(events: DataFrame, split: int | None) -> tuple[DataFrame, DataFrame]:
+    """Training events split by trace into training and validation."""
+    fitted = training(events)
+    sizes = fitted.groupBy(*TRACE).agg(F.max("packet_no").alias("_last"))
+    marked = join_per_group(fitted, split_traces(sizes, ["state"], 0.2), TRACE, "packet_no", split, "inner")
+    return marked.where("part = 'training'"), marked.where("part = 'validation'")
+
+
+def placeholder_fitness(events: DataFrame) -> DataFrame:
+    """A stand-in fitness per trace and state that SQL can express."""
+    sizes = events.groupBy(*TRACE).agg(F.count("*").alias("n"))
+    return sizes.select(*TRACE, (F.lit(1.0) - (F.col("n") % 7) / F.lit(10.0)).alias("fitness"))
+
+
+def model_steps(events: DataFrame, split: int | None) -> DataFrame:
+    """Training variants of every state, one row per step, ready for discovery."""
+    ids = ["label", "phase", "case_id"]
+    rows = variants(traces(events, TRACE), ["state"], ids)
+    return variant_steps(events, rows, ["state"], ids, split).select(
+        "state",
+        F.col("case_id").alias("sid"),
+        F.col("event_no").alias("pos"),
+        "activity",
+        F.col("n_traces").alias("weight"),
+    )
+
+
+CAPTURE_PACKETS = 100_000
+
+
+def capture_files(numbered: DataFrame) -> DataFrame:
+    """Capture bytes of the packets, one file per flow and 100,000 packets.
+
+    Later files of a flow get a case id of their own, as rotated captures do.
+    """
+
+    def big(value: Column, octets: int) -> Column:
+        return F.lpad(F.hex(value), 2 * octets, "0")
+
+    def address(text: Column) -> Column:
+        return F.concat(*[big(F.split(text, r"\.")[i].cast("bigint"), 1) for i in range(4)])
+
+    names = F.split("tcp_flag", r"\+")
+    bits = sum(
+        (F.when(F.array_contains(names, name), bit).otherwise(0) for bit, name in TCP_FLAG_BITS), F.lit(0)
+    ).cast("bigint")
+    micros = F.unix_micros("ts")
+    length = F.lit(54) + F.col("payload_size")
+    record = F.concat(
+        big(F.floor(micros / 1_000_000), 4),
+        big(micros % 1_000_000, 4),
+        big(length, 4),
+        big(length, 4),
+        F.lit("00" * 12 + "0800" + "4500"),
+        big(F.lit(40) + F.col("payload_size"), 2),
+        F.lit("00000000" + "4006" + "0000"),
+        address(F.col("src_ip")),
+        address(F.col("dst_ip")),
+        big(F.col("src_port").cast("bigint"), 2),
+        big(F.col("dst_port").cast("bigint"), 2),
+        F.lit("00" * 8 + "50"),
+        big(bits, 1),
+        F.lit("00" * 6),
+        F.repeat(F.lit("00"), F.col("payload_size").cast("int")),
+    )
+    piece = F.floor((F.col("packet_no") - 1) / CAPTURE_PACKETS)
+    ordered = F.array_sort(F.collect_list(F.struct("packet_no", record.alias("hex"))))
+    header = F.lit("A1B2C3D4" + "00020004" + "00" * 8 + "0000FFFF" + "00000001")
+    suffix = F.when(F.col("piece") > 0, F.concat(F.lit("."), F.col("piece").cast("string"))).otherwise("")
+    return (
+        numbered.groupBy("label", "case_id", piece.alias("piece"))
+        .agg(F.array_join(ordered["hex"], "").alias("body"))
+        .select(
+            F.concat_ws("/", F.lit("captures"), "label", F.concat("case_id", suffix, F.lit(".pcap"))).alias("path"),
+            F.unhex(F.concat(header, "body")).alias("content"),
+        )
+    )

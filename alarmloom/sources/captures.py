@@ -106,16 +106,15 @@ def decode_capture(path: str, data: bytes) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=DECODED.names)
 
 
-def decode_files(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded records of all `.pcap` files below a path, error rows included."""
-    ensure_on_workers(spark)
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.pcap")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path", "content")
-    )
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path and content of all `.pcap` files below a path."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").option("recursiveFileLookup", True)
+    return reader.load(path).select("path", "content")
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """Decoded records of capture files (path, content), error rows included."""
+    ensure_on_workers(files.sparkSession)
 
     def decode(frames):
         for frame in frames:
@@ -144,7 +143,7 @@ def packets_of(decoded: DataFrame) -> DataFrame:
 
 def read_captures(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
     """Packets with client address and direction."""
-    return with_direction(packets_of(decode_files(spark, path)), split=split)
+    return with_direction(packets_of(decode_files(read_files(spark, path))), split=split)
 
 
 def ingest_errors(decoded: DataFrame) -> DataFrame:
