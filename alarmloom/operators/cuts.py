@@ -1,5 +1,6 @@
 """Choice of a cut for one directly-follows graph (a few dozen activities)."""
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 
@@ -11,9 +12,31 @@ class FollowsGraph:
     starts: set[str] = field(default_factory=set)
     ends: set[str] = field(default_factory=set)
     activities: set[str] = field(default_factory=set)
+    occurrences: Counter = field(default_factory=Counter)
+    holds: Counter = field(default_factory=Counter)
+    own_successors: set[str] = field(default_factory=set)
     n_events: int = 0
     n_traces: int = 0
 
+    def add(self, kind: str, a: str | None, b: str | None, n: int, kept: bool) -> None:
+        """Take in one count; pairs that are not kept count as events but not as edges."""
+        if kind == "holds":
+            self.holds[a] += n
+        elif a is None:
+            self.n_traces += n
+            if kept:
+                self.starts.add(b)
+        else:
+            self.activities.add(a)
+            self.occurrences[a] += n
+            self.n_events += n
+            if a == b:
+                self.own_successors.add(a)
+            if kept and b is None:
+                self.ends.add(a)
+            elif kept:
+                self.edges[a, b] = n
+
     def follows(self, a: str, b: str) -> bool:
         return (a, b) in self.edges
 

@@ -31,61 +31,44 @@ def mark_frequent(pairs: DataFrame, noise: float, keys: list[str]) -> DataFrame:
     return pairs.withColumn("kept", F.col("n") >= F.lit(float(noise)) * strongest)
 
 
-def _count_pairs(sublog: DataFrame, log: list[str], split: int | None) -> DataFrame:
-    """Weighted counts of (a, b); a is null before the first event, b after the last."""
-    sid = [*log, "node", "sid"]
+def _count(sublog: DataFrame, log: list[str], noise: float, split: int | None) -> DataFrame:
+    """Weighted counts per node, of two kinds.
+
+    `pair`: a is directly followed by b; a is null before the first event, b
+    after the last. `holds`: subtraces that hold a, however often.
+    """
+    node = [*log, "node"]
+    sid = [*node, "sid"]
     placed = next_row(sublog, sid, "pos", ["activity"], "_next", split)
     placed = previous_row(placed, sid, "pos", ["activity"], "_prev", split)
     onward = F.struct(F.col("activity").alias("a"), F.col("_next.activity").alias("b"))
     opening = F.struct(F.lit(None).cast("string").alias("a"), F.col("activity").alias("b"))
-    pairs = F.when(F.col("_prev").isNull(), F.array(onward, opening)).otherwise(F.array(onward))
-    return (
-        placed.select(*log, "node", "weight", F.explode(pairs).alias("_p"))
-        .groupBy(*log, "node", "_p.a", "_p.b")
+    both = F.when(F.col("_prev").isNull(), F.array(onward, opening)).otherwise(F.array(onward))
+    pairs = (
+        placed.select(*node, "weight", F.explode(both).alias("_p"))
+        .groupBy(*node, "_p.a", "_p.b")
         .agg(F.sum("weight").alias("n"))
     )
+    once = sublog.groupBy(*sid, F.col("activity").alias("a")).agg(F.max("weight").alias("_w"))
+    holds = once.groupBy(*node, "a").agg(F.sum("_w").alias("n"))
+    return (
+        mark_frequent(pairs, noise, node)
+        .withColumn("kind", F.lit("pair"))
+        .unionByName(holds.withColumns({"kind": F.lit("holds"), "b": F.lit(None).cast("string"), "kept": F.lit(True)}))
+    )
 
 
-def _graphs(pairs: DataFrame, log: list[str], noise: float) -> dict[tuple, FollowsGraph]:
-    node = [*log, "node"]
-    pairs = mark_frequent(pairs, noise, node)
-    rows = pairs.limit(MAX_PAIRS + 1).collect()
+def _graphs(counts: DataFrame, log: list[str]) -> dict[tuple, FollowsGraph]:
+    rows = counts.limit(MAX_PAIRS + 1).collect()
     if len(rows) > MAX_PAIRS:
         raise ValueError(f"more than {MAX_PAIRS} directly-follows pairs: too many distinct activities")
     graphs: dict[tuple, FollowsGraph] = defaultdict(FollowsGraph)
     for row in rows:
-        graph = graphs[tuple(row[c] for c in node)]
-        a, b, n = row["a"], row["b"], row["n"]
-        if a is None:
-            graph.n_traces += n
-            if row["kept"]:
-                graph.starts.add(b)
-            continue
-        graph.activities.add(a)
-        graph.n_events += n
-        if row["kept"]:
-            if b is None:
-                graph.ends.add(a)
-            else:
-                graph.edges[a, b] = n
+        graph = graphs[(*(row[c] for c in log), row["node"])]
+        graph.add(row["kind"], row["a"], row["b"], row["n"], row["kept"])
     return graphs
 
 
-def _once_per_trace(sublog: DataFrame, log: list[str], open_nodes: DataFrame) -> dict[tuple, list[tuple[str, int]]]:
-    """Activities with, per node, the weight of the traces that have them exactly once."""
-    node = [*log, "node"]
-    counts = (
-        sublog.join(F.broadcast(open_nodes), node, "left_semi")
-        .groupBy(*node, "sid", "activity")
-        .agg(F.count("*").alias("_n"), F.max("weight").alias("_w"))
-    )
-    once = counts.groupBy(*node, "activity").agg(F.sum(F.when(F.col("_n") == 1, F.col("_w")).otherwise(0)).alias("w"))
-    found = defaultdict(list)
-    for row in once.collect():
-        found[tuple(row[c] for c in node)].append((row["activity"], row["w"]))
-    return found
-
-
 def discover_trees(
     steps: DataFrame, log: list[str], noise: float = 0.0, split: int | None = None
 ) -> DataFrame:
@@ -95,7 +78,6 @@ def discover_trees(
     fits its tree.
     """
     spark = steps.sparkSession
-    node = [*log, "node"]
     sublog = steps.select(*log, F.lit("0").alias("node"), "sid", "pos", "activity", "weight").persist()
     level, finished = 0, []
     total: dict[tuple, int] = {}
@@ -103,104 +85,109 @@ def discover_trees(
     schema = _tree_schema(steps, log)
     assign_type = _assign_schema(steps, log)
     while True:
-        pairs = _count_pairs(sublog, log, split)
-        graphs = _graphs(pairs, log, noise)
+        graphs = _graphs(_count(sublog, log, noise, split), log)
         for older in finished:
             older.unpersist()
         finished = [sublog]
-        if not graphs:
-            break
         assigned: list[tuple] = []
-        undecided: dict[tuple, FollowsGraph] = {}
         for key, graph in sorted(graphs.items()):
-            place = _Place(key[:-1], key[-1], tree_rows, assigned)
-            everything = total.pop(key, graph.n_traces)
-            if everything - graph.n_traces > noise * everything:
-                place.add("xor")
-                place.tau(0)
-                place.child(1, graph.activities, total, graph.n_traces)
-            elif len(graph.activities) == 1 and graph.n_events == graph.n_traces:
-                place.add("activity", next(iter(graph.activities)))
-            elif len(graph.activities) == 1:
-                place.add("loop")
-                place.leaf(0, next(iter(graph.activities)))
-                place.tau(1)
-            else:
-                cut = choose_cut(graph)
-                if cut is None:
-                    undecided[key] = graph
-                    continue
-                operator, parts = cut
-                place.add(operator)
-                move = "loop" if operator == "loop" else "choose" if operator == "xor" and noise > 0 else "keep"
-                shared = graph.n_traces if operator in ("sequence", "parallel") else None
-                for i, part in enumerate(parts):
-                    place.child(i, part, total, shared, move)
-        if undecided:
-            rows = [(*key,) for key in undecided]
-            once = _once_per_trace(sublog, log, spark.createDataFrame(rows, _node_schema(steps, log)))
-            for key, graph in sorted(undecided.items()):
-                place = _Place(key[:-1], key[-1], tree_rows, assigned)
-                single = sorted(a for a, w in once[key] if w == graph.n_traces)
-                if single:
-                    place.add("parallel")
-                    place.leaf(0, single[0])
-                    place.child(1, graph.activities - {single[0]}, total, graph.n_traces)
-                    continue
-                turn = any((e, s) in graph.edges for e in graph.ends for s in graph.starts)
-                again = any(s in graph.starts for _, s in graph.edges)
-                if turn or again:
-                    place.add("loop")
-                    place.child(
-                        0, graph.activities, total, None, "turn" if turn else "start", graph.starts, graph.ends
-                    )
-                    place.tau(1)
-                else:
-                    place.add("loop")
-                    place.flower(0, sorted(graph.activities))
-                    place.tau(1)
+            _Place(key, graph, noise, total, tree_rows, assigned).grow()
         if not assigned:
             break
         level += 1
         moves = {row[-3] for row in assigned}
         moved = _move(sublog, spark.createDataFrame(assigned, assign_type), moves, log, split)
         sublog = cut_lineage(moved) if level % LEVELS_PER_CHECKPOINT == 0 else moved.persist()
+    sublog.unpersist()
     return spark.createDataFrame(tree_rows, schema)
 
 
 class _Place:
-    """Collects the tree rows and event moves of one node."""
-
-    def __init__(self, key: tuple, node: str, tree_rows: list, assigned: list):
-        self.key, self.node, self.tree_rows, self.assigned = key, node, tree_rows, assigned
-
-    def _row(self, node: str, operator: str, activity: str | None) -> None:
+    """One open node: adds its tree rows, and the moves of its events to new nodes."""
+
+    def __init__(self, key: tuple, graph: FollowsGraph, noise: float, total: dict, tree_rows: list, assigned: list):
+        self.key, self.node, self.graph, self.noise = key[:-1], key[-1], graph, noise
+        self.everything = total.pop(key, graph.n_traces)
+        self.total, self.tree_rows, self.assigned = total, tree_rows, assigned
+
+    def grow(self) -> None:
+        graph = self.graph
+        if self._optional(self.everything, graph.n_traces):
+            self._row(self.node, "xor")
+            self._row(f"{self.node}.0", "tau")
+            self._child(1, sorted(graph.activities), graph.n_traces)
+        elif len(graph.activities) == 1:
+            self._single(self.node, *graph.activities, repeated=graph.n_events > graph.n_traces)
+        elif cut := choose_cut(graph):
+            operator, parts = cut
+            self._row(self.node, operator)
+            move = "loop" if operator == "loop" else "choose" if operator == "xor" and self.noise > 0 else "keep"
+            shared = graph.n_traces if operator in ("sequence", "parallel") else None
+            for i, part in enumerate(parts):
+                self._child(i, part, shared, move)
+        else:
+            self._fall_through()
+
+    def _fall_through(self) -> None:
+        """No cut: an activity that every trace has once, else rounds, else any order."""
+        graph = self.graph
+        once = [a for a in sorted(graph.activities) if graph.n_traces == graph.holds[a] == graph.occurrences[a]]
+        turns = any((e, s) in graph.edges for e in graph.ends for s in graph.starts)
+        restarts = any(s in graph.starts for _, s in graph.edges)
+        if once:
+            self._row(self.node, "parallel")
+            self._row(f"{self.node}.0", "activity", once[0])
+            self._child(1, sorted(graph.activities - {once[0]}), graph.n_traces)
+            return
+        self._row(self.node, "loop")
+        self._row(f"{self.node}.1", "tau")
+        if turns or restarts:
+            self._child(0, sorted(graph.activities), None, "turn" if turns else "start")
+        else:
+            self._row(f"{self.node}.0", "xor")
+            for j, activity in enumerate(sorted(graph.activities)):
+                self._row(f"{self.node}.0.{j}", "activity", activity)
+
+    def _row(self, node: str, operator: str, activity: str | None = None) -> None:
         parent, _, position = node.rpartition(".")
         self.tree_rows.append((*self.key, node, parent or None, int(position), operator, activity))
 
-    def add(self, operator: str, activity: str | None = None) -> None:
-        self._row(self.node, operator, activity)
-
-    def tau(self, i: int) -> None:
-        self._row(f"{self.node}.{i}", "tau", None)
-
-    def leaf(self, i: int, activity: str) -> None:
-        self._row(f"{self.node}.{i}", "activity", activity)
-
-    def flower(self, i: int, activities: list[str]) -> None:
-        self._row(f"{self.node}.{i}", "xor", None)
-        for j, activity in enumerate(activities):
-            self._row(f"{self.node}.{i}.{j}", "activity", activity)
-
-    def child(self, i, activities, total, weight, move="keep", starts=(), ends=()) -> None:
-        """Events of the activities go on to child i; weight counts its empty traces too."""
-        name = f"{self.node}.{i}"
+    def _optional(self, everything: int, present: int) -> bool:
+        return everything - present > self.noise * everything
+
+    def _single(self, node: str, activity: str, repeated: bool, optional: bool = False) -> None:
+        """Leaf rows of a part with one activity."""
+        if optional:
+            self._row(node, "xor")
+            self._row(f"{node}.0", "tau")
+            node = f"{node}.1"
+        if repeated:
+            self._row(node, "loop")
+            self._row(f"{node}.0", "activity", activity)
+            self._row(f"{node}.1", "tau")
+        else:
+            self._row(node, "activity", activity)
+
+    def _child(self, i: int, activities: list[str], weight: int | None, move: str = "keep") -> None:
+        """Part i. One activity is settled by the counts at hand; events of more go on to a new node.
+
+        weight is the number of subtraces of the part, empty ones included.
+        """
+        graph, name = self.graph, f"{self.node}.{i}"
+        if len(activities) == 1 and move in ("keep", "loop"):
+            (activity,) = activities
+            held = graph.holds[activity]
+            if move == "loop":
+                self._single(name, activity, activity in graph.own_successors)
+            else:
+                optional = weight is not None and self._optional(weight, held)
+                self._single(name, activity, graph.occurrences[activity] > held, optional)
+            return
         if weight is not None:
-            total[(*self.key, name)] = weight
-        for activity in sorted(activities):
-            self.assigned.append(
-                (*self.key, self.node, activity, name, i, move, activity in starts, activity in ends)
-            )
+            self.total[(*self.key, name)] = weight
+        for activity in activities:
+            starts, ends = activity in graph.starts, activity in graph.ends
+            self.assigned.append((*self.key, self.node, activity, name, i, move, starts, ends))
 
 
 def _log_types(steps: DataFrame, log: list[str]) -> str:
@@ -211,10 +198,6 @@ def _tree_schema(steps: DataFrame, log: list[str]) -> str:
     return _log_types(steps, log) + "node string, parent string, position int, operator string, activity string"
 
 
-def _node_schema(steps: DataFrame, log: list[str]) -> str:
-    return _log_types(steps, log) + "node string"
-
-
 def _assign_schema(steps: DataFrame, log: list[str]) -> str:
     return (
         _log_types(steps, log)

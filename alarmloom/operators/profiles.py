@@ -1,6 +1,6 @@
 """Activity profiles of traces and states, and their cosine similarity."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from alarmloom.functions.numbers import ratio
 from alarmloom.functions.packets import payload_or_zero
@@ -45,10 +45,6 @@ def trace_payloads(events: DataFrame, keys: list[str]) -> DataFrame:
     return named.groupBy(*keys, "activity").agg(mean.alias("value"), F.count("*").alias("n"))
 
 
-def _norms(profile: DataFrame, state: list[str]) -> DataFrame:
-    return profile.groupBy(*state).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
-
-
 def cosine_to_profile(
     vectors: DataFrame, profile: DataFrame, keys: list[str], value: str = "value", state: list[str] = STATE
 ) -> DataFrame:
@@ -58,8 +54,11 @@ def cosine_to_profile(
     gives 0. The profile holds one row per state and activity and is broadcast
     after its size is checked.
     """
-    known = small_side(profile.select(*state, "activity", F.col("value").alias("_weight")))
-    norms = small_side(_norms(known.withColumn("value", F.col("_weight")), state))
+    weights = profile.select(*state, "activity", F.col("value").alias("_weight"))
+    known = small_side(weights)
+    norms = known.groupBy(*state).agg(F.sqrt(F.sum(F.col("_weight") * F.col("_weight"))).alias("_norm"))
+    if known is not weights:
+        norms = F.broadcast(norms)
     mine = F.col(value).cast("double")
     sums = (
         vectors.join(known, [*state, "activity"], "left")
