@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alarmloom.operators.eventlog import SIGNATURE, traces, variant_steps, variants
-from alarmloom.operators.ordering import piece_column
 from alarmloom.operators.sizing import join_by_weight
 from alarmloom.operators.trees import LOG_MOVE, Markings, Net, advance, concurrent_parts, read_trees
 from alarmloom.shipping import ensure_on_workers
@@ -55,10 +54,10 @@ class Models:
 
 
 def _sequences(steps: DataFrame, keys: list[str], split: int | None) -> DataFrame:
-    """Activity arrays per sequence and piece; a piece holds at most `split` positions."""
-    piece = F.lit(0).cast("bigint") if split is None else piece_column("event_no", split)
+    """Activity arrays per sequence and piece; a piece holds at most `split` events, from 1 on."""
+    piece = F.lit(0) if split is None else F.floor((F.col("event_no") - 1) / F.lit(split))
     ordered = F.array_sort(F.collect_list(F.struct("event_no", "activity")))
-    return steps.groupBy(*keys, piece.alias("piece")).agg(ordered["activity"].alias("activities"))
+    return steps.groupBy(*keys, piece.cast("bigint").alias("piece")).agg(ordered["activity"].alias("activities"))
 
 
 def _batches(batch: pd.DataFrame, keys: list[str], parts: dict) -> Iterator[tuple]:

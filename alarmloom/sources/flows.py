@@ -38,11 +38,12 @@ def _scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def _headers(spark: SparkSession, path: str) -> list:
     """First line of every file: one short row per file."""
     lines = spark.read.option("pathGlobFilter", "*.csv").text(path)
-    first = F.min_by("value", F.monotonically_increasing_id())
+    opening = lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("line")
+    )
     return (
-        lines.where("_metadata.file_block_start = 0")
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(first.alias("header"))
+        opening.groupBy("file")
+        .agg(F.min_by("value", "line").alias("header"))
         .orderBy("file")
         .collect()
     )
