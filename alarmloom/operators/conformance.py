@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alarmloom.operators.eventlog import SIGNATURE, traces, variant_steps, variants
-from alarmloom.operators.sizing import join_by_weight
+from alarmloom.operators.sizing import join_by_weight, split_rows
 from alarmloom.operators.trees import LOG_MOVE, Markings, Net, advance, concurrent_parts, read_trees
 from alarmloom.shipping import ensure_on_workers
 
 PART = "model_part"
+# Events of a variant that one row may hold; longer variants are run in pieces.
+SEQUENCE_EVENTS = 50_000
 # Cells of the cost table that one batch of sequences may fill.
 BATCH_CELLS = 20_000_000
 
@@ -189,6 +191,13 @@ def align_sequences(
     )
 
 
+def piece_length(trace_rows: DataFrame, split: int | None) -> int | None:
+    """Piece length for variants, or None when each fits one row."""
+    longest = trace_rows.agg(F.max("n_events").alias("n")).first()["n"] or 0
+    limit = min(split or SEQUENCE_EVENTS, SEQUENCE_EVENTS)
+    return split_rows(longest, limit)
+
+
 class Alignments:
     """Variants aligned with their log's model.
 
@@ -208,8 +217,9 @@ class Alignments:
         self.traces = traces(events, trace).persist()
         rows = variants(self.traces, log, ids).join(models.shortest(), log)
         steps = variant_steps(events, rows, log, ids, split)
+        piece = piece_length(self.traces, split)
         moves = F.arrays_zip(F.col("labels").alias("activity"), F.col("synced").alias("n"))
-        aligned = align_sequences(steps, models, ids, split).withColumn("_moves", moves)
+        aligned = align_sequences(steps, models, ids, piece).withColumn("_moves", moves)
         # One row per part of the model, at most one part per activity.
         per_first = aligned.groupBy(*by_id).agg(
             F.sum("cost").alias("_cost"),
@@ -300,8 +310,8 @@ def _silent_path(net: Net, marking: Counter, wanted: tuple[int, ...]) -> list[in
 class _Replay:
     """Token counts of one sequence on one net; can stop and go on between pieces."""
 
-    def __init__(self, net: Net, saved: list[int] | None):
-        self.net = net
+    def __init__(self, net: Net, saved: list[int] | None, paths: dict):
+        self.net, self.paths = net, paths
         self.by_label = {label: i for i, (label, _, _) in enumerate(net.transitions) if label is not None}
         if saved is None:
             self.tokens = Counter({net.source: 1})
@@ -322,19 +332,25 @@ class _Replay:
         self.consumed += len(sources)
         self.produced += len(targets)
 
+    def _prepare(self, wanted: tuple[int, ...]) -> None:
+        """Fire silent transitions towards the wanted places; paths are kept for later rows."""
+        key = (wanted, tuple(sorted(self.tokens.items())))
+        if key not in self.paths:
+            self.paths[key] = _silent_path(self.net, self.tokens, wanted) or []
+        for silent in self.paths[key]:
+            self._fire(silent)
+
     def run(self, activities) -> None:
         for activity in activities:
             number = self.by_label.get(activity)
             if number is None:
                 continue
-            for silent in _silent_path(self.net, self.tokens, self.net.transitions[number][1]) or []:
-                self._fire(silent)
+            self._prepare(self.net.transitions[number][1])
             self._fire(number)
 
     def finish(self) -> tuple[int, int, int, int]:
         """Produced, consumed, missing and remaining tokens."""
-        for silent in _silent_path(self.net, self.tokens, (self.net.sink,)) or []:
-            self._fire(silent)
+        self._prepare((self.net.sink,))
         if self.tokens[self.net.sink] < 1:
             self.missing += 1
             self.tokens[self.net.sink] += 1
@@ -362,22 +378,26 @@ def token_replay(
     ensure_on_workers(spark)
     shared = spark.sparkContext.broadcast(nets)
     known = spark.createDataFrame(list(nets), "".join(f"{c} {tree.schema[c].dataType.simpleString()}, " for c in log)[:-2])
-    variant_rows = variants(traces(events, trace), log, ids).join(F.broadcast(known), log, "left_semi").persist()
+    trace_rows = traces(events, trace).persist()
+    variant_rows = variants(trace_rows, log, ids).join(F.broadcast(known), log, "left_semi").persist()
     steps = variant_steps(events, variant_rows, log, ids, split)
-    sequences = _sequences(steps, keys, split)
+    piece = piece_length(trace_rows, split)
+    sequences = _sequences(steps, keys, piece)
     key_types = "".join(f"{c} {steps.schema[c].dataType.simpleString()}, " for c in keys)
     sequences = sequences.withColumn("_last", F.max("piece").over(Window.partitionBy(*keys)))
     rounds = 0
-    if split is not None:
+    if piece is not None:
         sequences = sequences.persist()
         rounds = sequences.agg(F.max("piece")).first()[0] or 0
 
     def replay(batches):
+        paths: dict[tuple, dict] = defaultdict(dict)
         for batch in batches:
             out = {"saved": [], "counts": []}
             for _, row in batch.iterrows():
                 before = row["saved"]
-                run = _Replay(shared.value[tuple(row[c] for c in log)], None if before is None else list(before))
+                model = tuple(row[c] for c in log)
+                run = _Replay(shared.value[model], None if before is None else list(before), paths[model])
                 run.run(row["activities"])
                 out["counts"].append(list(run.finish()) if row["piece"] == row["_last"] else None)
                 out["saved"].append(None if row["piece"] == row["_last"] else run.saved())

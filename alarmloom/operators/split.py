@@ -3,7 +3,7 @@
 A row's hash is md5 of seed and id. A histogram of hash prefixes shows in which
 prefix the wanted rank falls; only the rows of that one prefix are ranked. The
 split itself is a comparison with the hash found, so rows are not shuffled.
-Row ids are expected to be unique within a group.
+Row ids are expected to be unique within a group; copies of an id stay together.
 """
 
 import math
@@ -56,10 +56,12 @@ def mark_share(
         .select(*keys, "_prefix", (F.col("_wanted") - (F.col("_until") - F.col("_n"))).alias("_rank"))
     )
     in_boundary = marked.withColumn("_prefix", prefix).join(boundary, [*keys, "_prefix"])
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", row_id))
+    until = Window.partitionBy(*keys).orderBy("_hash", row_id).rowsBetween(Window.unboundedPreceding, 0)
     cut = small_side(
-        in_boundary.withColumn("_position", position)
-        .where("_position = _rank")
+        in_boundary.groupBy(*keys, "_hash", row_id)
+        .agg(F.count("*").alias("_n"), F.any_value("_rank").alias("_rank"))
+        .withColumn("_until", F.sum("_n").over(until))
+        .where("_until >= _rank and _until - _n < _rank")
         .select(*keys, F.col("_hash").alias("_cut_hash"), F.col(row_id).alias("_cut_id"))
     )
     below = (F.col("_hash") < F.col("_cut_hash")) | (

@@ -215,6 +215,16 @@ def model_steps(events: DataFrame, split: int | None) -> DataFrame:
 CAPTURE_PACKETS = 100_000
 
 
+def with_real_addresses(rows: DataFrame) -> DataFrame:
+    """Client addresses as four octets; the user id may exceed one octet."""
+    user = F.substring_index("case_id", "_", -1).cast("bigint")
+    octets = [F.floor(user / scale % 256).cast("string") for scale in (65536, 256, 1)]
+    client = F.concat_ws(".", F.lit("10"), *octets)
+    return rows.withColumns(
+        {c: F.when(F.col(c).startswith("10."), client).otherwise(F.col(c)) for c in ("src_ip", "dst_ip")}
+    )
+
+
 def capture_files(numbered: DataFrame) -> DataFrame:
     """Capture bytes of the packets, one file per flow and 100,000 packets.
 

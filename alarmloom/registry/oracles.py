@@ -500,11 +500,16 @@ SELECT label, case_id, state, event_no, activity, strftime(ts, {STAMP}) AS ts_te
     "event_log_store": f"""WITH {EVENTS}
 SELECT label, state, case_id, event_no, activity, payload_size FROM numbered WHERE label = 'TP'""",
     "flow_csv_scan": f"""WITH {FLOWS} SELECT flow_identifier AS flow_id, duration, protocol, {_r6('price', 'delta_start')} FROM flows""",
-    "capture_ingest": f"""WITH {PACKETS}
+    "capture_ingest": f"""WITH {PACKETS}, addressed AS (
+  SELECT * REPLACE (CASE WHEN src_ip LIKE '10.%' THEN client ELSE src_ip END AS src_ip,
+                    CASE WHEN dst_ip LIKE '10.%' THEN client ELSE dst_ip END AS dst_ip)
+  FROM (SELECT *, concat_ws('.', 10, u // 65536 % 256, u // 256 % 256, u % 256) AS client
+        FROM (SELECT *, CAST(substr(case_id, 6) AS BIGINT) AS u FROM packets))
+)
 SELECT label, case_id || CASE WHEN packet_no > 100000 THEN '.' || CAST((packet_no - 1) // 100000 AS VARCHAR) ELSE '' END
          || '.pcap' AS case_id,
        (packet_no - 1) % 100000 + 1 AS packet_no, src_ip, dst_ip, src_port, dst_port, tcp_flag, payload_size, direction,
-       strftime(ts, {STAMP}) AS ts_text FROM packets""",
+       strftime(ts, {STAMP}) AS ts_text FROM addressed""",
     "alarm_semi_join": """SELECT o_orderkey AS id FROM orders
 WHERE o_orderstatus <> 'O' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
     "labelled_captures": f"WITH {RAW} SELECT DISTINCT case_id AS id FROM raw WHERE label = 'TP'",

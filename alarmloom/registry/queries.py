@@ -758,7 +758,7 @@ def flow_csv_scan(spark, sf_dir):
 def capture_ingest(spark, sf_dir):
     """Packets written as capture bytes and decoded again."""
     source = fx.packets(spark, sf_dir)
-    rows = captures.packets_of(captures.decode_files(fx.capture_files(source.rows)))
+    rows = captures.packets_of(captures.decode_files(fx.capture_files(fx.with_real_addresses(source.rows))))
     found = windows.with_direction(rows, split=source.split)
     return found.select(
         "label", "case_id", "packet_no", "src_ip", "dst_ip", F.col("src_port").cast("bigint").alias("src_port"),

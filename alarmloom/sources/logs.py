@@ -2,15 +2,15 @@
 
 Parquet tables partitioned by label and state are the store. XES files, one
 folder per label and state, are for exchange with other tools. A trace longer
-than PIECE events becomes several `trace` elements of the same name.
+than PIECE events becomes several `trace` elements of the same name, so that no
+row has to hold more.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from alarmloom.operators.ordering import piece_column
-from alarmloom.operators.sizing import GROUP_ROWS
 
-PIECE = GROUP_ROWS
+PIECE = 100_000
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 _ATTRIBUTES = T.ArrayType(
