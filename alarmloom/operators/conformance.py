@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from alarmloom.operators.eventlog import SIGNATURE, traces, variant_steps, variants
-from alarmloom.operators.sizing import join_by_weight, split_rows
+from alarmloom.operators.sizing import held_side, join_by_weight, split_rows
 from alarmloom.operators.trees import LOG_MOVE, Markings, Net, advance, concurrent_parts, read_trees
-from alarmloom.shipping import ensure_on_workers
+from alarmloom.shipping import ship_by_value
 
 PART = "model_part"
 # Events of a variant that one row may hold; longer variants are run in pieces.
@@ -28,7 +28,7 @@ BATCH_CELLS = 20_000_000
 
 
 class Models:
-    """Compiled parts of every log's tree, shared with the executors."""
+    """Compiled parts of every log's tree; small enough to travel with the tasks."""
 
     def __init__(self, tree: DataFrame, log: list[str]):
         self.log = list(log)
@@ -43,7 +43,7 @@ class Models:
     def part_of(self) -> DataFrame:
         """Part number of every activity of every log; held by the driver already."""
         rows = [(*key, label) for key, part in self.parts.items() for label in part.labels]
-        return F.broadcast(self.spark.createDataFrame(rows, f"{self.types}{PART} int, activity string"))
+        return held_side(self.spark.createDataFrame(rows, f"{self.types}{PART} int, activity string"), len(rows))
 
     def shortest(self) -> DataFrame:
         """Cost and visible moves of the cheapest run of every log's model, over all its parts."""
@@ -52,7 +52,8 @@ class Models:
             sums[key[:-1]][0] += part.shortest
             sums[key[:-1]][1] += part.shortest // LOG_MOVE
         rows = [(*key, *pair) for key, pair in sums.items()]
-        return F.broadcast(self.spark.createDataFrame(rows, f"{self.types}model_cost bigint, model_moves bigint"))
+        types = f"{self.types}model_cost bigint, model_moves bigint"
+        return held_side(self.spark.createDataFrame(rows, types), len(rows))
 
 
 def _sequences(steps: DataFrame, keys: list[str], split: int | None) -> DataFrame:
@@ -83,13 +84,13 @@ def _beyond(deviations: int, part: Markings) -> int:
     return int(deviations) - part.shortest // LOG_MOVE
 
 
-def _align_whole(sequences: DataFrame, keys: list[str], model_keys: list[str], shared) -> DataFrame:
+def _align_whole(sequences: DataFrame, keys: list[str], model_keys: list[str], parts: dict) -> DataFrame:
     """Cost and synchronous moves of sequences that are held in one piece."""
     key_types = "".join(f"{c} {sequences.schema[c].dataType.simpleString()}, " for c in keys)
 
     def align(batches):
         for batch in batches:
-            for part, rows, coded in _batches(batch, model_keys, shared.value):
+            for part, rows, coded in _batches(batch, model_keys, parts):
                 start = np.repeat(part.cost[0][None, :], len(coded), axis=0)
                 cost, origin, synced, strayed = advance(part, start, coded, track=True)
                 # The marking come from was reached by model moves before the first event.
@@ -105,14 +106,14 @@ def _align_whole(sequences: DataFrame, keys: list[str], model_keys: list[str], s
     return sequences.select(*keys, "activities").mapInPandas(align, key_types + RESULT)
 
 
-def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str], shared) -> DataFrame:
+def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str], parts: dict) -> DataFrame:
     """As _align_whole, for sequences in several pieces, with the pieces run in parallel."""
     key_types = "".join(f"{c} {sequences.schema[c].dataType.simpleString()}, " for c in keys)
     far = np.int64(1 << 40)
 
     def tables(batches):
         for batch in batches:
-            for part, rows, coded in _batches(batch, model_keys, shared.value):
+            for part, rows, coded in _batches(batch, model_keys, parts):
                 unit = np.full((part.size, part.size), far, dtype=np.int64)
                 np.fill_diagonal(unit, 0)
                 costs = [advance(part, unit, [c] * part.size, track=False)[0].ravel() for c in coded]
@@ -120,7 +121,7 @@ def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str],
 
     def entries(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("piece")
-        part = shared.value[tuple(held.iloc[0][model_keys])]
+        part = parts[tuple(held.iloc[0][model_keys])]
         now, starts = part.cost[0], []
         for costs in held["costs"]:
             starts.append(now)
@@ -130,7 +131,7 @@ def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str],
 
     def ways(batches):
         for batch in batches:
-            for part, rows, coded in _batches(batch, model_keys, shared.value):
+            for part, rows, coded in _batches(batch, model_keys, parts):
                 start = np.stack([np.asarray(s) for s in rows["start"]])
                 cost, origin, synced, strayed = advance(part, start, coded, track=True)
                 yield rows[[*keys, "piece"]].assign(
@@ -143,7 +144,7 @@ def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str],
 
     def chain(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("piece", ascending=False)
-        part = shared.value[tuple(held.iloc[0][model_keys])]
+        part = parts[tuple(held.iloc[0][model_keys])]
         at, deviations, total = part.final, 0, np.zeros(len(part.labels), dtype=np.int64)
         for origin, strayed, synced in zip(held["origin"], held["strayed"], held["synced"]):
             total += np.asarray(synced).reshape(part.size, -1)[at]
@@ -177,17 +178,17 @@ def align_sequences(
     """
     log = models.log
     keys, model_keys = [*log, *ids, PART], [*log, PART]
-    ensure_on_workers(models.spark)
-    shared = models.spark.sparkContext.broadcast(models.parts)
+    ship_by_value()
+    parts = models.parts
     placed = steps.join(models.part_of(), [*log, "activity"])
     sequences = _sequences(placed, keys, split)
     if split is None:
-        return _align_whole(sequences, keys, model_keys, shared)
+        return _align_whole(sequences, keys, model_keys, parts)
     counted = sequences.withColumn("_pieces", F.count("*").over(Window.partitionBy(*keys)))
     lone = counted.where("_pieces = 1").drop("_pieces")
     cut = counted.where("_pieces > 1").drop("_pieces")
-    return _align_whole(lone, keys, model_keys, shared).unionByName(
-        _align_pieces(cut, keys, model_keys, shared)
+    return _align_whole(lone, keys, model_keys, parts).unionByName(
+        _align_pieces(cut, keys, model_keys, parts)
     )
 
 
@@ -375,11 +376,10 @@ def token_replay(
     keys = [*log, *ids]
     spark = events.sparkSession
     nets = {key: Net(root) for key, root in read_trees([r.asDict() for r in tree.collect()], log).items()}
-    ensure_on_workers(spark)
-    shared = spark.sparkContext.broadcast(nets)
+    ship_by_value()
     known = spark.createDataFrame(list(nets), "".join(f"{c} {tree.schema[c].dataType.simpleString()}, " for c in log)[:-2])
     trace_rows = traces(events, trace).persist()
-    variant_rows = variants(trace_rows, log, ids).join(F.broadcast(known), log, "left_semi").persist()
+    variant_rows = variants(trace_rows, log, ids).join(held_side(known, len(nets)), log, "left_semi").persist()
     steps = variant_steps(events, variant_rows, log, ids, split)
     piece = piece_length(trace_rows, split)
     sequences = _sequences(steps, keys, piece)
@@ -397,7 +397,7 @@ def token_replay(
             for _, row in batch.iterrows():
                 before = row["saved"]
                 model = tuple(row[c] for c in log)
-                run = _Replay(shared.value[model], None if before is None else list(before), paths[model])
+                run = _Replay(nets[model], None if before is None else list(before), paths[model])
                 run.run(row["activities"])
                 out["counts"].append(list(run.finish()) if row["piece"] == row["_last"] else None)
                 out["saved"].append(None if row["piece"] == row["_last"] else run.saved())

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from alarmloom.operators.cuts import FollowsGraph, choose_cut
 from alarmloom.operators.ordering import join_per_group, next_row, previous_row, running_total
-from alarmloom.operators.sizing import cut_lineage
+from alarmloom.operators.sizing import cut_lineage, held_side
 from alarmloom.operators.trees import Net, read_trees
 
 # Directly-follows pairs of all open nodes that the driver will look at.
@@ -96,7 +96,8 @@ def discover_trees(
             break
         level += 1
         moves = {row[-3] for row in assigned}
-        moved = _move(sublog, spark.createDataFrame(assigned, assign_type), moves, log, split)
+        targets = held_side(spark.createDataFrame(assigned, assign_type), len(assigned))
+        moved = _move(sublog, targets, moves, log, split)
         sublog = cut_lineage(moved) if level % LEVELS_PER_CHECKPOINT == 0 else moved.persist()
     sublog.unpersist()
     return spark.createDataFrame(tree_rows, schema)
@@ -208,12 +209,9 @@ def _assign_schema(steps: DataFrame, log: list[str]) -> str:
 def _move(
     sublog: DataFrame, assigned: DataFrame, moves: set[str], log: list[str], split: int | None
 ) -> DataFrame:
-    """Events of the nodes that were cut, under their new node and subtrace id.
-
-    The assignment has one row per open node and activity, which MAX_PAIRS bounds.
-    """
+    """Events of the nodes that were cut, under their new node and subtrace id."""
     sid = [*log, "node", "sid"]
-    placed = sublog.join(F.broadcast(assigned), [*log, "node", "activity"])
+    placed = sublog.join(assigned, [*log, "node", "activity"])
     kept = placed.where("move = 'keep'")
     if "choose" in moves:
         kept = kept.unionByName(_main_part(placed.where("move = 'choose'"), sid, split))

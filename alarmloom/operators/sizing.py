@@ -23,6 +23,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def held_side(df: DataFrame, n_rows: int) -> DataFrame:
+    """Hint a broadcast for a table made from rows the driver holds, if they are few."""
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
 def join_by_weight(
     df: DataFrame, facts: DataFrame, keys: list[str], weight: str, how: str, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

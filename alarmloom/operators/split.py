@@ -20,28 +20,17 @@ def rank_hash(seed: int | Column, row_id: Column) -> Column:
     return F.md5(F.concat(seed_text, F.lit(":"), row_id.cast("string")))
 
 
-def mark_share(
-    df: DataFrame,
-    row_id: str,
-    share: float,
-    seed: int | Column,
-    out: str,
-    groups: list[str] = (),
-    rounding: str = "ceil",
-    lone_row: bool | None = None,
-) -> DataFrame:
-    """Add a boolean column that is true on exactly the wanted number of rows per group.
+def _cuts(hashed: DataFrame, row_id: str, share: float, groups: list[str], rounding: str, lone_row: bool | None):
+    """Per group, the last hash and id that belong to the share; no row where the share is empty.
 
-    The number is n * share, rounded by `ceil` or `floor`. With lone_row, a
-    group of a single row is marked with that value.
+    `hashed` holds the groups, `_hash` and the id. The share is n * share rounded
+    by `ceil` or `floor`; with lone_row, a group of one row is in or out of it.
     """
-    keys = list(groups) or ["_all"]
-    marked = df.withColumn("_all", F.lit(0)).withColumn("_hash", rank_hash(seed, F.col(row_id)))
     prefix = F.substring("_hash", 1, PREFIX)
-    per_group = Window.partitionBy(*keys)
+    per_group = Window.partitionBy(*groups)
     # At most 16**PREFIX prefixes per group reach these windows.
     counts = (
-        marked.groupBy(*keys, prefix.alias("_prefix"))
+        hashed.groupBy(*groups, prefix.alias("_prefix"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_until", F.sum("_n").over(per_group.orderBy("_prefix")))
         .withColumn("_total", F.sum("_n").over(per_group))
@@ -53,42 +42,75 @@ def mark_share(
     boundary = small_side(
         counts.withColumn("_wanted", wanted)
         .where("_until >= _wanted and _until - _n < _wanted")
-        .select(*keys, "_prefix", (F.col("_wanted") - (F.col("_until") - F.col("_n"))).alias("_rank"))
+        .select(*groups, "_prefix", (F.col("_wanted") - (F.col("_until") - F.col("_n"))).alias("_rank"))
     )
-    in_boundary = marked.withColumn("_prefix", prefix).join(boundary, [*keys, "_prefix"])
-    until = Window.partitionBy(*keys).orderBy("_hash", row_id).rowsBetween(Window.unboundedPreceding, 0)
-    cut = small_side(
-        in_boundary.groupBy(*keys, "_hash", row_id)
+    until = Window.partitionBy(*groups).orderBy("_hash", row_id).rowsBetween(Window.unboundedPreceding, 0)
+    return small_side(
+        hashed.withColumn("_prefix", prefix)
+        .join(boundary, [*groups, "_prefix"])
+        .groupBy(*groups, "_hash", row_id)
         .agg(F.count("*").alias("_n"), F.any_value("_rank").alias("_rank"))
         .withColumn("_until", F.sum("_n").over(until))
         .where("_until >= _rank and _until - _n < _rank")
-        .select(*keys, F.col("_hash").alias("_cut_hash"), F.col(row_id).alias("_cut_id"))
-    )
-    below = (F.col("_hash") < F.col("_cut_hash")) | (
-        (F.col("_hash") == F.col("_cut_hash")) & (F.col(row_id) <= F.col("_cut_id"))
+        .select(*groups, F.col("_hash").alias("_cut_hash"), F.col(row_id).alias("_cut_id"))
     )
+
+
+def _up_to(row_hash: Column, row_id: Column, cut_hash: Column, cut_id: Column) -> Column:
+    return (row_hash < cut_hash) | ((row_hash == cut_hash) & (row_id <= cut_id))
+
+
+def mark_share(
+    df: DataFrame,
+    row_id: str,
+    share: float,
+    seed: int | Column,
+    out: str,
+    groups: list[str],
+    rounding: str = "ceil",
+    lone_row: bool | None = None,
+) -> DataFrame:
+    """Add a boolean column that is true on exactly the wanted number of rows per group."""
+    marked = df.withColumn("_hash", rank_hash(seed, F.col(row_id)))
+    cuts = _cuts(marked.select(*groups, "_hash", row_id), row_id, share, groups, rounding, lone_row)
+    inside = _up_to(F.col("_hash"), F.col(row_id), F.col("_cut_hash"), F.col("_cut_id"))
     return (
-        marked.join(cut, keys, "left")
-        .withColumn(out, F.coalesce(below, F.lit(False)))
-        .drop("_all", "_hash", "_cut_hash", "_cut_id")
+        marked.join(cuts, groups, "left")
+        .withColumn(out, F.coalesce(inside, F.lit(False)))
+        .drop("_hash", "_cut_hash", "_cut_id")
     )
 
 
+def in_share(df: DataFrame, row_id: str, share: float, seed: int, rounding: str = "ceil") -> Column:
+    """Condition that holds on exactly the wanted number of rows of df.
+
+    The cut is one hash, found by two small jobs; the condition compares with it.
+    """
+    row_hash = rank_hash(seed, F.col(row_id))
+    hashed = df.select(F.lit(0).alias("_all"), row_hash.alias("_hash"), row_id)
+    cut = _cuts(hashed, row_id, share, ["_all"], rounding, None).first()
+    if cut is None:
+        return F.lit(False)
+    return _up_to(row_hash, F.col(row_id), F.lit(cut["_cut_hash"]), F.lit(cut["_cut_id"]))
+
+
 def holdout(df: DataFrame, row_id: str, share: float = 0.4, seed: int = 42) -> DataFrame:
     """Column `part`: `test` on ceil(n * share) rows, else `train`."""
-    marked = mark_share(df, row_id, share, seed, "_test")
-    return marked.withColumn("part", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
+    return df.withColumn("part", F.when(in_share(df, row_id, share, seed), "test").otherwise("train"))
 
 
 def detection_parts(
     flows: DataFrame, row_id: str, label: str = "label", test: float = 0.4, validation: float = 0.14, seed: int = 42
 ) -> DataFrame:
-    """Parts of a detection run: normal rows to train, validation and test, attacks to test."""
-    normal = holdout(flows.where(F.col(label) == 1), row_id, test, seed)
-    fitted = holdout(normal.where("part = 'train'").drop("part"), row_id, validation, seed)
-    fitted = fitted.withColumn("part", F.when(F.col("part") == "test", "validation").otherwise("train"))
-    attacks = flows.where(F.col(label) == -1).withColumn("part", F.lit("test"))
-    return fitted.unionByName(normal.where("part = 'test'")).unionByName(attacks)
+    """Parts of a detection run: normal rows to train, validation and test, attacks to test.
+
+    Both cuts are found first, so the rows are read once and labelled in place.
+    """
+    normal = flows.where(F.col(label) == 1)
+    tested = in_share(normal, row_id, test, seed)
+    validated = in_share(normal.where(~tested), row_id, validation, seed)
+    part = F.when(F.col(label) == -1, "test").when(tested, "test").when(validated, "validation").otherwise("train")
+    return flows.where(F.col(label).isin(1, -1)).withColumn("part", part)
 
 
 def repeated_alarm_split(

@@ -1,20 +1,13 @@
-"""Makes the package importable in Python workers."""
+"""Sends the package's functions to Python workers inside the job itself."""
 
-import shutil
-import tempfile
-from pathlib import Path
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
 
-_shipped: set[str] = set()
+_PACKAGE = sys.modules[__package__]
 
 
-def ensure_on_workers(spark: SparkSession) -> None:
-    """Send the package to the executors with the job, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).parent
-    target = Path(tempfile.mkdtemp(prefix="alarmloom-")) / package.name
-    context.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
-    _shipped.add(context.applicationId)
+def ship_by_value() -> None:
+    """Pickle functions and classes of this package by value, so that workers need no copy of it."""
+    if _PACKAGE.__name__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(_PACKAGE)

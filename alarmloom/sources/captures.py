@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from alarmloom.functions.packets import epoch_timestamp, ipv4_text, tcp_flag_names
 from alarmloom.operators.windows import with_direction
 from alarmloom.schema import INGEST_ERROR_SCHEMA
-from alarmloom.shipping import ensure_on_workers
+from alarmloom.shipping import ship_by_value
 
 # Fixed values of the capture format: magic number to byte order and time unit.
 MAGIC = {
@@ -114,7 +114,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def decode_files(files: DataFrame) -> DataFrame:
     """Decoded records of capture files (path, content), error rows included."""
-    ensure_on_workers(files.sparkSession)
+    ship_by_value()
 
     def decode(frames):
         for frame in frames:
