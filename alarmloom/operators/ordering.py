@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alarmloom.operators.sizing import GROUP_ROWS, longest_group, small_side
@@ -72,15 +73,28 @@ def _cut_long_groups(df: DataFrame, keys: list[str], order_col: str, limit: int)
     marked = df.join(long_keys.withColumn("_long", F.lit(True)), keys, "left")
     if not cuts:
         return marked.withColumn(_PIECE, F.lit(0)).drop("_long")
-    bounds = np.array(cuts, dtype=object if isinstance(cuts[0], str) else None)
+    found = _interval(marked.withColumn("_value", F.coalesce(value, F.lit(cuts[0]))), cuts)
+    piece = F.when(F.col("_long") & value.isNotNull(), F.col("_interval")).otherwise(F.lit(0))
+    return found.withColumn(_PIECE, piece).drop("_long", "_value", "_interval")
+
+
+def _interval(df: DataFrame, cuts: list) -> DataFrame:
+    """Column `_interval`: how many cut points are not above `_value`."""
+    if not isinstance(cuts[0], str):
+        # Rounding to double keeps the order, so intervals still follow the values.
+        splits = sorted({float(cut) for cut in cuts})
+        bucketizer = Bucketizer(
+            splits=[-math.inf, *splits, math.inf], inputCol="_number", outputCol="_interval"
+        )
+        numbers = df.withColumn("_number", F.col("_value").cast("double"))
+        return bucketizer.transform(numbers).withColumn("_interval", F.col("_interval").cast("int")).drop("_number")
+    bounds = np.array(cuts, dtype=object)
 
     @F.pandas_udf("int")
-    def piece_of(held: pd.Series) -> pd.Series:
+    def interval(held: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, held.to_numpy(), side="right").astype("int32"))
 
-    cut = piece_of(F.coalesce(value, F.lit(cuts[0])))
-    piece = F.when(F.col("_long") & value.isNotNull(), cut).otherwise(F.lit(0))
-    return marked.withColumn(_PIECE, piece).drop("_long")
+    return df.withColumn("_interval", interval("_value"))
 
 
 def _comparable(df: DataFrame, name: str) -> Column:

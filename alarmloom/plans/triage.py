@@ -90,8 +90,10 @@ def train(
     )
     tree = discovery.discover_trees(steps, model, noise, split_at)
 
-    counts = conformance.Alignments(fitted, tree, model, trace, split_at).sync_counts()
-    held_counts = conformance.Alignments(held_out, tree, model, trace, split_at).sync_counts()
+    # One pass aligns both parts: variants they share are aligned once.
+    with_part = [*trace[:-1], "part", trace[-1]]
+    synced = conformance.Alignments(marked, tree, model, with_part, split_at).sync_counts().persist()
+    counts, held_counts = synced.where("part = 'training'"), synced.where("part = 'validation'")
     control = profiles.control_flow_profile(counts, model)
     durations = windows.event_durations(marked, trace, "packet_no", split_at)
     timing = profiles.timing_profile(durations.where("part = 'training'"), model)

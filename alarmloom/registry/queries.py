@@ -655,7 +655,9 @@ def _scores(spark, sf_dir, detector) -> DataFrame:
 @query
 def detector_comparison(spark, sf_dir):
     """All detectors on the cleaned and scaled flows, as a metrics report."""
-    prepared = detection.prepare_flows(fx.flows(spark, sf_dir), fx.FLOW_FEATURES, ["l_orderkey"])
+    prepared = detection.prepare_flows(
+        fx.flows(spark, sf_dir), fx.FLOW_FEATURES, fx.FLOW_IDS, "protocol", fx.FLOW_IDS
+    )
     detectors = [
         OneClassSvm(components=64, rounds=2),
         Autoencoder(first=16, second=8, rounds=2),
