@@ -86,6 +86,28 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class Vocabulary(dict):
+    """Numbers of words in order of appearance, and their 64-bit hashes."""
+
+    def __init__(self):
+        self.words: list[bytes] = []
+        self.hashes = np.empty(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of the words; hashes is then up to date."""
+        numbers = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        fresh = self.words[len(self.hashes) :]
+        if fresh:
+            more = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
+            self.hashes = np.concatenate((self.hashes, more))
+        return numbers
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit numbers; one to one."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -98,7 +120,7 @@ def shingles(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, np.uint64(salt) * ODD + np.uint64(size), np.uint64)
+    out = np.full(n, (salt * 0x9E3779B97F4A7C15 + size) & (1 << 64) - 1, np.uint64)
     for k in range(size):
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += words[k : k + n]
@@ -167,3 +189,48 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def referenced(docs: DataFrame) -> DataFrame:
+    """Columns doc_id, id (never null), ref (names the row) and text as UTF-8 bytes.
+
+    ref is the id where ids are unique, and else a 64-bit hash of id and text: rows that
+    repeat both share it and get the same result.
+    """
+    rows = keyed(docs)
+    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null or doc_id is null and count > 1")
+    ref = F.col("id") if twice.isEmpty() else F.xxhash64("id", "key")
+    return rows.select("doc_id", "id", ref.alias("ref"), "text")
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which compress well."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows with the column ranges: all packed ranges that were found for their ref."""
+    held = ranges.groupBy("ref").agg(F.collect_list("ranges").alias("ranges"))
+    return rows.join(held, "ref", "left")
+
+
+def read_ranges(packed: list[bytes] | None) -> np.ndarray:
+    """Rows (start, end) of the packed ranges of one text."""
+    return np.frombuffer(b"".join(packed or []), np.int64).reshape(-1, 2)
+
+
+RANGES_SQL = "ref bigint, ranges binary"
+BUCKETS_SQL = "bucket bigint, packed binary"
+BUCKETS = pa.schema([("bucket", pa.int64()), ("packed", pa.binary())])
+
+
+def range_rows(ref: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """One row per ref with its ranges packed."""
+    pairs = np.stack([start, end], axis=1).astype(np.int64)
+    refs, rows = [], []
+    order = np.argsort(ref, kind="stable")
+    cuts = np.flatnonzero(np.diff(ref[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        refs.append(int(ref[part[0]]))
+        rows.append(pairs[part].tobytes())
+    return refs, rows

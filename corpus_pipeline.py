@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alarmloom.llm import decontaminate, pieces, quality, secrets
+from alarmloom.llm import decontaminate, jaccard, pieces, quality, secrets
 from alarmloom.operators.sizing import shared_folder
 
 
@@ -15,6 +15,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filtered(docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five words, similarity 0.8)."""
+    return jaccard.representatives(docs, size=5, part=80, whole=100)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of the benchmark are cut out."""
     return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -32,6 +37,7 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
     ("benchmark_decontamination", benchmark_decontamination),
     ("secret_scans", secret_scans),
     ("sentencepiece_encoding", sentencepiece_encoding),
