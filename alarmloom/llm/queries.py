@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alarmloom.llm import decontaminate, html, jaccard, pieces, quality, secrets, superkmers
+from alarmloom.llm import decontaminate, html, jaccard, pieces, quality, secrets, suffixes, superkmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), size=3, part=90, whole=100)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 400-byte strings that also start elsewhere."""
+    return suffixes.deduplicate(table(spark, sf_dir, "documents"), depth=400).drop("kept")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that lie in a window of the benchmark."""
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
@@ -52,6 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
