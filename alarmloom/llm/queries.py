@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alarmloom.llm import decontaminate, html, jaccard, pieces, quality, secrets, suffixes, superkmers
+from alarmloom.llm import decontaminate, html, jaccard, lattice, pieces, quality, secrets, suffixes, superkmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
+def op4_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline and lattice scores of documents."""
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the pieces of every document and of the text decoded from them."""
     return pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))).drop("text")
@@ -59,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_lattice_scores": op4_lattice_scores,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
     "op8_html": op8_html,
