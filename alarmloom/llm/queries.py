@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alarmloom.llm import decontaminate, html, jaccard, lattice, pieces, quality, secrets, suffixes, superkmers
+from alarmloom.llm import decontaminate, html, jaccard, lattice, pieces, pii, quality, secrets, suffixes, superkmers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op4_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the pieces of every document and of the text decoded from them."""
     return pieces.decode(pieces.encode(table(spark, sf_dir, "documents"))).drop("text")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_lattice_scores": op4_lattice_scores,
+    "op5_pii": op5_pii,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_secrets": op7_secrets,
     "op8_html": op8_html,
