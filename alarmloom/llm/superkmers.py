@@ -220,9 +220,11 @@ def _sorted(spread: DataFrame, window: int, n_buckets: int) -> DataFrame:
             texts.append(text)
         ids, refs, local, size = (np.concatenate(x).astype(np.int64) for x in (ids, refs, local, size))
         hit = repeated(b" ".join(texts).split(), size, ids, window, WordHashes())
-        # Starts of windows end with their string: its last words start none.
-        start, end = runs(hit)
-        first = np.cumsum(size) - size
+        # An unmarked place after each string keeps runs inside them.
+        marked = np.zeros(len(hit) + len(size), bool)
+        marked[np.arange(len(hit)) + np.repeat(np.arange(len(size)), size)] = hit
+        start, end = runs(marked)
+        first = np.cumsum(size + 1) - size - 1
         owner = np.searchsorted(first, start, side="right") - 1
         low = local[owner] + start - first[owner]
         columns = _range_columns(refs[owner], low, low + (end - start) + window - 1)
