@@ -371,12 +371,12 @@ def _spread(
             training = part.column("train").to_numpy(zero_copy_only=False)
             at = place[numbers]
             is_hot = at < len(hot)
-            logs = np.bincount(owner, weights=hot_logs[at], minlength=n_docs)
+            logs = np.bincount(owner, weights=hot_logs[at], minlength=n_docs).astype(np.float64)
             seen = is_hot & (np.append(hot_counts, 0)[at] > 0)
             n_known = np.bincount(owner[seen], minlength=n_docs)
             own = word_score(score[numbers[is_hot]], hot_counts[at[is_hot]], n_train)
-            total = np.bincount(owner[is_hot], weights=own, minlength=n_docs)
-            total += math.log10(end) + sizes * math.log10(1 - end)
+            total = np.bincount(owner[is_hot], weights=own, minlength=n_docs) + math.log10(end)
+            total += sizes * math.log10(1 - end)
             out: list[list] = [[], []]
             out[0].append(n_buckets + int(refs[0] % n_buckets))
             out[1].append(pack(refs, logs, n_known.astype(np.int64), sizes + 1, total))
