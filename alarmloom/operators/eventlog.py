@@ -14,10 +14,16 @@ def number_events(events: DataFrame, keys: list[str], split: int | None = None)
     return running_total(events, keys, "packet_no", one, "event_no", split)
 
 
-def time_ordered(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Renumber packets by timestamp, ties by packet number, for captures out of time order."""
-    numbered = number_rows(events, keys, ["ts", "packet_no"], "_time_no")
-    return numbered.drop("packet_no").withColumnRenamed("_time_no", "packet_no")
+def time_ordered(events: DataFrame, keys: list[str], split: int | None = None) -> DataFrame:
+    """Number the events of each trace by timestamp, ties by packet number.
+
+    Captures may be out of time order, so packet_no becomes the dense number in time
+    order, and event_no is the same number. Without a split no trace is longer than a
+    task should sort, and nothing is counted before the plan exists.
+    """
+    longest = 0 if split is None else None
+    numbered = number_rows(events, keys, ["ts", "packet_no"], "_time_no", split or GROUP_ROWS, longest)
+    return numbered.drop("packet_no").withColumnRenamed("_time_no", "packet_no").withColumn("event_no", F.col("packet_no"))
 
 
 def traces(events: DataFrame, keys: list[str]) -> DataFrame:

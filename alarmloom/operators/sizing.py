@@ -1,6 +1,5 @@
 """Size checks that decide how a plan is laid out."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -59,13 +58,9 @@ def split_rows(longest: int, limit: int = GROUP_ROWS) -> int | None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names, or a folder of its own in local mode."""
+    """The checkpoint folder the session names, or one below its warehouse; never a machine-local one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="alarmloom-")
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

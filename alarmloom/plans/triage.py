@@ -55,13 +55,13 @@ def window_rows(packets: DataFrame, size: int, keys: list[str], split_at: int |
 def state_events(
     labelled: DataFrame, keys: list[str], threshold: float = 1.0, split_at: int | None = None
 ) -> DataFrame:
-    """Numbered events of windows that carry a state, after variant filtering."""
+    """Events of windows that carry a state, in time order, after variant filtering.
+
+    Windows follow the order of capture; the log of a state follows time.
+    """
     trace = [*keys[:-1], "state", keys[-1]]
-    events = windows.route_windows(labelled, F.col("state"), keys)
-    kept = eventlog.filter_variants(
-        eventlog.number_events(events, trace, split_at), threshold, trace, trace[:-1], split_at
-    )
-    return kept
+    events = eventlog.time_ordered(windows.route_windows(labelled, F.col("state"), keys), trace, split_at)
+    return eventlog.filter_variants(events, threshold, trace, trace[:-1], split_at)
 
 
 def train(
@@ -84,7 +84,7 @@ def train(
     fitted, held_out = marked.where("part = 'training'"), marked.where("part = 'validation'")
 
     rows = eventlog.variants(eventlog.traces(fitted, trace), model, ids)
-    sid = F.concat_ws("|", *ids)
+    sid = F.to_json(F.struct(*ids), {"ignoreNullFields": "false"})
     steps = eventlog.variant_steps(fitted, rows, model, ids, split_at).select(
         *model, sid.alias("sid"), F.col("event_no").alias("pos"), "activity", F.col("n_traces").alias("weight")
     )

@@ -80,6 +80,14 @@ def packets(spark: SparkSession, sf_dir: str) -> Packets:
     return Packets(rows, split_rows(longest))
 
 
+def unordered_packets(spark: SparkSession, sf_dir: str) -> Packets:
+    """Packets numbered by a hash of their id, as in a capture out of time order."""
+    raw = raw_packets(spark, sf_dir).withColumn("_place", F.md5(F.col("event_id").cast("string").cast("binary")))
+    longest = longest_group(raw, CASE)
+    rows = number_rows(raw, CASE, ["_place", "event_id"], "packet_no", longest=longest).drop("_place")
+    return Packets(rows, split_rows(longest))
+
+
 HELD = ["ts", "direction", "tcp_flag", "payload_size"]
 
 
@@ -205,7 +213,7 @@ def model_steps(events: DataFrame, split: int | None) -> DataFrame:
     rows = variants(traces(events, TRACE), ["state"], ids)
     return variant_steps(events, rows, ["state"], ids, split).select(
         "state",
-        F.col("case_id").alias("sid"),
+        F.to_json(F.struct(*ids)).alias("sid"),
         F.col("event_no").alias("pos"),
         "activity",
         F.col("n_traces").alias("weight"),

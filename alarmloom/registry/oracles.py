@@ -124,6 +124,11 @@ levels AS (
   GROUP BY ALL
 )"""
 
+# The same path for packets numbered by a hash of their id: windows by packet_no, the log by time.
+UNORDERED = EVENTS.replace(
+    "ORDER BY ts, event_id) AS packet_no", "ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS packet_no"
+).replace("PARTITION BY state, case_id ORDER BY packet_no", "PARTITION BY state, case_id ORDER BY ts, packet_no")
+
 DURATIONS = f"""{EVENTS},
 nexts AS (
   SELECT *, lead(ts) OVER (PARTITION BY state, case_id ORDER BY packet_no) AS next_ts FROM log
@@ -364,6 +369,12 @@ FROM placed p JOIN windows w USING (case_id, window_no)""",
 SELECT label, case_id, state, window_no, event_no, activity, payload_size FROM numbered""",
     "time_ordered_log": f"""WITH {EVENTS}
 SELECT label, case_id, state, event_no, activity, payload_size FROM numbered""",
+    "unordered_capture_log": f"""WITH {UNORDERED}
+SELECT label, case_id, state, event_no, window_no, activity, payload_size FROM numbered""",
+    "unordered_event_durations": f"""WITH {UNORDERED},
+nexts AS (SELECT *, lead(ts) OVER (PARTITION BY state, case_id ORDER BY event_no) AS next_ts FROM numbered),
+durations AS (SELECT *, (epoch_us(next_ts) - epoch_us(ts)) / 1e6 AS duration FROM nexts WHERE next_ts >= ts)
+SELECT label, case_id, state, event_no, activity, {_r6('duration')} FROM durations""",
     "event_durations": f"""WITH {DURATIONS}
 SELECT label, case_id, state, packet_no, activity, {_r6('duration')} FROM durations""",
     "traces": f"""WITH {EVENTS} SELECT label, case_id, state, count(*) AS n_events, strftime(min(ts), {STAMP}) AS first_ts,

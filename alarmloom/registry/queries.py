@@ -258,6 +258,26 @@ def time_ordered_log(spark, sf_dir):
     return ordered.select(*ALARM, "state", F.col("packet_no").alias("event_no"), "activity", "payload_size")
 
 
+def _unordered_log(spark, sf_dir) -> tuple[DataFrame, int | None]:
+    """The product path on a capture out of time order, with states by rule."""
+    source = fx.unordered_packets(spark, sf_dir)
+    labelled = triage.window_rows(source.rows, fx.WINDOW, fx.CASE, source.split).withColumn("state", fx.rule_state())
+    return triage.state_events(labelled, fx.CASE, split_at=source.split), source.split
+
+
+@query
+def unordered_capture_log(spark, sf_dir):
+    events, _ = _unordered_log(spark, sf_dir)
+    return events.select(*ALARM, "state", "event_no", "window_no", "activity", "payload_size")
+
+
+@query
+def unordered_event_durations(spark, sf_dir):
+    events, split_at = _unordered_log(spark, sf_dir)
+    rows = windows.event_durations(events, fx.TRACE, "packet_no", split_at)
+    return rows.select(*ALARM, "state", "event_no", "activity", r6("duration"))
+
+
 @query
 def event_durations(spark, sf_dir):
     source = fx.packets(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from alarmloom.operators.ordering import number_rows
@@ -39,6 +40,8 @@ CUT = [
     "packets_with_features",
     "state_event_log",
     "event_durations",
+    "unordered_capture_log",
+    "unordered_event_durations",
     "directly_follows",
     "variant_filtered_log",
     "training_sync_moves",
@@ -55,7 +58,12 @@ def test_query_equals_sql_when_flows_are_cut(spark, duck, monkeypatch, name):
         raw = fx.raw_packets(session, sf_dir)
         return fx.Packets(number_rows(raw, fx.CASE, ["ts", "event_id"], "packet_no", limit=9), 9)
 
+    def cut_unordered(session, sf_dir):
+        raw = fx.raw_packets(session, sf_dir).withColumn("_place", F.md5(F.col("event_id").cast("string").cast("binary")))
+        return fx.Packets(number_rows(raw, fx.CASE, ["_place", "event_id"], "packet_no", limit=9).drop("_place"), 9)
+
     monkeypatch.setattr(fx, "packets", cut_packets)
+    monkeypatch.setattr(fx, "unordered_packets", cut_unordered)
     mine = QUERIES[name](spark, SF).toPandas()
     assert compare.difference(mine, duck.execute(ORACLES[name]).df()) is None
 
