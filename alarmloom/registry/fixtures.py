@@ -24,16 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of `events` before they are numbered."""
-    user, kind, event = F.col("user_id"), F.col("event_type"), F.col("event_id")
+    user, told, event = F.col("user_id"), F.col("event_type"), F.col("event_id")
     even_user = user % 2 == 0
     g = F.floor(user / 2) % 5
-    browse = kind.isin("view", "click")
-    kept = (
-        F.when(even_user | (g == 3), browse | (event % 8 == 0))
-        .when(g == 0, kind == "error")
-        .when(g == 1, kind.isin("signup", "purchase"))
-        .when(g == 2, F.lit(True))
-        .otherwise(kind.isin("error", "purchase") | ((kind == "view") & (event % 2 == 0)))
+
+    def instead(even: str, odd: str) -> Column:
+        return F.when(event % 2 == 0, even).otherwise(odd)
+
+    # Every event stays; the groups of users differ in the kinds they know.
+    kind = (
+        F.when(
+            even_user | (g == 3),
+            F.when(told.isin("view", "click") | (event % 8 == 0), told).otherwise(instead("view", "click")),
+        )
+        .when(g == 0, "error")
+        .when(g == 1, F.when(told.isin("signup", "purchase"), told).otherwise(instead("signup", "purchase")))
+        .when(g == 2, told)
+        .when(told.isin("error", "purchase") | ((told == "view") & (event % 2 == 0)), told)
+        .otherwise(instead("error", "purchase"))
     )
     upstream = kind.isin("signup", "view", "click")
     flag = (
@@ -49,7 +57,7 @@ def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     server_ip = F.concat(F.lit("192.168.0."), (k % 7).cast("string"))
     client_port = F.lit(40000) + k
     server_port = F.when(k % 5 != 0, F.lit(443)).otherwise(F.lit(8080))
-    return table(spark, sf_dir, "events").where(kept).select(
+    return table(spark, sf_dir, "events").select(
         F.when(even_user, "FP").otherwise("TP").alias("label"),
         F.when(user % 4 == 0, "training").otherwise("inference").alias("phase"),
         F.concat(F.lit("flow_"), user.cast("string")).alias("case_id"),

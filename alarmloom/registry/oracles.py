@@ -25,13 +25,21 @@ raw AS (
            '192.168.0.' || CAST(k % 7 AS VARCHAR) AS server_ip,
            40000 + k AS client_port,
            CASE WHEN k % 5 <> 0 THEN 443 ELSE 8080 END AS server_port
-    FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
+    FROM (
+      SELECT user_id, event_id, ts, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+             CASE WHEN user_id % 2 = 0 OR (user_id // 2) % 5 = 3 THEN
+                    CASE WHEN event_type IN ('view', 'click') OR event_id % 8 = 0 THEN event_type
+                         WHEN event_id % 2 = 0 THEN 'view' ELSE 'click' END
+                  WHEN (user_id // 2) % 5 = 0 THEN 'error'
+                  WHEN (user_id // 2) % 5 = 1 THEN
+                    CASE WHEN event_type IN ('signup', 'purchase') THEN event_type
+                         WHEN event_id % 2 = 0 THEN 'signup' ELSE 'purchase' END
+                  WHEN (user_id // 2) % 5 = 2 THEN event_type
+                  WHEN event_type IN ('error', 'purchase') OR (event_type = 'view' AND event_id % 2 = 0) THEN event_type
+                  WHEN event_id % 2 = 0 THEN 'error' ELSE 'purchase' END AS event_type
+      FROM events
+    )
   )
-  WHERE CASE WHEN user_id % 2 = 0 OR g = 3 THEN event_type IN ('view', 'click') OR event_id % 8 = 0
-             WHEN g = 0 THEN event_type = 'error'
-             WHEN g = 1 THEN event_type IN ('signup', 'purchase')
-             WHEN g = 2 THEN true
-             ELSE event_type IN ('error', 'purchase') OR (event_type = 'view' AND event_id % 2 = 0) END
 )"""
 
 PACKETS = f"""{RAW},
