@@ -78,4 +78,70 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+ITEM_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": f"""WITH RECURSIVE
+w AS MATERIALIZED (SELECT doc_id, {WORDS.format(LOWER.format("text"))} AS words FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, CAST(greatest(len(words) - 1, 2) AS BIGINT))) AS i FROM w WHERE len(words) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op3_decontamination": f"""WITH
+w AS MATERIALIZED (SELECT doc_id, {ITEM_WORDS.format(LOWER.format("text"))} AS words FROM documents),
+items AS (SELECT item_id, {ITEM_WORDS.format(LOWER.format("text"))} AS words FROM benchmark),
+windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT *, least(10, len(words)) AS size, unnest(range(1, CAST(greatest(len(words) - 8, 2) AS BIGINT))) AS i
+        FROM items WHERE len(words) > 0)
+),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT w.*, size, unnest(range(1, CAST(greatest(len(words) - size + 2, 1) AS BIGINT))) AS i FROM w, sizes)
+),
+found AS MATERIALIZED (SELECT doc_id, size, i, item_id FROM places JOIN windows USING (size, phrase)),
+hits AS (
+  SELECT doc_id, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(CAST(i AS BIGINT), CAST(i + size AS BIGINT))) AS word FROM found) GROUP BY doc_id
+),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op10_substring_dedup": f"""WITH
+w AS MATERIALIZED (SELECT doc_id, {WORDS.format("text")} AS words FROM documents),
+places AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, CAST(greatest(len(words) - 11, 1) AS BIGINT))) AS i FROM w)
+),
+firsts AS (SELECT phrase, min(doc_id) AS least FROM places GROUP BY phrase),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(CAST(i AS BIGINT), CAST(i + 13 AS BIGINT))) AS place
+  FROM places JOIN firsts USING (phrase) WHERE least < doc_id
+),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS left_over
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, CAST(len(words) + 1 AS BIGINT))) AS place FROM w)
+  ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(left_over, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+}
