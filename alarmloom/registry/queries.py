@@ -660,12 +660,12 @@ def rff_svm_scores(spark, sf_dir):
 
 @query
 def autoencoder_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, Autoencoder(rounds=2))
+    return _scores(spark, sf_dir, Autoencoder())
 
 
 @query
 def vae_scores(spark, sf_dir):
-    return _scores(spark, sf_dir, VariationalAutoencoder(rounds=2))
+    return _scores(spark, sf_dir, VariationalAutoencoder())
 
 
 def _scores(spark, sf_dir, detector) -> DataFrame:
@@ -678,11 +678,7 @@ def detector_comparison(spark, sf_dir):
     prepared = detection.prepare_flows(
         fx.flows(spark, sf_dir), fx.FLOW_FEATURES, fx.FLOW_IDS, "protocol", fx.FLOW_IDS
     )
-    detectors = [
-        OneClassSvm(components=64, rounds=2),
-        Autoencoder(first=16, second=8, rounds=2),
-        VariationalAutoencoder(first=16, second=8, latent=2, rounds=2),
-    ]
+    detectors = [OneClassSvm(), Autoencoder(), VariationalAutoencoder()]
     return detection.compare(detection.run_detectors(prepared, detectors), [d.name for d in detectors])["report"]
 
 
