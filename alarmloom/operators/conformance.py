@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from alarmloom.operators.eventlog import SIGNATURE, traces, variant_steps, variants
 from alarmloom.operators.sizing import held_side, join_by_weight, split_rows
-from alarmloom.operators.trees import LOG_MOVE, Markings, Net, advance, concurrent_parts, read_trees
+from alarmloom.operators.trees import LOG_MOVE, Markings, Net, TooManyMarkings, advance, concurrent_parts, read_trees
 from alarmloom.shipping import ship_by_value
 
 PART = "model_part"
@@ -28,30 +28,44 @@ BATCH_CELLS = 20_000_000
 
 
 class Models:
-    """Compiled parts of every log's tree; small enough to travel with the tasks."""
+    """Compiled parts of every log's tree; small enough to travel with the tasks.
+
+    A log whose tree has a part with too many markings is in `failed`: its variants get
+    null alignments, and all other logs go on.
+    """
 
     def __init__(self, tree: DataFrame, log: list[str]):
         self.log = list(log)
         self.trees = read_trees([row.asDict() for row in tree.collect()], log)
         self.parts: dict[tuple, Markings] = {}
+        self.failed: dict[tuple, str] = {}
         for key, root in self.trees.items():
-            for number, part in enumerate(concurrent_parts(root)):
-                self.parts[(*key, number)] = Markings(part)
+            try:
+                held = [Markings(part) for part in concurrent_parts(root)]
+            except TooManyMarkings as error:
+                self.failed[key] = str(error)
+                continue
+            self.parts.update({(*key, number): part for number, part in enumerate(held)})
         self.spark = tree.sparkSession
         self.types = "".join(f"{c} {tree.schema[c].dataType.simpleString()}, " for c in log)
 
+    def quality(self) -> DataFrame:
+        """Logs whose model could not be compiled, and why."""
+        rows = [(*key, reason) for key, reason in self.failed.items()]
+        return self.spark.createDataFrame(rows, f"{self.types}problem string")
+
     def part_of(self) -> DataFrame:
         """Part number of every activity of every log; held by the driver already."""
         rows = [(*key, label) for key, part in self.parts.items() for label in part.labels]
         return held_side(self.spark.createDataFrame(rows, f"{self.types}{PART} int, activity string"), len(rows))
 
     def shortest(self) -> DataFrame:
-        """Cost and visible moves of the cheapest run of every log's model, over all its parts."""
+        """Cost and visible moves of the cheapest run of every log's model, over all its parts; null if it failed."""
         sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
         for key, part in self.parts.items():
             sums[key[:-1]][0] += part.shortest
             sums[key[:-1]][1] += part.shortest // LOG_MOVE
-        rows = [(*key, *pair) for key, pair in sums.items()]
+        rows = [(*key, *pair) for key, pair in sums.items()] + [(*key, None, None) for key in self.failed]
         types = f"{self.types}model_cost bigint, model_moves bigint"
         return held_side(self.spark.createDataFrame(rows, types), len(rows))
 
@@ -184,9 +198,12 @@ def align_sequences(
     sequences = _sequences(placed, keys, split)
     if split is None:
         return _align_whole(sequences, keys, model_keys, parts)
-    counted = sequences.withColumn("_pieces", F.count("*").over(Window.partitionBy(*keys)))
-    lone = counted.where("_pieces = 1").drop("_pieces")
-    cut = counted.where("_pieces > 1").drop("_pieces")
+    # Pieces are counted without their activities, and joined per piece.
+    numbers = placed.select(*keys, F.floor((F.col("event_no") - 1) / F.lit(split)).cast("bigint").alias("piece")).distinct()
+    counted = numbers.withColumn("_pieces", F.count("*").over(Window.partitionBy(*keys)))
+    sequences = sequences.join(counted, [*keys, "piece"]).persist()
+    lone = sequences.where("_pieces = 1").drop("_pieces")
+    cut = sequences.where("_pieces > 1").drop("_pieces")
     return _align_whole(lone, keys, model_keys, parts).unionByName(
         _align_pieces(cut, keys, model_keys, parts)
     )
@@ -204,7 +221,8 @@ class Alignments:
 
     `traces` has one row per trace with its signature; `variants` one row per
     log and variant with cost, deviations, worst case, fitness and the
-    synchronous moves as an array. Logs without a model are left out.
+    synchronous moves as an array. Logs without a model are left out; logs whose
+    model could not be compiled have null costs and a row in `quality`.
     """
 
     def __init__(
@@ -213,6 +231,7 @@ class Alignments:
         ids = [c for c in trace if c not in log]
         by_id = [*log, *ids]
         models = Models(tree, log)
+        self.quality = models.quality()
         self.log, self.trace = list(log), list(trace)
         self.matched = [*log, *SIGNATURE]
         self.traces = traces(events, trace).persist()
@@ -293,8 +312,6 @@ def _silent_path(net: Net, marking: Counter, wanted: tuple[int, ...]) -> list[in
         tokens, path = queue.popleft()
         if covered(tokens):
             return path
-        if len(path) >= len(net.transitions):
-            continue
         for number, (label, sources, targets) in enumerate(net.transitions):
             if label is None and all(tokens[p] >= 1 for p in sources):
                 after = tokens.copy()
@@ -337,6 +354,7 @@ class _Replay:
         """Fire silent transitions towards the wanted places; paths are kept for later rows."""
         key = (wanted, tuple(sorted(self.tokens.items())))
         if key not in self.paths:
+            # Without a silent path nothing fires, and the tokens that lack are counted as missing.
             self.paths[key] = _silent_path(self.net, self.tokens, wanted) or []
         for silent in self.paths[key]:
             self._fire(silent)
@@ -384,11 +402,15 @@ def token_replay(
     piece = piece_length(trace_rows, split)
     sequences = _sequences(steps, keys, piece)
     key_types = "".join(f"{c} {steps.schema[c].dataType.simpleString()}, " for c in keys)
-    sequences = sequences.withColumn("_last", F.max("piece").over(Window.partitionBy(*keys)))
     rounds = 0
-    if piece is not None:
-        sequences = sequences.persist()
-        rounds = sequences.agg(F.max("piece")).first()[0] or 0
+    if piece is None:
+        sequences = sequences.withColumn("_last", F.col("piece"))
+    else:
+        # The last piece follows from the length of the variant, without its activities.
+        numbers = steps.select(*keys, F.floor((F.col("event_no") - 1) / F.lit(piece)).cast("bigint").alias("piece")).distinct()
+        lasts = numbers.withColumn("_last", F.max("piece").over(Window.partitionBy(*keys)))
+        sequences = sequences.join(lasts, [*keys, "piece"]).persist()
+        rounds = lasts.agg(F.max("piece")).first()[0] or 0
 
     def replay(batches):
         paths: dict[tuple, dict] = defaultdict(dict)

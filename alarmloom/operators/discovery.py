@@ -3,15 +3,15 @@
 All open nodes of all logs are handled together. The table `sublog` holds one
 row per event of one trace per variant, with the variant's trace count as
 weight. Per level, Spark counts directly-follows pairs per node; the counts are
-at most the square of the number of activities, and the driver picks a cut for
-each node from them; Spark then moves every event to its part. Sequences are
+at most the square of the number of activities, and the driver reads them node by
+node and picks a cut from each; Spark then moves every event to its part. Sequences are
 never held as a whole, neither in a row nor in a task.
 
 Method: Leemans, Fahland and van der Aalst, inductive miner (2013) and its
 variant for infrequent behaviour (2014).
 """
 
-from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -20,8 +20,6 @@ from alarmloom.operators.ordering import join_per_group, next_row, previous_row,
 from alarmloom.operators.sizing import cut_lineage, held_side
 from alarmloom.operators.trees import Net, read_trees
 
-# Directly-follows pairs of all open nodes that the driver will look at.
-MAX_PAIRS = 2_000_000
 LEVELS_PER_CHECKPOINT = 6
 
 
@@ -58,15 +56,18 @@ def _count(sublog: DataFrame, log: list[str], noise: float, split: int | None) -
     )
 
 
-def _graphs(counts: DataFrame, log: list[str]) -> dict[tuple, FollowsGraph]:
-    rows = counts.limit(MAX_PAIRS + 1).collect()
-    if len(rows) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} directly-follows pairs: too many distinct activities")
-    graphs: dict[tuple, FollowsGraph] = defaultdict(FollowsGraph)
-    for row in rows:
-        graph = graphs[(*(row[c] for c in log), row["node"])]
+def _graphs(counts: DataFrame, log: list[str]) -> Iterator[tuple[tuple, FollowsGraph]]:
+    """Open nodes with their graphs, one at a time: the driver holds the pairs of one node only."""
+    key, graph = None, FollowsGraph()
+    for row in counts.orderBy(*log, "node").toLocalIterator():
+        own = (*(row[c] for c in log), row["node"])
+        if key is not None and own != key:
+            yield key, graph
+            graph = FollowsGraph()
+        key = own
         graph.add(row["kind"], row["a"], row["b"], row["n"], row["kept"])
-    return graphs
+    if key is not None:
+        yield key, graph
 
 
 def discover_trees(
@@ -85,13 +86,12 @@ def discover_trees(
     schema = _tree_schema(steps, log)
     assign_type = _assign_schema(steps, log)
     while True:
-        graphs = _graphs(_count(sublog, log, noise, split), log)
+        assigned: list[tuple] = []
+        for key, graph in _graphs(_count(sublog, log, noise, split), log):
+            _Place(key, graph, noise, total, tree_rows, assigned).grow()
         for older in finished:
             older.unpersist()
         finished = [sublog]
-        assigned: list[tuple] = []
-        for key, graph in sorted(graphs.items()):
-            _Place(key, graph, noise, total, tree_rows, assigned).grow()
         if not assigned:
             break
         level += 1

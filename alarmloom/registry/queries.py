@@ -379,7 +379,9 @@ def frequent_pairs(spark, sf_dir):
 def _discovered(spark, sf_dir) -> tuple[fx.Packets, DataFrame, DataFrame]:
     source = fx.packets(spark, sf_dir)
     events = fx.numbered_events(source).persist()
-    return source, events, discovery.discover_trees(fx.model_steps(fx.training(events), source.split), ["state"])
+    return source, events, discovery.discover_trees(
+        fx.model_steps(fx.training(events), source.split), ["state"], split=source.split
+    )
 
 
 @query
@@ -391,7 +393,9 @@ def discovered_model(spark, sf_dir):
 def discovered_model_noise(spark, sf_dir):
     source = fx.packets(spark, sf_dir)
     events = fx.numbered_events(source).persist()
-    return discovery.discover_trees(fx.model_steps(fx.training(events), source.split), ["state"], noise=0.2)
+    return discovery.discover_trees(
+        fx.model_steps(fx.training(events), source.split), ["state"], noise=0.2, split=source.split
+    )
 
 
 @query

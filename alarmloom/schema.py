@@ -42,36 +42,9 @@ BANDS = [
     ("BAND_99_100", None),
 ]
 
-PACKET_SCHEMA = T.StructType(
-    [
-        T.StructField("label", T.StringType()),
-        T.StructField("case_id", T.StringType()),
-        T.StructField("packet_no", T.LongType()),
-        T.StructField("epoch", T.DoubleType()),
-        T.StructField("src_ip", T.StringType()),
-        T.StructField("dst_ip", T.StringType()),
-        T.StructField("src_port", T.IntegerType()),
-        T.StructField("dst_port", T.IntegerType()),
-        T.StructField("flag_bits", T.IntegerType()),
-        T.StructField("payload_size", T.LongType()),
-    ]
-)
-
 INGEST_ERROR_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
         T.StructField("reason", T.StringType()),
     ]
 )
-
-EVENT_SCHEMA = T.StructType(
-    [
-        T.StructField("label", T.StringType()),
-        T.StructField("state", T.StringType()),
-        T.StructField("case_id", T.StringType()),
-        T.StructField("event_no", T.LongType()),
-        T.StructField("activity", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("payload_size", T.LongType()),
-    ]
-)

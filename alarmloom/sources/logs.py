@@ -1,16 +1,15 @@
 """Event logs, process models and training profiles on disk.
 
 Parquet tables partitioned by label and state are the store. XES files, one
-folder per label and state, are for exchange with other tools. A trace longer
-than PIECE events becomes several `trace` elements of the same name, so that no
-row has to hold more.
+folder per label and state, are for exchange with other tools: every trace is one
+`trace` element. A caller that knows its reader may ask for pieces, so that no row
+has to hold a whole trace.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from alarmloom.operators.ordering import piece_column
 
-PIECE = 100_000
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 _ATTRIBUTES = T.ArrayType(
@@ -50,8 +49,8 @@ def _attribute(key: str, value) -> Column:
     return F.array(F.struct(F.lit(key).alias("_key"), value.cast("string").alias("_value")))
 
 
-def write_xes(events: DataFrame, path: str, piece: int = PIECE) -> None:
-    """One XES folder per label and state."""
+def write_xes(events: DataFrame, path: str, piece: int | None = None) -> None:
+    """One XES folder per label and state; with a piece length, longer traces are several elements of one name."""
     event = F.struct(
         F.col("event_no"),
         _attribute("concept:name", F.col("activity")).alias("string"),
@@ -63,7 +62,7 @@ def write_xes(events: DataFrame, path: str, piece: int = PIECE) -> None:
         F.array_sort(F.collect_list(event)), lambda e: F.struct(*[e[name].alias(name) for name in fields])
     )
     traces = (
-        events.withColumn("_piece", piece_column("event_no", piece))
+        events.withColumn("_piece", F.lit(0) if piece is None else piece_column("event_no", piece))
         .groupBy("label", "state", "case_id", "_piece")
         .agg(held.alias("event"))
         .select(
@@ -107,10 +106,10 @@ def read_xes(spark: SparkSession, path: str, label: str | None = None) -> DataFr
     )
 
 
-def numbered_xes(events: DataFrame, piece: int = PIECE) -> DataFrame:
+def numbered_xes(events: DataFrame, piece: int | None = None) -> DataFrame:
     """Event numbers of a log written by write_xes with the same piece length."""
     first_piece_shift = F.when(F.col("_piece") == 0, F.lit(1)).otherwise(F.lit(0))
-    number = F.col("_piece") * F.lit(piece) + F.col("_at") + first_piece_shift
+    number = F.col("_piece") * F.lit(piece or 0) + F.col("_at") + first_piece_shift
     return events.withColumn("event_no", number).drop("_piece", "_at")
 
 
