@@ -394,6 +394,7 @@ FROM log GROUP BY ALL""",
 SELECT label, state, variant_no, n_events, n_traces, first_case FROM ranked WHERE variant_no <= 5""",
     "variants_coverage": f"""WITH {WINDOW_CASES}
 SELECT label, state, variant_no, n_events, n_traces, first_case FROM ranked WHERE variant_no = 1 OR before < total * 0.6""",
+    "variant_unfiltered_log": f"WITH {WINDOW_CASES} SELECT label, case_id, state, event_no, activity FROM short",
     "variant_filtered_log": f"""WITH {WINDOW_CASES}
 SELECT s.label, s.case_id, s.state, s.event_no, s.activity
 FROM short s JOIN short_traces t USING (label, state, case_id) JOIN ranked r USING (label, state, sequence)

@@ -335,6 +335,13 @@ def variant_filtered_log(spark, sf_dir):
     return kept.select(*ALARM, "state", "event_no", "activity")
 
 
+@query
+def variant_unfiltered_log(spark, sf_dir):
+    """A threshold of 1 keeps every variant."""
+    kept = eventlog.filter_variants(fx.window_cases(fx.packets(spark, sf_dir)), 1.0, fx.TRACE)
+    return kept.select(*ALARM, "state", "event_no", "activity")
+
+
 @query
 def variant_sequences(spark, sf_dir):
     events = fx.window_cases(fx.packets(spark, sf_dir))
