@@ -9,8 +9,8 @@ neighbours) make up for are skipped as probes, since small segments are shared b
 What meets is verified on the texts.
 
 Documents with equal sets are one node. Signatures that many nodes share are not
-expanded into pairs: their members are held against the member that shares most, and
-only pairs that are then still in different components are verified one by one.
+expanded into pairs: their members are held against the member that shares most. What is
+then still in different components is held against each other in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from alarmloom.llm.components import components
 from alarmloom.llm.shared import NO_ID, ODD, WordHashes, blocks, bucket_count, by_bucket, keyed, mix, pack, shingles, unpack
-from alarmloom.operators.sizing import cut_lineage
+from alarmloom.operators.sizing import cut_lineage, small_side
 
 # Nodes that may share a signature and still be paired off directly.
 CROWD = 24
 # Text that one task prepares together.
 JOIN_BLOCK = 6 << 20
+# Nodes of a block when families of crowds are compared, and members compared at a time.
+BLOCK = 256
+COLUMNS = 1 << 15
 SIZES = 1 << 31
 PROBE, DELETED = 1, 2
 
@@ -248,15 +251,19 @@ def _meetings(packed: DataFrame, rule: Rule) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(work, MET_SQL)
 
 
+def _texts(nodes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the named nodes: the text of one of the documents of each."""
+    one = members.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "key")).alias("at"))
+    wanted = one.join(nodes, "node").select("node", F.col("at.id").alias("id"), F.col("at.key").alias("key"))
+    return docs.select("id", "key", "text").join(small_side(cut_lineage(wanted)), ["id", "key"]).select("node", "text")
+
+
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> DataFrame:
     """The pairs that are linked, counted on the shingles of one text of each node."""
-    text = members.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "key")).alias("at"))
-    text = text.select("node", F.col("at.id").alias("id"), F.col("at.key").alias("key"))
-    one = pairs.join(text.select(F.col("node").alias("a"), "id", "key"), "a")
-    held = docs.select("id", "key", "text")
-    with_a = one.join(held, ["id", "key"]).select("a", "b", F.col("text").alias("text_a"))
-    two = with_a.join(text.select(F.col("node").alias("b"), "id", "key"), "b")
-    both = two.join(held, ["id", "key"]).select("a", "b", "text_a", F.col("text").alias("text_b"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = _texts(nodes, members, docs)
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def work(batches):
         hashes, known = WordHashes(), {}
@@ -277,7 +284,93 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int,
                 keep.append(bool(rule.linked(common, len(one), len(other))))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(work, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a bigint, b bigint").distinct()
+
+
+def common_members(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other."""
+    if not one or not other:
+        return np.zeros((len(one), len(other)), np.int64)
+    sizes = [np.array([len(m) for m in x]) for x in (one, other)]
+    tokens, place = np.unique(np.concatenate([*one, *other]), return_inverse=True)
+    cut = int(sizes[0].sum())
+    rows = [np.repeat(np.arange(len(s)), s) for s in sizes]
+    out = np.zeros((len(one), len(other)), np.float32)
+    for low in range(0, len(tokens), COLUMNS):
+        grids = []
+        for own, row, n in ((place[:cut], rows[0], len(one)), (place[cut:], rows[1], len(other))):
+            at = (own >= low) & (own < low + COLUMNS)
+            grid = np.zeros((n, min(COLUMNS, len(tokens) - low)), np.float32)
+            grid[row[at], own[at] - low] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule):
+    """Links between nodes of a family of crowds that are in different components so far.
+
+    Crowds that still have several components are joined to families by their hubs. A
+    family's largest component is not held against itself; all other nodes are held
+    against all, in blocks of about BLOCK nodes that each have a task of their own.
+    Of the links of two blocks only a spanning forest is returned.
+    """
+    placed = crowds.select("crowd", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    joined = placed.join(mixed.select("crowd"), "crowd").join(hubs, "crowd")
+    family = components(joined.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    known = family.withColumnRenamed("root", "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = cut_lineage(known)
+    by_root = known.groupBy("family", "root").agg(F.count("*").alias("n"))
+    top = by_root.groupBy("family").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    # Blocks 0, 1, ... hold the rest of a family, blocks -1, -2, ... its largest component.
+    sizes = top.select(
+        "family",
+        F.col("top.root").alias("main"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rest_blocks"),
+        F.ceil(F.col("top.n") / BLOCK).alias("main_blocks"),
+    ).where("rest_blocks > 0")
+    spread = known.join(sizes, "family").withColumn("hashed", F.xxhash64("node"))
+    is_main = F.col("root") == F.col("main")
+    blocked = spread.withColumn(
+        "block",
+        F.when(is_main, -1 - F.pmod("hashed", "main_blocks")).otherwise(F.pmod("hashed", "rest_blocks")).cast("bigint"),
+    )
+    all_rest = F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1)
+    all_main = F.sequence(-F.col("main_blocks"), F.lit(-1).cast("bigint"))
+    meets = F.when(is_main, all_rest).otherwise(F.concat(all_rest, all_main))
+    texts = _texts(blocked.select("node"), members, docs)
+    rows = blocked.join(texts, "node").select(
+        "family", "node", "root", "block", "text", F.explode(meets).alias("other")
+    )
+    rows = rows.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "root", "text")
+
+    def work(table: pa.Table) -> pa.Table:
+        one, two = (table.column(c)[0].as_py() for c in ("one", "two"))
+        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+        held = sets(table.column("text").to_pylist(), WordHashes(), size)
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        shared = common_members([held[i] for i in left], [held[i] for i in right])
+        n = np.array([len(m) for m in held], np.int64)
+        linked = rule.linked(shared, n[left][:, None], n[right][None, :]) & (root[left][:, None] != root[right][None, :])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out: list[list[int]] = [[], []]
+        for i, j in zip(*np.nonzero(linked)):
+            a, b = int(left[i]), int(right[j])
+            x, y = find(int(root[a])), find(int(root[b]))
+            if x != y:
+                parent[x] = y
+                out[0].append(int(node[a]))
+                out[1].append(int(node[b]))
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return rows.groupBy("family", "one", "two").applyInArrow(work, "a bigint, b bigint")
 
 
 def classes(source: DataFrame, size: int, part: int, whole: int) -> DataFrame:
@@ -300,8 +393,7 @@ def classes(source: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     links = cut_lineage(_verified(tried, members, source, size, rule))
     roots = components(links)
     if not crowds.isEmpty():
-        rest = _across(crowds, roots, rule).join(tried, ["a", "b"], "left_anti")
-        more = cut_lineage(_verified(rest, members, source, size, rule))
+        more = cut_lineage(_across(crowds, hubs, roots, members, source, size, rule))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -324,19 +416,6 @@ def join(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> Da
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(crowds: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of a crowd whose nodes are in different components, if they can be linked."""
-    placed = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = placed.join(mixed.select("crowd"), "crowd")
-    names = ("node", "size", "flags", "root")
-    other = left.select("crowd", *[F.col(c).alias(f"{c}_2") for c in names])
-    both = left.join(other, "crowd").where("node < node_2 and root <> root_2")
-    both = both.where(f"{rule.part} * greatest(size, size_2) <= {rule.whole} * least(size, size_2)")
-    both = both.where(f"((flags | flags_2) & {PROBE}) > 0 and (flags & flags_2 & {DELETED}) = 0")
-    return both.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
-
-
 def representatives(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """The rows of docs that stay when one document of each component does: the smallest doc_id.
 
@@ -353,6 +432,6 @@ def representatives(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
     gone = gone.withColumnsRenamed({"id": row_id, "key": row_key})
     kept = rows.join(gone, [row_id, row_key], "left_anti")
     if not found.groupBy("id", "key").count().where("count > 1").isEmpty():
-        empty = kept.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0)
-        kept = kept.where(F.length(F.trim("text")) > 0).dropDuplicates([row_id, row_key]).unionByName(empty)
+        blank = F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == ""
+        kept = kept.where(~blank).dropDuplicates([row_id, row_key]).unionByName(kept.where(blank))
     return kept.select(*docs.columns)
