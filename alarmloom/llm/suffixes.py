@@ -12,8 +12,8 @@ anchor has several strings.
 Pass 3, digit: the full depth, for the windows of the representatives that are left.
 Equal groups are exactly the repeated windows.
 
-A digit is a 64-bit hash of its bytes; digits of equal windows are compared inside the
-group of the digit before, so two unequal windows are taken for equal only if both agree.
+A digit is a 64-bit hash of its bytes. Strings are compared by anchor and whole string, 128
+bits; windows of the last pass by one hash inside buckets that a second hash deals out.
 """
 
 from __future__ import annotations
@@ -44,16 +44,16 @@ from alarmloom.llm.shared import (
     unpack,
     with_ranges,
 )
-from alarmloom.operators.sizing import cut_lineage
+from alarmloom.operators.sizing import cut_lineage, small_side
 
 DEPTH = 400
 # Bytes of an anchor: half of the depth.
 DIGIT = 200
 # Bytes that a task hashes together; a longer text is cut into parts that overlap by a window.
-PART_BYTES = 1 << 20
+PART_BYTES = 256 << 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-SIGNS = mix(np.arange(1, 257, dtype=np.uint64))
+SIGNS = [mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64)) for k in range(2)]
 
 RESULT = pa.schema(
     [
@@ -71,7 +71,8 @@ FOUND_SQL = "ref bigint, ranges binary, asked binary"
 class Hashes:
     """Hashes of any substring of a buffer, from running sums of powers."""
 
-    def __init__(self):
+    def __init__(self, kind: int = 0):
+        self.signs = SIGNS[kind]
         self.up = self.down = np.ones(1, np.uint64)
 
     def read(self, buffer: bytes) -> None:
@@ -79,7 +80,7 @@ class Hashes:
         if len(self.up) <= n:
             self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, BASE))))
             self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, INVERSE))))
-        values = SIGNS[np.frombuffer(buffer, np.uint8)]
+        values = self.signs[np.frombuffer(buffer, np.uint8)]
         values *= self.up[:n]
         self.sums = np.concatenate(([np.uint64(0)], np.cumsum(values)))
 
@@ -248,13 +249,13 @@ def _last_digits(rows: DataFrame, asked: DataFrame, depth: int, n_buckets: int)
     """Ranges of the windows that are equal at full depth, among the runs asked for."""
 
     def spread(batches):
-        hashes = Hashes()
+        hashes, dealing = Hashes(), Hashes(1)
         for part in blocks(batches):
             out: list[list] = [[], []]
             for ref, text, packed in zip(*(part.column(c).to_pylist() for c in ("ref", "text", "asked"))):
                 runs_of = read_ranges(packed)
                 runs_of = runs_of[np.argsort(runs_of[:, 0])]
-                value, place, open_ = [], [], []
+                value, dealt, place, open_ = [], [], [], []
                 for low in range(0, len(text), PART_BYTES):
                     own = runs_of[(runs_of[:, 0] >= low) & (runs_of[:, 0] < low + PART_BYTES)]
                     if not len(own):
@@ -262,14 +263,16 @@ def _last_digits(rows: DataFrame, asked: DataFrame, depth: int, n_buckets: int)
                     count = np.abs(own[:, 1])
                     high = int((own[:, 0] + count).max()) + depth - 1
                     hashes.read(text[low:high])
+                    dealing.read(text[low:high])
                     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(own[:, 0], count)
                     value.append(hashes.of(at - low, at - low + depth))
+                    dealt.append(dealing.of(at - low, at - low + depth))
                     place.append(at)
                     open_.append(np.repeat(own[:, 1] > 0, count))
                 if not value:
                     continue
-                value, place, open_ = (np.concatenate(x) for x in (value, place, open_))
-                bucket = ((value >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+                value, dealt, place, open_ = (np.concatenate(x) for x in (value, dealt, place, open_))
+                bucket = ((dealt >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
                 for b, at in by_bucket(bucket):
                     out[0].append(b)
                     out[1].append(
@@ -289,7 +292,8 @@ def _last_digits(rows: DataFrame, asked: DataFrame, depth: int, n_buckets: int)
         return pa.table([pa.array(refs, pa.int64()), pa.array(ranges, pa.binary())], names=["ref", "ranges"])
 
     wanted = asked.groupBy("ref").agg(F.collect_list("asked").alias("asked"))
-    texts = rows.select("ref", "text").join(wanted, "ref").dropDuplicates(["ref"])
+    some = rows.select("ref", "text").join(small_side(wanted.select("ref")), "ref", "left_semi")
+    texts = some.join(wanted, "ref").dropDuplicates(["ref"])
     return texts.mapInArrow(spread, BUCKETS_SQL).groupBy("bucket").applyInArrow(compare, "ref bigint, ranges binary")
 
 
