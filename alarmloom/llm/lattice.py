@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from alarmloom.llm.pieces import BLANK, MEMO_CHARS, PIECE_BASE, NOTHING, VOCABULARY, Encoder, vocabulary
+from alarmloom.llm.pieces import BLANK, MEMO_CHARS, PIECE_BASE, NOTHING, VOCABULARY, Encoder, held_encoder, vocabulary
 from alarmloom.llm.shared import (
     BUCKETS,
     BUCKETS_SQL,
@@ -54,17 +54,8 @@ LATTICE_BUCKET = 32 << 20
 WORD, PIECE, TOTAL = 0, 1, 2
 TOKENS, DOCS = 0, 1
 
-PARTIAL_SQL = "ref bigint, log_sum double, n_known bigint, n_tokens bigint, score double, n_types bigint"
-PARTIAL = pa.schema(
-    [
-        ("ref", pa.int64()),
-        ("log_sum", pa.float64()),
-        ("n_known", pa.int64()),
-        ("n_tokens", pa.int64()),
-        ("score", pa.float64()),
-        ("n_types", pa.int64()),
-    ]
-)
+ANSWER_SQL = "block bigint, packed binary, n_types bigint"
+SUM_SQL = "ref bigint, log_sum double, n_known bigint, score double, n_tokens bigint, n_rows bigint, n_types bigint"
 
 
 class Lattice:
@@ -249,14 +240,16 @@ def adapted(rows: DataFrame, entries: list, n_docs: int) -> np.ndarray:
 
     some = rows.where(F.col("train") & (F.pmod(F.xxhash64("ref", F.lit(1)), F.lit(every)) == 0)).select("text")
     counted = some.mapInArrow(words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    table = cut_lineage(counted)
+    context = rows.sparkSession.sparkContext
+    # A few thousand texts: one task per core reads their words in every round.
+    table = cut_lineage(counted.coalesce(context.defaultParallelism))
     weights = prior(entries)
+    known = context.broadcast({"entries": entries})
     for _ in range(START_ROUNDS):
-        sent = rows.sparkSession.sparkContext.broadcast((entries, weights))
+        sent = context.broadcast(weights)
 
         def estimate(batches, sent=sent):
-            entries, weights = sent.value
-            lattice, total = Lattice(Encoder(entries), weights), np.zeros(len(weights))
+            lattice, total = Lattice(held_encoder(known.value), sent.value), np.zeros(len(sent.value))
             for part in batches:
                 n = part.column("n").to_numpy().astype(np.float64)
                 total += lattice.expected(part.column("word").to_pylist(), n)
@@ -282,11 +275,10 @@ def train(rows: DataFrame, common: np.ndarray, entries: list, n_docs: int) -> tu
     start = adapted(rows, entries, n_docs)
     mean = math.log(np.mean([w for w, e in zip(start, entries) if e[2]] or [LEAST_WEIGHT]))
     scored = [(p, round(256 * (mean if is_byte else math.log(w))), is_byte) for (p, _, is_byte), w in zip(entries, start)]
-    sent = rows.sparkSession.sparkContext.broadcast((common, scored))
+    sent = rows.sparkSession.sparkContext.broadcast({"common": common, "entries": scored})
 
     def work(batches):
-        hot, pieces_of = sent.value
-        encoder = Encoder(pieces_of)
+        hot, encoder = sent.value["common"], held_encoder(sent.value)
         known, counts, texts = Vocabulary(), np.empty(0, np.int64), 0
         for part in blocks(batches):
             if len(known.words) > MEMO_WORDS:
@@ -348,13 +340,15 @@ def _spread(
     n_buckets: int,
 ) -> DataFrame:
     """Rare words with their documents by bucket; what a task knows of a document goes to buckets of its own."""
-    sent = rows.sparkSession.sparkContext.broadcast((common, counts, entries, weights))
+    sent = rows.sparkSession.sparkContext.broadcast(
+        {"common": common, "counts": counts, "entries": entries, "weights": weights}
+    )
     n_train, n_texts = sizes_of
     end = (n_texts + 1) / (n_train + n_texts + 2)
 
     def work(batches):
-        hot, hot_counts, pieces_of, weights = sent.value
-        lattice = Lattice(Encoder(pieces_of), weights)
+        hot, hot_counts = sent.value["common"], sent.value["counts"]
+        lattice = Lattice(held_encoder(sent.value), sent.value["weights"])
         hot_logs = np.append(np.log10(hot_counts + 0.5), 0)
         known, place, score = Vocabulary(), np.empty(0, np.int64), np.empty(0)
         for part in blocks(batches):
@@ -394,6 +388,7 @@ def _spread(
                         counted.astype(np.int32),
                         learnt.astype(np.int32),
                         score[own].astype(np.float32),
+                        refs[:1],
                         steps(refs[docs]),
                         index.astype(np.int32),
                         times[at].astype(np.int32),
@@ -405,44 +400,61 @@ def _spread(
 
 
 def _summed(spread: DataFrame, n_train: int, n_buckets: int) -> DataFrame:
-    """Sums by document of what each bucket knows; the row without a ref has the number of words it counted."""
+    """Sums by document: every packed piece is answered by one for the block it came from, and blocks add up theirs.
+
+    n_types counts the distinct words that training has, on any of the rows.
+    """
 
-    def work(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         bucket, packed = table.column("bucket")[0].as_py(), table.column("packed").to_pylist()
+        out: list[list] = [[], []]
         if bucket >= n_buckets:
-            parts = [unpack(x, np.int64, np.float64, np.int64, np.int64, np.float64) for x in packed]
-            columns = [np.concatenate(x) for x in zip(*parts)]
-            return pa.table([*columns, np.zeros(len(columns[0]), np.int64)], schema=PARTIAL)
-        held = []
-        for x in packed:
-            hashes, counted, learnt, lattice, ref, index, times = unpack(
-                x, np.uint64, np.int32, np.int32, np.float32, np.int64, np.int32, np.int32
-            )
-            held.append((hashes, counted, learnt, lattice, np.cumsum(ref)[index], times))
-        hashes, counted, learnt, lattice, ref, times = (np.concatenate(x) for x in zip(*held))
+            for x in packed:
+                refs, logs, known, tokens, scores = unpack(x, np.int64, np.float64, np.int64, np.int64, np.float64)
+                out[0].append(int(refs[0]))
+                out[1].append(pack(refs, logs, known, scores, tokens))
+            return _answers(out, 0)
+        kinds = (np.uint64, np.int32, np.int32, np.float32, np.int64, np.int64, np.int32, np.int32)
+        held = [unpack(x, *kinds) for x in packed]
+        hashes, learnt = (np.concatenate([h[k] for h in held]) for k in (0, 2))
         types, place = np.unique(hashes, return_inverse=True)
         count = np.bincount(place, weights=learnt, minlength=len(types))
-        each = np.repeat(count[place], counted)
-        scores = np.repeat(word_score(lattice.astype(np.float64), count[place], n_train), counted)
+        at = 0
+        for own, counted, _, lattice, block, ref, index, times in held:
+            each = count[place[at : at + len(own)]]
+            at += len(own)
+            scores = np.repeat(word_score(lattice.astype(np.float64), each, n_train), counted)
+            each, n = np.repeat(each, counted), len(ref)
+            sums = (times * np.log10(each + 0.5), times * (each > 0), times * scores)
+            logs, known, total = (np.bincount(index, weights=w, minlength=n) for w in sums)
+            out[0].append(int(block[0]))
+            out[1].append(pack(np.cumsum(ref), logs, known.astype(np.int64), total, np.zeros(n, np.int64)))
+        return _answers(out, int((count > 0).sum()))
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = [unpack(x, np.int64, np.float64, np.int64, np.float64, np.int64) for x in table.column("packed").to_pylist()]
+        ref, *values = (np.concatenate(x) for x in zip(*parts))
         refs, owner = np.unique(ref, return_inverse=True)
-        logs = np.bincount(owner, weights=times * np.log10(each + 0.5))
-        known = np.bincount(owner, weights=times * (each > 0)).astype(np.int64)
-        n = len(refs)
-        rows = [
-            pa.array(np.append(refs, 0), pa.int64(), mask=np.arange(n + 1) == n),
-            np.append(logs, 0.0),
-            np.append(known, 0),
-            np.zeros(n + 1, np.int64),
-            np.append(np.bincount(owner, weights=times * scores), 0.0),
-            np.append(np.zeros(n, np.int64), int((count > 0).sum())),
-        ]
-        return pa.table(rows, schema=PARTIAL)
-
-    parts = spread.groupBy("bucket").applyInArrow(work, PARTIAL_SQL)
-    sums = [F.sum(c).alias(c) for c in ("log_sum", "n_known", "n_types", "score")]
-    # A document's own row holds its tokens; rows that repeat one text share a ref.
-    own = F.sum(F.when(F.col("n_tokens") > 0, 1).otherwise(0)).alias("n_rows")
-    return parts.groupBy("ref").agg(*sums, F.max("n_tokens").alias("n_tokens"), own)
+        logs, known, scores = (np.bincount(owner, weights=v, minlength=len(refs)) for v in values[:3])
+        own = values[3] > 0
+        tokens = np.zeros(len(refs), np.int64)
+        tokens[owner[own]] = values[3][own]
+        n_types = np.zeros(len(refs), np.int64)
+        n_types[0] = sum(table.column("n_types").to_pylist())
+        columns = [refs, logs, known.astype(np.int64), scores, tokens, np.bincount(owner[own], minlength=len(refs)), n_types]
+        return pa.table(columns, names=["ref", "log_sum", "n_known", "score", "n_tokens", "n_rows", "n_types"])
+
+    answers = spread.groupBy("bucket").applyInArrow(answer, ANSWER_SQL)
+    parts = answers.groupBy("block").applyInArrow(add, SUM_SQL)
+    sums = [F.sum(c).alias(c) for c in ("log_sum", "n_known", "score", "n_rows", "n_types")]
+    # Rows that repeat one text share a ref, and may be in several blocks.
+    return parts.groupBy("ref").agg(*sums, F.max("n_tokens").alias("n_tokens"))
+
+
+def _answers(out: list[list], n_types: int) -> pa.Table:
+    counted = [n_types] + [0] * (len(out[0]) - 1)
+    columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(counted, pa.int64())]
+    return pa.table(columns, names=["block", "packed", "n_types"])
 
 
 def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -463,13 +475,12 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     n_buckets = bucket_count(docs, LATTICE_BUCKET)
     spread = _spread(rows, common, counts, entries, weights, (n_words, n_texts), n_buckets)
     summed = cut_lineage(_summed(spread, n_words, n_buckets))
-    types = summed.where("ref is null").agg(F.sum("n_types").alias("n")).first()["n"] or 0
+    types = summed.agg(F.sum("n_types").alias("n")).first()["n"] or 0
     n_types = types + int((counts > 0).sum()) + (1 if n_texts else 0)
     total = math.log10(n_train + 0.5 * (n_types + 1))
     ends = math.log10(n_texts + 0.5)
     known_end = 1 if n_texts else 0
-    one = summed.where("ref is not null")
-    out = rows.select("doc_id", "ref", "train").join(one, "ref")
+    out = rows.select("doc_id", "ref", "train").join(summed, "ref")
     return out.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

@@ -285,6 +285,13 @@ class Encoder:
         return best[len(word)]
 
 
+def held_encoder(held: dict) -> Encoder:
+    """The encoder of broadcast entries, made once per worker process."""
+    if "encoder" not in held:
+        held["encoder"] = Encoder(held["entries"])
+    return held["encoder"]
+
+
 Matrix = list[list[int | None]]
 
 
@@ -433,11 +440,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     A missing or empty text has no pieces. Repeated rows each give a row; other columns
     of docs are not looked at. Giant documents go through the chunks described above.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    sent = docs.sparkSession.sparkContext.broadcast({"entries": vocabulary(path)})
     source = keyed(docs)
 
     def short(batches):
-        encoder = Encoder(sent.value)
+        encoder = held_encoder(sent.value)
         for part in blocks(batches):
             ids = encoder.encode_all([t.decode("utf-8", "replace") for t in part.column("text").to_pylist()])
             lengths = pa.array([len(x) for x in ids], pa.int64())
@@ -455,7 +462,7 @@ CHUNKS = pa.schema(
 
 def _giant(source: DataFrame, sent) -> DataFrame:
     def cut(batches):
-        encoder = Encoder(sent.value)
+        encoder = held_encoder(sent.value)
         for part in batches:
             for i, key, text in zip(*(part.column(c).to_pylist() for c in ("id", "key", "text"))):
                 rows = enumerate(chunks(encoder, text.decode("utf-8", "replace")))
@@ -463,7 +470,7 @@ def _giant(source: DataFrame, sent) -> DataFrame:
                     yield batch(CHUNKS, [[i], [key], [no], [signs.encode("utf-8", "surrogatepass")], [size], [offset]])
 
     def weigh(batches):
-        encoder = Encoder(sent.value)
+        encoder = held_encoder(sent.value)
         for part in batches:
             texts, sizes, offsets = (part.column(c).to_pylist() for c in ("text", "size", "offset"))
             found = [
@@ -482,7 +489,7 @@ def _giant(source: DataFrame, sent) -> DataFrame:
         return out.append_column("end", pa.array(states[1:], pa.int32()))
 
     def trace(batches):
-        encoder = Encoder(sent.value)
+        encoder = held_encoder(sent.value)
         for part in batches:
             columns = (part.column(c).to_pylist() for c in ("text", "size", "offset", "begin", "end"))
             ids = [
