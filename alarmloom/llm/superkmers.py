@@ -175,13 +175,12 @@ def _spread(rows: DataFrame, window: int, n_buckets: int, hot: np.ndarray) -> Da
     return rows.select("id", "ref", "text").mapInArrow(work, BUCKETS_SQL)
 
 
-def repeated(words: list[bytes], size: np.ndarray, ids: np.ndarray, window: int, hashes: WordHashes) -> np.ndarray:
-    """Which window starts among the words of strings begin a window that a smaller document has.
+def repeated(values: np.ndarray, size: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Which window starts among the word hashes of strings begin a window that a smaller document has.
 
     size and ids tell the number of words and the document of each string. Windows are
     sorted by a 64-bit hash; a second one tells apart what should collide.
     """
-    values = hashes.of(words)
     first = np.cumsum(size) - size
     count = size - window + 1
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
@@ -190,10 +189,10 @@ def repeated(words: list[bytes], size: np.ndarray, ids: np.ndarray, window: int,
     order = np.lexsort((owner, one))
     ranked = one[order]
     head = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    two = shingles(values, window, salt=1)[at][order]
-    if ((two[1:] != two[:-1]) & ~head[1:]).any():
-        order = np.lexsort((owner, shingles(values, window, salt=1)[at], one))
-        ranked, two = one[order], shingles(values, window, salt=1)[at][order]
+    two = shingles(values, window, salt=1)[at]
+    if ((two[order][1:] != two[order][:-1]) & ~head[1:]).any():
+        order = np.lexsort((owner, two, one))
+        ranked, two = one[order], two[order]
         head = np.concatenate(([True], (ranked[1:] != ranked[:-1]) | (two[1:] != two[:-1])))
     least = owner[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     out = np.zeros(len(values), bool)
@@ -209,7 +208,7 @@ def _sorted(spread: DataFrame, window: int, n_buckets: int) -> DataFrame:
         if bucket >= n_buckets:
             parts = [unpack(x, np.int64, np.int64, np.int64) for x in packed]
             return pa.table(_range_columns(*(np.concatenate(x) for x in zip(*parts))), names=["ref", "ranges"])
-        ids, refs, local, size, texts = [], [], [], [], []
+        ids, refs, local, size, values, hashes = [], [], [], [], [], WordHashes()
         for x in packed:
             id_steps, ref_steps, place, start, n, text = unpack(x, np.int64, np.int64, np.int32, np.int32, np.int32, None)
             at = np.cumsum(place)
@@ -217,9 +216,10 @@ def _sorted(spread: DataFrame, window: int, n_buckets: int) -> DataFrame:
             refs.append(np.cumsum(ref_steps)[at])
             local.append(start)
             size.append(n)
-            texts.append(text)
+            values.append(hashes.of(text.split()))
         ids, refs, local, size = (np.concatenate(x).astype(np.int64) for x in (ids, refs, local, size))
-        hit = repeated(b" ".join(texts).split(), size, ids, window, WordHashes())
+        del hashes
+        hit = repeated(np.concatenate(values), size, ids, window)
         # An unmarked place after each string keeps runs inside them.
         marked = np.zeros(len(hit) + len(size), bool)
         marked[np.arange(len(hit)) + np.repeat(np.arange(len(size)), size)] = hit
