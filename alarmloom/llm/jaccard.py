@@ -6,7 +6,7 @@ the pigeonhole principle they agree on a segment, or differ by one member on a s
 that is indexed with its one-deletion neighbours too. A set spends its allowance where
 matches are cheap: as many of its smallest segments as the reserve segments (those with
 neighbours) make up for are skipped as probes, since small segments are shared by chance.
-What meets is verified on the texts.
+What meets is verified on the texts, unless maps of the sets' parities rule a link out.
 
 Documents with equal sets are one node. Signatures that many nodes share are not
 expanded into pairs: their members are held against the member that shares most. What is
@@ -37,8 +37,18 @@ COLUMNS = 1 << 15
 SIZES = 1 << 31
 PROBE, DELETED = 1, 2
 
+# Bits of a set's parity map.
+MAP_BITS = 1024
+NODES_SQL = "doc_id bigint, id bigint, key bigint, n_shingles bigint, node bigint, bits array<bigint>"
 NODES = pa.schema(
-    [("doc_id", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())]
+    [
+        ("doc_id", pa.int64()),
+        ("id", pa.int64()),
+        ("key", pa.int64()),
+        ("n_shingles", pa.int64()),
+        ("node", pa.int64()),
+        ("bits", pa.list_(pa.int64())),
+    ]
 )
 PACKED = pa.schema([("bucket", pa.int64()), ("packed", pa.binary())])
 MET_SQL = "a bigint, b bigint, crowd bigint, size int, flags int"
@@ -97,6 +107,15 @@ def digest(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """Map of MAP_BITS bits, each the parity of the members that hash to it.
+
+    A member more or less flips one bit, so two sets differ in as many members as bits at least.
+    """
+    odd = np.bincount((members >> np.uint64(54)).astype(np.int64), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(members: list[np.ndarray], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(signature, index of the set, flags) of all sets, for each band that a partner may be in."""
     sizes = np.array([len(m) for m in members], np.int64)
@@ -152,10 +171,11 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
             found = sets(part.column("text").to_pylist(), hashes, size)
             lengths = pa.array([len(m) for m in found], pa.int64())
             nodes = pa.array([digest(m) if len(m) else None for m in found], pa.int64())
-            columns = [part.column("doc_id"), part.column("id"), part.column("key"), lengths, nodes]
+            bits = pa.array([parity(m) if len(m) else None for m in found], pa.list_(pa.int64()))
+            columns = [part.column("doc_id"), part.column("id"), part.column("key"), lengths, nodes, bits]
             yield pa.RecordBatch.from_arrays(columns, schema=NODES)
 
-    return docs.mapInArrow(work, "doc_id bigint, id bigint, key bigint, n_shingles bigint, node bigint")
+    return docs.mapInArrow(work, NODES_SQL)
 
 
 def _spread(docs: DataFrame, size: int, rule: Rule, n_buckets: int) -> DataFrame:
@@ -251,6 +271,41 @@ def _meetings(packed: DataFrame, rule: Rule) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(work, MET_SQL)
 
 
+def _possible(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose parity maps do not rule a link out; no linked pair is lost."""
+    facts = members.where("node is not null").groupBy("node")
+    facts = facts.agg(F.any_value("bits").alias("bits"), F.max("n_shingles").alias("n"))
+
+    def of(name: str) -> DataFrame:
+        return facts.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("n").alias(f"n_{name}"))
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    flipped = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(flipped, F.lit(0), lambda total, n: total + n)
+    limit = (rule.whole - rule.part) * (F.col("n_a") + F.col("n_b"))
+    return both.where((rule.whole + rule.part) * apart <= limit).select("a", "b")
+
+
+def _linked(tried: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Links enough for the components of all linked pairs, and those components.
+
+    First every node is held against its smallest partner only; of the other pairs, those
+    that are in one component by then need no look.
+    """
+    first = tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = cut_lineage(_verified(first, members, docs, size, rule))
+    roots = components(links)
+    rest = tried.join(first, ["a", "b"], "left_anti")
+    for name in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}")), name, "left")
+    rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    more = cut_lineage(_verified(cut_lineage(rest), members, docs, size, rule))
+    if more.isEmpty():
+        return links, roots
+    links = links.unionByName(more)
+    return links, components(links)
+
+
 def _texts(nodes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """node and text of the named nodes: the text of one of the documents of each."""
     one = members.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "key")).alias("at"))
@@ -389,14 +444,13 @@ def classes(source: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     stars = crowds.join(hubs, "crowd").where("node <> hub")
     stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     direct = met.where("crowd is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = cut_lineage(direct.unionByName(stars).distinct())
-    links = cut_lineage(_verified(tried, members, source, size, rule))
-    roots = components(links)
+    tried = cut_lineage(_possible(direct.unionByName(stars).distinct(), members, rule))
+    links, roots = _linked(tried, members, source, size, rule)
     if not crowds.isEmpty():
         more = cut_lineage(_across(crowds, hubs, roots, members, source, size, rule))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return members.drop("bits").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def join(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:

@@ -112,3 +112,13 @@ def test_components_of_chains_and_stars(spark):
     assert {roots[i] for i in range(41)} == {0}
     assert {roots[i] for i in range(100, 140)} == {100}
     assert roots[300] == 200
+
+
+def test_parity_maps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        one = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))
+        other = np.unique(np.concatenate((one[rng.random(len(one)) > 0.1], rng.integers(0, 1 << 63, 20).astype(np.uint64))))
+        apart = len(np.setxor1d(one, other))
+        flipped = np.unpackbits((jaccard.parity(one) ^ jaccard.parity(other)).view(np.uint8)).sum()
+        assert flipped <= apart
