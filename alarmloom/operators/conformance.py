@@ -5,7 +5,8 @@ is taken apart into its concurrent parts, and each variant is projected on each
 part, so that a part has few markings. A part is aligned by carrying the
 cheapest cost of every marking along the sequence. Long sequences are cut into
 pieces: every piece is summed up as a marking-to-marking cost table, the tables
-are chained, and the pieces are then aligned side by side.
+are chained, and the pieces are then aligned side by side. Parts with too many
+markings can be aligned by intervals of the trace instead, each sequence whole.
 """
 
 from collections import Counter, defaultdict, deque
@@ -17,7 +18,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from alarmloom.operators.eventlog import SIGNATURE, traces, variant_steps, variants
 from alarmloom.operators.sizing import held_side, join_by_weight, split_rows
-from alarmloom.operators.trees import LOG_MOVE, Markings, Net, TooManyMarkings, advance, concurrent_parts, read_trees
+from alarmloom.operators.trees import (
+    LOG_MOVE,
+    Intervals,
+    Markings,
+    Net,
+    TooManyMarkings,
+    Tree,
+    advance,
+    concurrent_parts,
+    read_trees,
+)
 from alarmloom.shipping import ship_by_value
 
 PART = "model_part"
@@ -30,18 +41,19 @@ BATCH_CELLS = 20_000_000
 class Models:
     """Compiled parts of every log's tree; small enough to travel with the tasks.
 
-    A log whose tree has a part with too many markings is in `failed`: its variants get
-    null alignments, and all other logs go on.
+    With `wide`, parts with too many markings are held as Intervals. Without, a log whose
+    tree has such a part is in `failed`: its variants get null alignments, and all other
+    logs go on.
     """
 
-    def __init__(self, tree: DataFrame, log: list[str]):
+    def __init__(self, tree: DataFrame, log: list[str], wide: bool = False):
         self.log = list(log)
         self.trees = read_trees([row.asDict() for row in tree.collect()], log)
-        self.parts: dict[tuple, Markings] = {}
+        self.parts: dict[tuple, Markings | Intervals] = {}
         self.failed: dict[tuple, str] = {}
         for key, root in self.trees.items():
             try:
-                held = [Markings(part) for part in concurrent_parts(root)]
+                held = [self._compiled(part, wide) for part in concurrent_parts(root)]
             except TooManyMarkings as error:
                 self.failed[key] = str(error)
                 continue
@@ -49,6 +61,20 @@ class Models:
         self.spark = tree.sparkSession
         self.types = "".join(f"{c} {tree.schema[c].dataType.simpleString()}, " for c in log)
 
+    @staticmethod
+    def _compiled(part: Tree, wide: bool) -> Markings | Intervals:
+        try:
+            return Markings(part)
+        except TooManyMarkings:
+            if not wide:
+                raise
+            return Intervals(part)
+
+    def wide(self) -> DataFrame | None:
+        """Keys of the parts that are aligned by intervals, if there are any."""
+        rows = [key for key, part in self.parts.items() if isinstance(part, Intervals)]
+        return held_side(self.spark.createDataFrame(rows, f"{self.types}{PART} int"), len(rows)) if rows else None
+
     def quality(self) -> DataFrame:
         """Logs whose model could not be compiled, and why."""
         rows = [(*key, reason) for key, reason in self.failed.items()]
@@ -183,6 +209,27 @@ def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str],
     return run.groupBy(*keys).applyInPandas(chain, key_types + RESULT)
 
 
+def _align_wide(sequences: DataFrame, keys: list[str], model_keys: list[str], parts: dict) -> DataFrame:
+    """As _align_whole, for parts that are held as Intervals."""
+    key_types = "".join(f"{c} {sequences.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def align(batches):
+        for batch in batches:
+            for key, rows in batch.groupby(model_keys, sort=False):
+                part = parts[key]
+                number = {label: i for i, label in enumerate(part.labels)}
+                found = [part.align(np.array([number[a] for a in acts], dtype=np.int64)) for acts in rows["activities"]]
+                yield rows[keys].assign(
+                    cost=[cost - part.shortest for cost, _, _ in found],
+                    deviations=[_beyond(strayed, part) for _, strayed, _ in found],
+                    n=[len(acts) for acts in rows["activities"]],
+                    labels=[part.labels] * len(rows),
+                    synced=[synced for _, _, synced in found],
+                )
+
+    return sequences.select(*keys, "activities").mapInPandas(align, key_types + RESULT)
+
+
 def align_sequences(
     steps: DataFrame, models: Models, ids: list[str], split: int | None = None
 ) -> DataFrame:
@@ -195,6 +242,20 @@ def align_sequences(
     ship_by_value()
     parts = models.parts
     placed = steps.join(models.part_of(), [*log, "activity"])
+    wide = models.wide()
+    if wide is None:
+        return _align_narrow(placed, keys, model_keys, parts, split)
+    whole = _sequences(placed.join(wide, model_keys, "left_semi"), keys, None)
+    narrow = placed.join(wide, model_keys, "left_anti")
+    return _align_wide(whole, keys, model_keys, parts).unionByName(
+        _align_narrow(narrow, keys, model_keys, parts, split)
+    )
+
+
+def _align_narrow(
+    placed: DataFrame, keys: list[str], model_keys: list[str], parts: dict, split: int | None
+) -> DataFrame:
+    """Alignments with the parts that are held as Markings, long sequences in pieces."""
     sequences = _sequences(placed, keys, split)
     if split is None:
         return _align_whole(sequences, keys, model_keys, parts)
@@ -221,16 +282,23 @@ class Alignments:
 
     `traces` has one row per trace with its signature; `variants` one row per
     log and variant with cost, deviations, worst case, fitness and the
-    synchronous moves as an array. Logs without a model are left out; logs whose
-    model could not be compiled have null costs and a row in `quality`.
+    synchronous moves as an array. Logs without a model are left out. With `wide`,
+    models with too many markings are aligned by intervals; without, their logs
+    have null costs and a row in `quality`.
     """
 
     def __init__(
-        self, events: DataFrame, tree: DataFrame, log: list[str], trace: list[str], split: int | None = None
+        self,
+        events: DataFrame,
+        tree: DataFrame,
+        log: list[str],
+        trace: list[str],
+        split: int | None = None,
+        wide: bool = False,
     ):
         ids = [c for c in trace if c not in log]
         by_id = [*log, *ids]
-        models = Models(tree, log)
+        models = Models(tree, log, wide)
         self.quality = models.quality()
         self.log, self.trace = list(log), list(trace)
         self.matched = [*log, *SIGNATURE]

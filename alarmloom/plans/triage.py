@@ -92,7 +92,7 @@ def train(
 
     # One pass aligns both parts: variants they share are aligned once.
     with_part = [*trace[:-1], "part", trace[-1]]
-    synced = conformance.Alignments(marked, tree, model, with_part, split_at).sync_counts().persist()
+    synced = conformance.Alignments(marked, tree, model, with_part, split_at, wide=True).sync_counts().persist()
     counts, held_counts = synced.where("part = 'training'"), synced.where("part = 'validation'")
     control = profiles.control_flow_profile(counts, model)
     durations = windows.event_durations(marked, trace, "packet_no", split_at)
@@ -131,7 +131,7 @@ def rate(
     """Alarm bands of inference traces; a state without a training profile is an error."""
     model = list(model)
     alarm = [c for c in trace if c != "state"]
-    counts = conformance.Alignments(events, trained.tree, model, trace, split_at).sync_counts().persist()
+    counts = conformance.Alignments(events, trained.tree, model, trace, split_at, wide=True).sync_counts().persist()
     control = trained.profiles["control_flow"].persist()
     profiles.require_profiles(counts, control, model)
     per_state = profiles.cosine_to_profile(counts, control, trace, "n", model)

@@ -412,7 +412,7 @@ def model_arcs(spark, sf_dir):
 
 def _aligned(spark, sf_dir, phase) -> conformance.Alignments:
     source, events, tree = _discovered(spark, sf_dir)
-    return conformance.Alignments(events.where(F.col("phase") == phase), tree, ["state"], fx.TRACE, source.split)
+    return conformance.Alignments(events.where(F.col("phase") == phase), tree, ["state"], fx.TRACE, source.split, wide=True)
 
 
 @query
