@@ -2,8 +2,8 @@
 
 The pieces of an existing vocabulary span a lattice over every word. Their scores weight
 every segmentation: a Zipf prior by rank is adapted by expectation-maximisation to the
-words of a bounded sample of training documents, and refitted with these weights on all
-training documents (each distinct word of a task is cut once and counts as often as it
+words of all training documents, counted once, and refitted with these weights on the
+same documents (each distinct word of a task is cut once and counts as often as it
 occurs). A forward recursion in log space gives the marginal probability of a word's
 pieces. A word that training has seen is one more arc of its own lattice, weighted by its
 share of the training words; pieces take NEW of the weight. A document's probability is
@@ -43,8 +43,8 @@ from alarmloom.operators.sizing import cut_lineage
 
 # A word is common if one of so many documents has it, found in a sample of documents.
 COMMON_SHARE, COMMON_SAMPLE, COMMON_LEAST = 500, 32, 8
-# Training documents (about so many, chosen by hash) whose words adapt the prior, and rounds of that.
-START_DOCS, START_ROUNDS = 4_000, 6
+# Rounds in which the words of the training documents adapt the prior.
+START_ROUNDS = 6
 LEAST_WEIGHT = 1e-9
 # Share of a word's probability that its pieces hold, and not its arc as a whole.
 NEW = 0.1
@@ -129,6 +129,8 @@ class Lattice:
         for i, word in enumerate(text):
             if len(word) <= MEMO_CHARS:
                 by_length.setdefault(len(word), []).append(i)
+            else:
+                self._expected_alone(word, float(times[i]), out)
         for n, at in by_length.items():
             for low in range(0, len(at), 8192):
                 some = at[low : low + 8192]
@@ -158,27 +160,43 @@ class Lattice:
         return left
 
     def _alone(self, word: str) -> float:
+        return self._reach_alone(word)[len(word)]
+
+    def _arcs(self, word: str, i: int) -> Iterator[tuple[int, int | None, float]]:
+        """Ends, ids and weights of the pieces from place i; a sign without a piece is its bytes, without an id."""
+        table, single = self.encoder.table, False
+        for j in range(i + 1, min(len(word), i + self.encoder.longest) + 1):
+            if word[i:j] not in table:
+                break
+            entry = table[word[i:j]]
+            if entry is not None:
+                single = single or j == i + 1
+                yield j, entry[0], float(self.weights[entry[0]])
+        if not single:
+            yield i + 1, None, self.fallback(word[i])
+
+    def _reach_alone(self, word: str) -> list[float]:
         """Forward recursion over one long word."""
-        table, longest, n = self.encoder.table, self.encoder.longest, len(word)
-        reach = [-math.inf] * (n + 1)
-        reach[0] = 0.0
+        reach = [0.0] + [-math.inf] * len(word)
+        for i in range(len(word)):
+            for j, _, weight in self._arcs(word, i):
+                reach[j] = _log_add(reach[j], reach[i] + weight)
+        return reach
 
-        def add(j: int, value: float) -> None:
-            low, high = sorted((reach[j], value))
-            reach[j] = high if low == -math.inf else high + math.log1p(math.exp(low - high))
+    def _expected_alone(self, word: str, times: float, out: np.ndarray) -> None:
+        """Adds the expected pieces of one long word; the arcs are found again on the way back and not held."""
+        reach, n = self._reach_alone(word), len(word)
+        left = [-math.inf] * n + [0.0]
+        for i in range(n - 1, -1, -1):
+            for j, piece, weight in self._arcs(word, i):
+                left[i] = _log_add(left[i], weight + left[j])
+                if piece is not None:
+                    out[piece] += times * math.exp(reach[i] + weight + left[j] - reach[n])
 
-        for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if word[i:j] not in table:
-                    break
-                entry = table[word[i:j]]
-                if entry is not None:
-                    single = single or j == i + 1
-                    add(j, reach[i] + float(self.weights[entry[0]]))
-            if not single:
-                add(i + 1, reach[i] + self.fallback(word[i]))
-        return reach[n]
+
+def _log_add(one: float, other: float) -> float:
+    low, high = sorted((one, other))
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
 
 
 def _sized(value: int, n: int, array: np.ndarray) -> np.ndarray:
@@ -223,26 +241,34 @@ def prior(entries: list) -> np.ndarray:
     return np.maximum(weights / weights.sum(), LEAST_WEIGHT)
 
 
-def adapted(rows: DataFrame, entries: list, n_docs: int) -> np.ndarray:
-    """Weights of the pieces after START_ROUNDS of expectation-maximisation on a sample.
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """Occurrences of every word of the training documents: word, n."""
 
-    The sample is taken by a hash of the row, so it does not depend on partitions. It is
-    a starting point only: the counts of the model come from all training documents.
-    """
-    every = max(1, round(n_docs / START_DOCS))
+    def given(known: Vocabulary, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(known.words), 10_000):
+            some = pa.array(known.words[low : low + 10_000], pa.binary())
+            yield pa.RecordBatch.from_arrays([some, pa.array(counts[low : low + 10_000], pa.int64())], ["word", "n"])
 
     def words(batches):
+        known, counts = Vocabulary(), np.empty(0, np.int64)
         for part in blocks(batches):
-            known = Vocabulary()
+            if len(known.words) > MEMO_WORDS:
+                yield from given(known, counts)
+                known, counts = Vocabulary(), np.empty(0, np.int64)
             numbers, _, _ = _read(part, known)
-            n = np.bincount(numbers, minlength=len(known.words))
-            yield pa.RecordBatch.from_arrays([pa.array(known.words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+            counts = _sized(0, len(known.words), counts)
+            counts += np.bincount(numbers, minlength=len(known.words))
+        yield from given(known, counts)
+
+    counted = rows.where("train").select("text").mapInArrow(words, "word binary, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    some = rows.where(F.col("train") & (F.pmod(F.xxhash64("ref", F.lit(1)), F.lit(every)) == 0)).select("text")
-    counted = some.mapInArrow(words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def adapted(rows: DataFrame, entries: list) -> np.ndarray:
+    """Weights of the pieces after START_ROUNDS of expectation-maximisation on all training words."""
     context = rows.sparkSession.sparkContext
-    # A few thousand texts: one task per core reads their words in every round.
-    table = cut_lineage(counted.coalesce(context.defaultParallelism))
+    # Every round reads the distinct words, dealt evenly, and not the texts.
+    table = cut_lineage(_word_counts(rows))
     weights = prior(entries)
     known = context.broadcast({"entries": entries})
     for _ in range(START_ROUNDS):
@@ -266,13 +292,13 @@ def adapted(rows: DataFrame, entries: list, n_docs: int) -> np.ndarray:
     return weights / weights.sum()
 
 
-def train(rows: DataFrame, common: np.ndarray, entries: list, n_docs: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+def train(rows: DataFrame, common: np.ndarray, entries: list) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Training counts of the common words, weights of the pieces, and numbers of tokens and texts.
 
     Every distinct word of a task is cut into its best pieces under the adapted weights;
     pieces count as often as their words occur.
     """
-    start = adapted(rows, entries, n_docs)
+    start = adapted(rows, entries)
     mean = math.log(np.mean([w for w, e in zip(start, entries) if e[2]] or [LEAST_WEIGHT]))
     scored = [(p, round(256 * (mean if is_byte else math.log(w))), is_byte) for (p, _, is_byte), w in zip(entries, start)]
     sent = rows.sparkSession.sparkContext.broadcast({"common": common, "entries": scored})
@@ -470,7 +496,7 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     rows = referenced(docs).withColumn("train", ~held_out)
     entries = vocabulary(path)
     common = common_words(rows)
-    counts, weights, n_words, n_texts = train(rows, common, entries, docs.count())
+    counts, weights, n_words, n_texts = train(rows, common, entries)
     n_train = n_words + n_texts
     n_buckets = bucket_count(docs, LATTICE_BUCKET)
     spread = _spread(rows, common, counts, entries, weights, (n_words, n_texts), n_buckets)
