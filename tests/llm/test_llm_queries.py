@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
     assert set(ORACLES) <= set(driver.oracle_sql())
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
