@@ -22,7 +22,7 @@ SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 # Words of the mix for 100 words of the documents, and passes over a source at most.
 PERCENT, PASSES = 150, 2
 # Rows of a source that one task puts in order, and equal rows that go as one.
-PIECE_ROWS, CHUNK_ROWS = 100_000, 1_024
+PIECE_ROWS, CHUNK_ROWS = 2_000, 1_024
 # Bytes of source names that may be sent to every executor.
 BROADCAST_BYTES = 8 << 20
 
