@@ -9,7 +9,7 @@ from alarmloom.operators.ordering import join_per_group, number_rows
 from alarmloom.operators.sizing import longest_group, split_rows
 from alarmloom.operators.split import split_traces
 from alarmloom.operators.windows import full_windows, route_windows, with_first_sender
-from alarmloom.schema import TCP_FLAG_BITS
+from alarmloom.sources import captures
 
 WINDOW = 3
 CASE = ["label", "phase", "case_id"]
@@ -228,7 +228,8 @@ def model_steps(events: DataFrame, split: int | None) -> DataFrame:
     )
 
 
-CAPTURE_PACKETS = 100_000
+# Packets after which a capture goes on in another file.
+FILE_PACKETS = 40
 
 
 def with_real_addresses(rows: DataFrame) -> DataFrame:
@@ -241,50 +242,12 @@ def with_real_addresses(rows: DataFrame) -> DataFrame:
     )
 
 
-def capture_files(numbered: DataFrame) -> DataFrame:
-    """Capture bytes of the packets, one file per flow and 100,000 packets.
-
-    Later files of a flow get a case id of their own, as rotated captures do.
-    """
-
-    def big(value: Column, octets: int) -> Column:
-        return F.lpad(F.hex(value), 2 * octets, "0")
-
-    def address(text: Column) -> Column:
-        return F.concat(*[big(F.split(text, r"\.")[i].cast("bigint"), 1) for i in range(4)])
-
-    names = F.split("tcp_flag", r"\+")
-    bits = sum(
-        (F.when(F.array_contains(names, name), bit).otherwise(0) for bit, name in TCP_FLAG_BITS), F.lit(0)
-    ).cast("bigint")
-    micros = F.unix_micros("ts")
-    length = F.lit(54) + F.col("payload_size")
-    record = F.concat(
-        big(F.floor(micros / 1_000_000), 4),
-        big(micros % 1_000_000, 4),
-        big(length, 4),
-        big(length, 4),
-        F.lit("00" * 12 + "0800" + "4500"),
-        big(F.lit(40) + F.col("payload_size"), 2),
-        F.lit("00000000" + "4006" + "0000"),
-        address(F.col("src_ip")),
-        address(F.col("dst_ip")),
-        big(F.col("src_port").cast("bigint"), 2),
-        big(F.col("dst_port").cast("bigint"), 2),
-        F.lit("00" * 8 + "50"),
-        big(bits, 1),
-        F.lit("00" * 6),
-        F.repeat(F.lit("00"), F.col("payload_size").cast("int")),
-    )
-    piece = F.floor((F.col("packet_no") - 1) / CAPTURE_PACKETS)
-    ordered = F.array_sort(F.collect_list(F.struct("packet_no", record.alias("hex"))))
-    header = F.lit("A1B2C3D4" + "00020004" + "00" * 8 + "0000FFFF" + "00000001")
-    suffix = F.when(F.col("piece") > 0, F.concat(F.lit("."), F.col("piece").cast("string"))).otherwise("")
-    return (
-        numbered.groupBy("label", "case_id", piece.alias("piece"))
-        .agg(F.array_join(ordered["hex"], "").alias("body"))
-        .select(
-            F.concat_ws("/", F.lit("captures"), "label", F.concat("case_id", suffix, F.lit(".pcap"))).alias("path"),
-            F.unhex(F.concat(header, "body")).alias("content"),
-        )
-    )
+def damaged_records(numbered: DataFrame) -> DataFrame:
+    """Records of capture files, of which every seventh flow has a torn end and every eleventh no capture header."""
+    rows = captures.rotated_records(with_real_addresses(numbered), 1 << 40)
+    user = F.regexp_extract("path", r"flow_(\d+)\.pcap$", 1).cast("bigint")
+    header = (F.col("packet_no") == 0) & (user % 11 == 0)
+    rows = rows.withColumn("record", F.when(header, F.lit(b"not a capture, but long enough")).otherwise(F.col("record")))
+    torn = rows.where((F.col("packet_no") == 0) & (user % 7 == 0))
+    end = torn.select("path", F.lit((1 << 62)).cast("bigint").alias("packet_no"), F.lit(b"torn").alias("record"))
+    return rows.unionByName(end)

@@ -526,10 +526,13 @@ SELECT label, state, case_id, event_no, activity, payload_size FROM numbered WHE
   FROM (SELECT *, concat_ws('.', 10, u // 65536 % 256, u // 256 % 256, u % 256) AS client
         FROM (SELECT *, CAST(substr(case_id, 6) AS BIGINT) AS u FROM packets))
 )
-SELECT label, case_id || CASE WHEN packet_no > 100000 THEN '.' || CAST((packet_no - 1) // 100000 AS VARCHAR) ELSE '' END
-         || '.pcap' AS case_id,
-       (packet_no - 1) % 100000 + 1 AS packet_no, src_ip, dst_ip, src_port, dst_port, tcp_flag, payload_size, direction,
+SELECT label, case_id || '.pcap' AS case_id, packet_no, src_ip, dst_ip, src_port, dst_port, tcp_flag, payload_size, direction,
        strftime(ts, {STAMP}) AS ts_text FROM addressed""",
+    "capture_errors": f"""WITH {PACKETS}, sizes AS (
+  SELECT label || '/' || case_id || '.pcap' AS file, CAST(substr(case_id, 6) AS BIGINT) AS u, count(*) AS n FROM packets GROUP BY ALL
+)
+SELECT file, CASE WHEN u % 11 = 0 THEN 'not a capture file' WHEN u % 7 = 0 THEN 'record header is cut off' END AS reason,
+  CASE WHEN u % 11 = 0 OR u % 7 = 0 THEN 0 ELSE n END AS n_packets FROM sizes""",
     "alarm_semi_join": """SELECT o_orderkey AS id FROM orders
 WHERE o_orderstatus <> 'O' AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
     "labelled_captures": f"WITH {RAW} SELECT DISTINCT case_id AS id FROM raw WHERE label = 'TP'",

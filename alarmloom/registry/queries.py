@@ -785,10 +785,11 @@ def flow_csv_scan(spark, sf_dir):
 
 @query
 def capture_ingest(spark, sf_dir):
-    """Packets written as capture bytes and decoded again."""
+    """Packets written as rotated capture files and read again by byte ranges."""
     source = fx.packets(spark, sf_dir)
-    rows = captures.packets_of(captures.decode_files(fx.capture_files(fx.with_real_addresses(source.rows))))
-    found = windows.with_direction(rows, split=source.split)
+    path = scratch_path(spark, "captures")
+    captures.write_captures(fx.with_real_addresses(source.rows), path, fx.FILE_PACKETS)
+    found = captures.read_captures(spark, path, source.split, rotated=True)
     return found.select(
         "label", "case_id", "packet_no", "src_ip", "dst_ip", F.col("src_port").cast("bigint").alias("src_port"),
         F.col("dst_port").cast("bigint").alias("dst_port"), "tcp_flag", "payload_size", "direction",
@@ -796,6 +797,18 @@ def capture_ingest(spark, sf_dir):
     )
 
 
+@query
+def capture_errors(spark, sf_dir):
+    """Capture files that cannot be read, and the packets of all others."""
+    path = scratch_path(spark, "damaged")
+    captures.write_records(fx.damaged_records(fx.packets(spark, sf_dir).rows), path)
+    decoded = captures.scan(spark, path, range_bytes=4096)
+    name = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    errors = captures.ingest_errors(decoded).select(name.alias("file"), "reason", F.lit(0).cast("bigint").alias("n_packets"))
+    read = captures.packets_of(decoded).groupBy(F.concat_ws("/", "label", "case_id").alias("file")).agg(F.count("*").alias("n_packets"))
+    return errors.unionByName(read.withColumn("reason", F.lit(None).cast("string")))
+
+
 @query
 def alarm_semi_join(spark, sf_dir):
     """Alarmed orders that have line items, as alarms that have packets."""

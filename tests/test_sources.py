@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -77,6 +78,89 @@ def test_capture_ingest(spark, folder):
     assert {r["path"].rsplit("/", 1)[1] for r in errors.collect()} == {"cut.pcap", "junk.pcap", "link.pcap"}
 
 
+def plain_packets(data):
+    """Fields of the TCP packets of a capture, record by record."""
+    order, units = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\xa1\xb2\x3c\x4d": (">", 1e9)}[data[:4]]
+    at, out = 24, []
+    while at < len(data):
+        seconds, part, held, _ = struct.unpack_from(order + "IIII", data, at)
+        frame = data[at + 16 : at + 16 + held]
+        at += 16 + held
+        kind, skip = frame[12:14], 14
+        while kind in (b"\x81\x00", b"\x88\xa8"):
+            kind, skip = frame[skip + 2 : skip + 4], skip + 4
+        body = frame[skip:]
+        if kind != b"\x08\x00" or len(body) < 20 or body[0] >> 4 != 4 or body[9] != 6 or int.from_bytes(body[6:8]) & 0x1FFF:
+            continue
+        header, total = (body[0] & 15) * 4, int.from_bytes(body[2:4])
+        segment = body[header : total or len(body)]
+        if header < 20 or len(segment) < 20 or segment[12] >> 4 < 5:
+            continue
+        size = max(0, len(segment) - (segment[12] >> 4) * 4)
+        out.append((round(seconds + part / units, 6), int.from_bytes(segment[:2]), int.from_bytes(segment[2:4]), segment[13], size))
+    return out
+
+
+def fuzzed(seed, n=150):
+    """Frames with random damage and with whole captures as payload, in which other headers chain."""
+    rng = random.Random(seed)
+    frames = []
+    for _ in range(n):
+        inner = capture([ethernet(ip(tcp(b"x" * rng.randrange(40))))] * rng.randrange(60))
+        frame = bytearray(ethernet(ip(tcp(rng.choice([b"", b"data", inner[24:], inner, bytes(900)]), flags=rng.randrange(64)), options=b"\1" * 4 * rng.randrange(3), pad=b"\0" * rng.randrange(9)), tags=(0x8100, 0x88A8)[: rng.randrange(3)]))
+        if rng.random() < 0.3:
+            frame[rng.randrange(len(frame))] = rng.randrange(256)
+        frames.append(bytes(frame[: rng.randrange(len(frame))] if rng.random() < 0.2 else frame))
+    return frames
+
+
+@pytest.mark.parametrize("range_bytes", [97, 1000, 20_000, 1 << 26])
+def test_byte_ranges_give_the_packets_of_whole_files(spark, tmp_path, range_bytes):
+    files = {
+        "FP/a.pcap": capture(fuzzed(1, 60)),
+        "FP/a.1.pcap": capture(fuzzed(2, 20), "<"),
+        "FP/a.10.pcap": capture(fuzzed(3, 20), magic=0xA1B23C4D),
+        "FP/a.2.pcap": capture(fuzzed(4, 20), cut=9),
+        "TP/b.pcap": capture(fuzzed(5, 20) + [ethernet(ip(tcp(b"z" * 60_000)))] + fuzzed(6, 5)),
+        "TP/none.pcap": b"",
+        "TP/torn.pcap": capture(fuzzed(7, 30)) + b"abc",
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    decoded = captures.scan(spark, str(tmp_path), range_bytes)
+    fields = ("ts", "src_port", "dst_port", "payload_size")
+    for rotated in (False, True):
+        rows = captures.packets_of(decoded, rotated).orderBy("label", "case_id", "packet_no").collect()
+        found = {}
+        for r in rows:
+            held = found.setdefault((r["label"], r["case_id"]), [])
+            held.append((round(r["ts"].timestamp(), 6), *(r[f] for f in fields[1:])))
+            assert r["packet_no"] == len(held)
+        plain = {tuple(k.split("/")): [(p[0], p[1], p[2], p[4]) for p in plain_packets(v)] for k, v in files.items() if v and "torn" not in k}
+        if rotated:
+            plain["FP", "a.pcap"] = sum((plain.pop(("FP", f"a{k}.pcap")) for k in (".1", ".2", ".10")), plain["FP", "a.pcap"])
+        assert found == {k: v for k, v in plain.items() if v}
+    errors = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in captures.ingest_errors(decoded).collect()}
+    assert errors == {"none.pcap": "not a capture file", "torn.pcap": "record header is cut off"}
+    if range_bytes == 1000:
+        whole = captures.packets_of(captures.decode_files(captures.read_files(spark, str(tmp_path))))
+        ranged = captures.packets_of(decoded)
+        assert whole.exceptAll(ranged).count() == 0 and ranged.exceptAll(whole).count() == 0
+
+
+def test_written_captures_are_rotated_and_read_back(spark, tmp_path):
+    packets = fx.with_real_addresses(fx.packets(spark, "/root/testdata/sf0.001").rows)
+    captures.write_captures(packets, str(tmp_path), file_packets=7)
+    names = {p.name for p in tmp_path.rglob("*")}
+    assert not [n for n in names if "pcap" in n and not n.endswith(".pcap")] and "flow_0.1.pcap" in names
+    read = captures.read_captures(spark, str(tmp_path), range_bytes=300, rotated=True)
+    columns = ["label", "packet_no", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flag", "payload_size"]
+    case = F.regexp_replace("case_id", ".pcap$", "").alias("case_id")
+    one, other = read.select(case, *columns), packets.select("case_id", *(F.col(c).cast(read.schema[c].dataType) for c in columns))
+    assert one.exceptAll(other).count() == 0 and one.count() == other.count() == 1000
+
+
 def test_flow_files(spark, tmp_path):
     (tmp_path / "one.csv").write_text("duration,protocol\n0.5,TCP\n0,UDP\n1.5,TCP\n")
     (tmp_path / "two.csv").write_text("duration,protocol\n2.5,TCP\n")
