@@ -20,8 +20,6 @@ from alarmloom.operators.ordering import join_per_group, next_row, previous_row,
 from alarmloom.operators.sizing import cut_lineage, held_side
 from alarmloom.operators.trees import Net, read_trees
 
-LEVELS_PER_CHECKPOINT = 6
-
 
 def mark_frequent(pairs: DataFrame, noise: float, keys: list[str]) -> DataFrame:
     """Column `kept`: false on pairs rarer than the noise share of the strongest pair from the same source."""
@@ -79,8 +77,8 @@ def discover_trees(
     fits its tree.
     """
     spark = steps.sparkSession
-    sublog = steps.select(*log, F.lit("0").alias("node"), "sid", "pos", "activity", "weight").persist()
-    level, finished = 0, []
+    sublog = steps.select(*log, F.lit("0").alias("node"), "sid", "pos", "activity", "weight")
+    sublog = cut_lineage(sublog)
     total: dict[tuple, int] = {}
     tree_rows: list[tuple] = []
     schema = _tree_schema(steps, log)
@@ -89,17 +87,12 @@ def discover_trees(
         assigned: list[tuple] = []
         for key, graph in _graphs(_count(sublog, log, noise, split), log):
             _Place(key, graph, noise, total, tree_rows, assigned).grow()
-        for older in finished:
-            older.unpersist()
-        finished = [sublog]
         if not assigned:
             break
-        level += 1
         moves = {row[-3] for row in assigned}
         targets = held_side(spark.createDataFrame(assigned, assign_type), len(assigned))
-        moved = _move(sublog, targets, moves, log, split)
-        sublog = cut_lineage(moved) if level % LEVELS_PER_CHECKPOINT == 0 else moved.persist()
-    sublog.unpersist()
+        # A level reads the one before several times, so plans would double with every level.
+        sublog = cut_lineage(_move(sublog, targets, moves, log, split))
     return spark.createDataFrame(tree_rows, schema)
 
 

@@ -72,10 +72,15 @@ def cosine_to_profile(
     return sums.join(norms, state).select(*keys, cosine.alias("similarity"))
 
 
+def without_profile(vectors: DataFrame, profile: DataFrame, state: list[str] = STATE) -> DataFrame:
+    """States that have traces but no training profile."""
+    known = small_side(profile.select(*state).distinct())
+    return vectors.select(*state).distinct().join(known, state, "left_anti")
+
+
 def require_profiles(vectors: DataFrame, profile: DataFrame, state: list[str] = STATE) -> None:
     """Raise when a state has traces but no training profile."""
-    known = small_side(profile.select(*state).distinct())
-    missing = vectors.select(*state).distinct().join(known, state, "left_anti").limit(10).collect()
+    missing = without_profile(vectors, profile, state).limit(10).collect()
     if missing:
         raise KeyError(f"no training profile for {[tuple(row) for row in missing]}")
 

@@ -1,7 +1,7 @@
 """Alarm rating from packets to bands: training on false alarms, then rating both kinds.
 
 Grid columns (repetition, detector, window size, number of clusters) are part of
-the keys: one job handles all cells, and only clusterings are fitted per cell.
+the keys: one job handles all cells, their clusterings included.
 """
 
 from dataclasses import dataclass
@@ -9,8 +9,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alarmloom.operators import bands, conformance, discovery, eventlog, profiles, split, states, windows
-from alarmloom.schema import FALSE_ALARM, TRUE_ALARM
+from alarmloom.operators import bands, cells, conformance, discovery, eventlog, profiles, split, windows
+from alarmloom.operators.sizing import cut_lineage, small_side
+from alarmloom.schema import FALSE_ALARM, TRUE_ALARM, WINDOW_FEATURES
 from alarmloom.sources import logs
 
 HELD = ["ts", "direction", "tcp_flag", "payload_size"]
@@ -118,6 +119,7 @@ class Rated:
     counts: DataFrame
     banded: DataFrame
     table: DataFrame
+    errors: DataFrame | None = None
 
 
 def rate(
@@ -127,40 +129,83 @@ def rate(
     model: list[str] = ("state",),
     grid: list[str] = (),
     split_at: int | None = None,
+    skip: bool = False,
 ) -> Rated:
-    """Alarm bands of inference traces; a state without a training profile is an error."""
+    """Alarm bands of inference traces; a state without a training profile is an error.
+
+    With skip, such a state takes its grid cell out: the cell has a row in errors.
+    """
     model = list(model)
     alarm = [c for c in trace if c != "state"]
     counts = conformance.Alignments(events, trained.tree, model, trace, split_at, wide=True).sync_counts().persist()
     control = trained.profiles["control_flow"].persist()
-    profiles.require_profiles(counts, control, model)
+    errors = None
+    if skip:
+        lost = profiles.without_profile(counts, control, model)
+        named = F.concat(F.lit("no training profile for "), F.array_join(F.array_sort(F.collect_set("state")), ", "))
+        errors = cut_lineage(lost.groupBy(*grid).agg(named.alias("reason")))
+        counts = counts.join(small_side(errors.drop("reason")), list(grid), "left_anti")
+    else:
+        profiles.require_profiles(counts, control, model)
     per_state = profiles.cosine_to_profile(counts, control, trace, "n", model)
     banded = bands.with_band(profiles.mean_similarity(per_state, alarm)).persist()
-    return Rated(counts, banded, bands.band_table(banded, list(grid)))
+    return Rated(counts, banded, bands.band_table(banded, list(grid)), errors)
+
+
+CELL = ["repetition", "detector", "window_size", "clusters"]
+
 
+@dataclass
+class Grid:
+    """Band tables of all cells that could be rated, and why the others could not."""
+
+    banded: DataFrame
+    table: DataFrame
+    errors: DataFrame
 
-def grid_events(
+
+def grid_windows(packets: DataFrame, parts: DataFrame, sizes: list[int], clusters: list[int], split_at: int | None = None) -> DataFrame:
+    """Windows of every cell.
+
+    parts is the repeated split (repetition, detector, phase, label, id). The windows of a
+    size are computed once; the split and the numbers of states repeat them.
+    """
+    keys = ["label", "case_id"]
+    per_size = [
+        window_rows(packets, size, keys, split_at).withColumn("window_size", F.lit(size).cast("bigint")) for size in sizes
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b), per_size)
+    members = small_side(parts.withColumnRenamed("id", "case_id"))
+    numbers = F.array(*[F.lit(k).cast("bigint") for k in clusters])
+    return rows.join(members, keys).withColumn("clusters", F.explode(numbers))
+
+
+def run_grid(
     packets: DataFrame,
-    keys: list[str],
+    parts: DataFrame,
     sizes: list[int],
     clusters: list[int],
-    clustering: str = "kmeans",
     normalization: str = "zscore",
+    noise: float = 0.0,
+    validation: float = 0.2,
     split_at: int | None = None,
-) -> DataFrame:
-    """Events for every window size and number of states, with both as columns.
+) -> Grid:
+    """Rating in every cell of repetition, detector, window size and number of states.
 
-    States are fitted on the training windows of a cell and used for all its
-    windows. The windows of a size are computed once for all its cells.
+    All cells go through the same jobs, their columns being part of the keys. A cell whose
+    states cannot be fitted, or that meets a state without a training profile, gives a row
+    in errors and none in the table.
     """
-    cells = []
-    for size in sizes:
-        rows = window_rows(packets, size, keys, split_at).persist()
-        for k in clusters:
-            model = states.fit_states(rows.where("phase = 'training'"), k, clustering, normalization)
-            cell = model.transform(rows).withColumns(
-                {"window_size": F.lit(size).cast("bigint"), "clusters": F.lit(k).cast("bigint")}
-            )
-            cells.append(cell)
-    labelled = reduce(lambda a, b: a.unionByName(b), cells)
-    return state_events(labelled, ["window_size", "clusters", *keys], split_at=split_at)
+    found = grid_windows(packets, parts, sizes, clusters, split_at)
+    # The cells that the settings ask for: as many rows as the grid has.
+    asked = parts.select("repetition", "detector").distinct()
+    for name, values in (("window_size", sizes), ("clusters", clusters)):
+        asked = asked.withColumn(name, F.explode(F.array(*[F.lit(v).cast("bigint") for v in values])))
+    narrow = found.where("phase = 'training'").select(*CELL, *WINDOW_FEATURES)
+    model = cells.fit_cells(narrow, CELL, "clusters", WINDOW_FEATURES, normalization, asked)
+    keys = [*CELL, "label", "phase", "case_id"]
+    trace, log = [*keys[:-1], "state", "case_id"], [*CELL, "state"]
+    events = cut_lineage(state_events(model.transform(found), keys, split_at=split_at))
+    trained = train(events.where("phase = 'training'"), trace, log, noise, validation, split_at)
+    rated = rate(events.where("phase = 'inference'"), trained, trace, log, CELL, split_at, skip=True)
+    return Grid(rated.banded, rated.table, model.failures.unionByName(rated.errors))

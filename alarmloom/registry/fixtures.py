@@ -251,3 +251,44 @@ def damaged_records(numbered: DataFrame) -> DataFrame:
     torn = rows.where((F.col("packet_no") == 0) & (user % 7 == 0))
     end = torn.select("path", F.lit((1 << 62)).cast("bigint").alias("packet_no"), F.lit(b"torn").alias("record"))
     return rows.unionByName(end)
+
+
+ALARM_DETECTORS = ["every_alarm", "every_third", "silent"]
+
+
+def grid_alarms(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """False alarms with the detectors that raise them, and true alarms; one detector raises no false alarm."""
+    flows = numbered.groupBy("label", "case_id").agg(F.count("*").alias("n"))
+    user = F.substring_index("case_id", "_", -1).cast("bigint")
+    false_alarms = flows.where("label = 'FP'").select(
+        F.col("case_id").alias("id"),
+        F.lit(1).alias("every_alarm"),
+        (user % 3 == 0).cast("int").alias("every_third"),
+        F.lit(0).alias("silent"),
+    )
+    return false_alarms, flows.where("label = 'TP'").select(F.col("case_id").alias("id"))
+
+
+def planted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window features around three far centres, one per group of users; constant and mixed features among them.
+
+    `part` splits the rows in two cells of like content, and a third one has too few distinct windows.
+    """
+    g = F.col("user_id") % 3
+    rows = table(spark, sf_dir, "events").select(
+        "event_id",
+        (F.col("event_id") % 2).alias("part"),
+        g.alias("planted"),
+        (g * 100_000 + F.col("value")).alias("avg_payload"),
+        (g + 1).alias("n_servers"),
+        (g * 3 + 2).alias("n_user_ports"),
+        (2 - g).alias("n_ack"),
+        F.lit(0).cast("bigint").alias("n_syn"),
+        (g * g).alias("n_fin"),
+        F.when(g == 1, 5).otherwise(0).cast("bigint").alias("n_psh"),
+        g.alias("n_rst"),
+    )
+    poor = rows.where("event_id % 10 = 0").withColumns(
+        {"part": F.lit(2).cast("bigint"), "avg_payload": F.lit(1.0), **{c: F.lit(0).cast("bigint") for c in ("n_servers", "n_user_ports", "n_ack", "n_fin", "n_psh")}}
+    )
+    return rows.unionByName(poor.withColumn("n_rst", F.col("event_id") % 20 / 10))

@@ -561,4 +561,10 @@ FROM band_table""",
 ), m AS (SELECT label, case_id, avg(fitness) AS fitness FROM f GROUP BY ALL),
 t AS (SELECT greatest(0, avg(fitness) - 2 * stddev_pop(fitness)) AS threshold FROM m)
 SELECT count(*) FILTER (fitness >= threshold) AS kept, round(max(threshold), 6) AS threshold FROM m, t""",
+    "cell_states": "SELECT event_id % 2 AS part, event_id, 'STATE_' || CAST(user_id % 3 AS VARCHAR) AS state FROM events",
+    "cell_failures": """SELECT part, CAST(3 AS BIGINT) AS clusters, reason FROM (VALUES
+  (CAST(2 AS BIGINT), '3 states of fewer distinct windows'), (10, 'no windows to fit'), (11, 'no windows to fit'), (12, 'no windows to fit')) f(part, reason)
+WHERE EXISTS (SELECT 1 FROM events)""",
+    "planted_states": """SELECT method, event_id % 2 AS part, event_id, 'STATE_' || CAST(user_id % 3 AS VARCHAR) AS state
+FROM events, (SELECT unnest(['kmeans', 'gmm', 'agglomerative']) AS method)""",
 }

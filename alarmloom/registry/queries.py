@@ -14,6 +14,7 @@ from alarmloom.detectors.models import (
 from alarmloom.functions import numbers, packets as px
 from alarmloom.operators import (
     bands,
+    cells,
     clean,
     conformance,
     discovery,
@@ -940,12 +941,41 @@ def threshold_store(spark, sf_dir):
 
 @query
 def experiment_grid(spark, sf_dir):
-    """Rating per window size and number of states, all cells in one table."""
+    """Rating per repetition, detector, window size and number of states, and the cells that failed."""
     source = fx.packets(spark, sf_dir)
-    cell = ["window_size", "clusters"]
-    trace = [*cell, *fx.TRACE]
-    events = triage.grid_events(source.rows, fx.CASE, [3, 5], [2], split_at=source.split).persist()
-    model = [*cell, "state"]
-    trained = triage.train(fx.training(events), trace, model, split_at=source.split)
-    rated = triage.rate(fx.inference(events), trained, trace, model, cell, source.split)
-    return rated.table.select(*cell, "cut", "band", "tp_count", "fp_count", r6("recall"), r6("precision"))
+    parts = split.repeated_alarm_split(*fx.grid_alarms(source.rows), fx.ALARM_DETECTORS)
+    grid = triage.run_grid(source.rows.drop("phase"), parts, [3, 5], [2, 3], split_at=source.split)
+    rated = grid.table.select(*triage.CELL, "cut", "band", "tp_count", "fp_count", r6("recall"), r6("precision"))
+    return rated.unionByName(grid.errors, allowMissingColumns=True)
+
+
+def _planted(spark, sf_dir) -> DataFrame:
+    return fx.planted_windows(spark, sf_dir).withColumn("clusters", F.lit(3).cast("bigint"))
+
+
+@query
+def cell_states(spark, sf_dir):
+    """States of all cells from one keyed fit, on windows whose groups are known."""
+    rows = _planted(spark, sf_dir)
+    return cells.fit_cells(rows, ["part", "clusters"]).transform(rows).select("part", "event_id", "state")
+
+
+@query
+def cell_failures(spark, sf_dir):
+    """Cells that cannot be fitted: too few distinct windows, and none at all."""
+    rows = _planted(spark, sf_dir)
+    asked = rows.select("part", "clusters").distinct()
+    asked = asked.unionByName(asked.select((F.col("part") + 10).alias("part"), "clusters"))
+    return cells.fit_cells(rows, ["part", "clusters"], wanted=asked).failures
+
+
+@query
+def planted_states(spark, sf_dir):
+    """States by every clustering method, on windows whose groups are known."""
+    rows = _planted(spark, sf_dir).where("part < 2").persist()
+    found = []
+    for kind in ("kmeans", "gmm", "agglomerative"):
+        model = states.fit_states(rows, 3, kind)
+        labelled = states.assign_states(model, rows, training=True)
+        found.append(labelled.select(F.lit(kind).alias("method"), "part", "event_id", "state"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
