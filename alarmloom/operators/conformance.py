@@ -6,7 +6,8 @@ part, so that a part has few markings. A part is aligned by carrying the
 cheapest cost of every marking along the sequence. Long sequences are cut into
 pieces: every piece is summed up as a marking-to-marking cost table, the tables
 are chained, and the pieces are then aligned side by side. Parts with too many
-markings can be aligned by intervals of the trace instead, each sequence whole.
+markings for such tables are aligned over single moves, or by intervals of the trace,
+each sequence whole.
 """
 
 from collections import Counter, defaultdict, deque
@@ -25,6 +26,7 @@ from alarmloom.operators.trees import (
     Net,
     TooManyMarkings,
     Tree,
+    Walks,
     advance,
     concurrent_parts,
     read_trees,
@@ -41,57 +43,45 @@ BATCH_CELLS = 20_000_000
 class Models:
     """Compiled parts of every log's tree; small enough to travel with the tasks.
 
-    With `wide`, parts with too many markings are held as Intervals. Without, a log whose
-    tree has such a part is in `failed`: its variants get null alignments, and all other
-    logs go on.
+    Parts with many markings are held as Walks or Intervals, which give the same alignments.
     """
 
-    def __init__(self, tree: DataFrame, log: list[str], wide: bool = False):
+    def __init__(self, tree: DataFrame, log: list[str]):
         self.log = list(log)
         self.trees = read_trees([row.asDict() for row in tree.collect()], log)
-        self.parts: dict[tuple, Markings | Intervals] = {}
-        self.failed: dict[tuple, str] = {}
+        self.parts: dict[tuple, Markings | Walks | Intervals] = {}
         for key, root in self.trees.items():
-            try:
-                held = [self._compiled(part, wide) for part in concurrent_parts(root)]
-            except TooManyMarkings as error:
-                self.failed[key] = str(error)
-                continue
+            held = [self._compiled(part) for part in concurrent_parts(root)]
             self.parts.update({(*key, number): part for number, part in enumerate(held)})
         self.spark = tree.sparkSession
         self.types = "".join(f"{c} {tree.schema[c].dataType.simpleString()}, " for c in log)
 
     @staticmethod
-    def _compiled(part: Tree, wide: bool) -> Markings | Intervals:
-        try:
-            return Markings(part)
-        except TooManyMarkings:
-            if not wide:
-                raise
-            return Intervals(part)
+    def _compiled(part: Tree) -> Markings | Walks | Intervals:
+        for kind in (Markings, Walks):
+            try:
+                return kind(part)
+            except TooManyMarkings:
+                continue
+        return Intervals(part)
 
     def wide(self) -> DataFrame | None:
-        """Keys of the parts that are aligned by intervals, if there are any."""
-        rows = [key for key, part in self.parts.items() if isinstance(part, Intervals)]
+        """Keys of the parts that take one sequence at a time, if there are any."""
+        rows = [key for key, part in self.parts.items() if not isinstance(part, Markings)]
         return held_side(self.spark.createDataFrame(rows, f"{self.types}{PART} int"), len(rows)) if rows else None
 
-    def quality(self) -> DataFrame:
-        """Logs whose model could not be compiled, and why."""
-        rows = [(*key, reason) for key, reason in self.failed.items()]
-        return self.spark.createDataFrame(rows, f"{self.types}problem string")
-
     def part_of(self) -> DataFrame:
         """Part number of every activity of every log; held by the driver already."""
         rows = [(*key, label) for key, part in self.parts.items() for label in part.labels]
         return held_side(self.spark.createDataFrame(rows, f"{self.types}{PART} int, activity string"), len(rows))
 
     def shortest(self) -> DataFrame:
-        """Cost and visible moves of the cheapest run of every log's model, over all its parts; null if it failed."""
+        """Cost and visible moves of the cheapest run of every log's model, over all its parts."""
         sums: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
         for key, part in self.parts.items():
             sums[key[:-1]][0] += part.shortest
             sums[key[:-1]][1] += part.shortest // LOG_MOVE
-        rows = [(*key, *pair) for key, pair in sums.items()] + [(*key, None, None) for key in self.failed]
+        rows = [(*key, *pair) for key, pair in sums.items()]
         types = f"{self.types}model_cost bigint, model_moves bigint"
         return held_side(self.spark.createDataFrame(rows, types), len(rows))
 
@@ -132,7 +122,7 @@ def _align_whole(sequences: DataFrame, keys: list[str], model_keys: list[str], p
         for batch in batches:
             for part, rows, coded in _batches(batch, model_keys, parts):
                 start = np.repeat(part.cost[0][None, :], len(coded), axis=0)
-                cost, origin, synced, strayed = advance(part, start, coded, track=True)
+                cost, _, origin, synced, strayed = advance(part, start, coded, track=True)
                 # The marking come from was reached by model moves before the first event.
                 total = strayed[:, part.final] + part.visible[0, origin[:, part.final]]
                 yield rows[keys].assign(
@@ -156,24 +146,29 @@ def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str],
             for part, rows, coded in _batches(batch, model_keys, parts):
                 unit = np.full((part.size, part.size), far, dtype=np.int64)
                 np.fill_diagonal(unit, 0)
-                costs = [advance(part, unit, [c] * part.size, track=False)[0].ravel() for c in coded]
-                yield rows[[*keys, "piece"]].assign(costs=costs)
+                found = [advance(part, unit, [c] * part.size, track=False)[:2] for c in coded]
+                yield rows[[*keys, "piece"]].assign(costs=[c.ravel() for c, _ in found], ties=[t.ravel() for _, t in found])
 
     def entries(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
         held = held.sort_values("piece")
         part = parts[tuple(held.iloc[0][model_keys])]
-        now, starts = part.cost[0], []
-        for costs in held["costs"]:
+        now, light, starts, lights = part.cost[0], np.zeros(part.size, dtype=np.int64), [], []
+        for costs, ties in zip(held["costs"], held["ties"]):
             starts.append(now)
-            table = np.asarray(costs).reshape(part.size, part.size)
-            now = np.minimum((now[:, None] + table).min(axis=0), far)
-        return held[[*keys, "piece"]].assign(start=starts)
+            lights.append(light)
+            ways = now[:, None] + np.asarray(costs).reshape(part.size, part.size)
+            weights = light[:, None] + np.asarray(ties).reshape(part.size, part.size)
+            now = ways.min(axis=0)
+            light = np.where(ways == now, weights, np.iinfo(np.int64).max).min(axis=0)
+            now = np.minimum(now, far)
+        return held[[*keys, "piece"]].assign(start=starts, light=lights)
 
     def ways(batches):
         for batch in batches:
             for part, rows, coded in _batches(batch, model_keys, parts):
                 start = np.stack([np.asarray(s) for s in rows["start"]])
-                cost, origin, synced, strayed = advance(part, start, coded, track=True)
+                light = np.stack([np.asarray(s) for s in rows["light"]])
+                cost, _, origin, synced, strayed = advance(part, start, coded, track=True, start_tie=light)
                 yield rows[[*keys, "piece"]].assign(
                     cost=cost[:, part.final],
                     n=[len(c) for c in coded],
@@ -201,8 +196,8 @@ def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str],
         )
 
     piece_types = f"{key_types}piece bigint, "
-    table = sequences.mapInPandas(tables, f"{piece_types}costs array<bigint>")
-    started = table.groupBy(*keys).applyInPandas(entries, f"{piece_types}start array<bigint>")
+    table = sequences.mapInPandas(tables, f"{piece_types}costs array<bigint>, ties array<bigint>")
+    started = table.groupBy(*keys).applyInPandas(entries, f"{piece_types}start array<bigint>, light array<bigint>")
     joined = sequences.join(started, [*keys, "piece"])
     way_types = "cost bigint, n bigint, origin array<bigint>, strayed array<bigint>, synced array<bigint>"
     run = joined.mapInPandas(ways, piece_types + way_types)
@@ -210,7 +205,7 @@ def _align_pieces(sequences: DataFrame, keys: list[str], model_keys: list[str],
 
 
 def _align_wide(sequences: DataFrame, keys: list[str], model_keys: list[str], parts: dict) -> DataFrame:
-    """As _align_whole, for parts that are held as Intervals."""
+    """As _align_whole, for parts that are held as Walks or Intervals."""
     key_types = "".join(f"{c} {sequences.schema[c].dataType.simpleString()}, " for c in keys)
 
     def align(batches):
@@ -282,9 +277,7 @@ class Alignments:
 
     `traces` has one row per trace with its signature; `variants` one row per
     log and variant with cost, deviations, worst case, fitness and the
-    synchronous moves as an array. Logs without a model are left out. With `wide`,
-    models with too many markings are aligned by intervals; without, their logs
-    have null costs and a row in `quality`.
+    synchronous moves as an array. Logs without a model are left out.
     """
 
     def __init__(
@@ -294,12 +287,10 @@ class Alignments:
         log: list[str],
         trace: list[str],
         split: int | None = None,
-        wide: bool = False,
     ):
         ids = [c for c in trace if c not in log]
         by_id = [*log, *ids]
-        models = Models(tree, log, wide)
-        self.quality = models.quality()
+        models = Models(tree, log)
         self.log, self.trace = list(log), list(trace)
         self.matched = [*log, *SIGNATURE]
         self.traces = traces(events, trace).persist()

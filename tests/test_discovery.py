@@ -199,23 +199,23 @@ def test_net_tables(spark):
     assert all(r["source"] in names and r["target"] in names for r in arcs.collect())
 
 
-def test_a_wide_model_gives_null_alignments_and_a_reason(spark, monkeypatch):
-    """One log whose model has too many markings does not end the job of the others."""
+@pytest.mark.parametrize("limits", [(2_000, 20_000), (20, 20_000), (20, 20)])
+def test_alignments_do_not_depend_on_how_a_model_is_held(spark, monkeypatch, limits):
     from alarmloom.operators import trees
 
-    monkeypatch.setattr(trees, "MAX_MARKINGS", 20)
+    monkeypatch.setattr(trees, "MAX_MARKINGS", limits[0])
+    monkeypatch.setattr(trees, "MAX_WALKED", limits[1])
     rows = [("small", "0", None, 0, "sequence", None), ("small", "0.0", "0", 0, "activity", "a"), ("small", "0.1", "0", 1, "activity", "b")]
     rows += [("wide", "0", None, 0, "sequence", None), ("wide", "0.0", "0", 0, "activity", "s"), ("wide", "0.1", "0", 1, "parallel", None)]
     rows += [("wide", f"0.1.{i}", "0.1", i, "activity", f"p{i}") for i in range(6)]
     tree = spark.createDataFrame(rows, "log string, node string, parent string, position int, operator string, activity string")
     logged = [("small", "c1", i, a) for i, a in enumerate("ab", 1)] + [("wide", "c2", 1, "s"), ("wide", "c2", 2, "p1")]
+    logged += [("wide", "c3", i, a) for i, a in enumerate(["p2", "s", "p1", "p1", "p5", "p4", "s", "p0"], 1)]
     events = spark.createDataFrame(logged, "log string, case_id string, event_no long, activity string").withColumns(
         {"ts": F.timestamp_seconds("event_no"), "payload_size": F.lit(0).cast("bigint"), "packet_no": F.col("event_no")}
     )
     found = conformance.Alignments(events, tree, ["log"], ["log", "case_id"])
-    fitness = {r["log"]: r["fitness"] for r in found.trace_fitness().collect()}
-    assert fitness == {"small": 1.0, "wide": None}
-    assert [r["log"] for r in found.quality.collect()] == ["wide"]
-    least = conformance.min_trace_fitness(found.trace_fitness(), ["log"])
-    assert {r["log"]: r["fitness"] for r in least.collect()} == {"small": 1.0, "wide": 0.0}
-    assert {r["log"] for r in found.sync_counts().collect()} == {"small"}
+    strayed = {(r["log"], r["case_id"]): r["deviations"] for r in found.trace_fitness().collect()}
+    assert strayed == {("small", "c1"): 0, ("wide", "c2"): 5, ("wide", "c3"): 5}
+    synced = {(r["case_id"], r["activity"]) for r in found.sync_counts().collect()}
+    assert synced == {("c1", "a"), ("c1", "b"), ("c2", "s"), ("c2", "p1"), *(("c3", x) for x in ("s", "p0", "p1", "p4", "p5"))}

@@ -1,14 +1,15 @@
 """Models with too many markings are aligned by intervals, as cheaply as by a plain search."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_discovery import cheapest
 
-from alarmloom.operators import conformance
-from alarmloom.operators.trees import LOG_MOVE, Intervals, Markings, Tree, advance, alphabet
+from alarmloom.operators import conformance, trees
+from alarmloom.operators.trees import LOG_MOVE, Intervals, Markings, TooManyMarkings, Tree, Walks, advance, alphabet
 from alarmloom.plans import triage
 
 
@@ -46,6 +47,58 @@ def test_intervals_match_a_plain_search(seed):
         assert advance(held, start, [coded], track=True)[0][0, held.final] == cost
 
 
+def by_markings(held, coded):
+    """Cost, deviations and synchronous moves of one sequence by markings."""
+    cost, _, origin, synced, strayed = advance(held, held.cost[0][None, :], [coded], track=True)
+    at = held.final
+    return int(cost[0, at]), int(strayed[0, at] + held.visible[0, origin[0, at]]), synced[0, at].tolist()
+
+
+@pytest.mark.parametrize("seed", range(400))
+def test_intervals_and_markings_count_the_same_synchronous_moves(seed):
+    picked = random.Random(1000 + seed)
+    tree = random_tree(picked, list("abcdef"[: picked.randint(2, 6)]))
+    part, held, walks = Intervals(tree), Markings(tree), Walks(tree)
+    assert walks.shortest == held.shortest and walks.labels == held.labels
+    for _ in range(5):
+        coded = np.array([picked.randrange(len(part.labels)) for _ in range(picked.randint(0, 12))], dtype=np.int64)
+        cost, strayed, synced = part.align(coded)
+        assert (cost, strayed, synced.tolist()) == by_markings(held, coded)
+        cost, strayed, synced = walks.align(coded)
+        assert (cost, strayed, synced.tolist()) == by_markings(held, coded)
+
+
+def test_a_long_trace_on_a_wide_loop():
+    """4,000 events on a loop over twelve lanes side by side, with known deviations."""
+    lanes = [f"p{i:02d}" for i in range(12)]
+    tree = Tree("loop", None, [Tree("sequence", None, [leaf("a"), Tree("parallel", None, [leaf(p) for p in lanes]), leaf("z")]), Tree("tau")])
+    with pytest.raises(TooManyMarkings):
+        Markings(tree)
+    part, picked = Walks(tree), random.Random(5)
+    events, strayed = [], 0
+    for k in range(286):
+        turn = ["a", *picked.sample(lanes, 12), "z"]
+        if k % 10 == 3:  # a lane is left out, and another one is there twice
+            turn.remove("p03")
+            turn.insert(5, "p07")
+            strayed += 2
+        events += turn
+    coded = np.array([part.labels.index(a) for a in events], dtype=np.int64)
+    start = time.perf_counter()
+    cost, found, synced = part.align(coded)
+    assert len(events) > 4000 and time.perf_counter() - start < 60
+    assert found == strayed == cost // LOG_MOVE
+    assert synced.sum() == len(events) - strayed // 2
+
+
+def test_one_of_two_equal_ways_is_taken_by_both():
+    body = Tree("parallel", None, [leaf("d"), leaf("b"), Tree("loop", None, [Tree("loop", None, [leaf("c"), leaf("e")]), leaf("a")])])
+    part, held = Intervals(body), Markings(body)
+    coded = np.array([part.labels.index(a) for a in "cbcda"], dtype=np.int64)
+    cost, strayed, synced = part.align(coded)
+    assert (cost, strayed, synced.tolist()) == by_markings(held, coded)
+
+
 def nodes(spark, width):
     rows = [("0", None, 0, "sequence", None), ("0.0", "0", 0, "activity", "s"), ("0.1", "0", 1, "parallel", None)]
     rows += [(f"0.1.{i}", "0.1", i, "activity", f"p{i:02d}") for i in range(width)]
@@ -60,7 +113,7 @@ def logged(spark, traces):
     )
 
 
-def test_alarms_of_an_eleven_wide_model_are_rated(spark):
+def test_alarms_of_an_eleven_wide_model_are_rated(spark, monkeypatch):
     lanes = [f"p{i:02d}" for i in range(11)]
     events = logged(
         spark,
@@ -71,9 +124,9 @@ def test_alarms_of_an_eleven_wide_model_are_rated(spark):
         },
     )
     tree, trace = nodes(spark, 11), ["label", "state", "case_id"]
-    for split in (None, 5):
-        found = conformance.Alignments(events, tree, ["state"], trace, split, wide=True)
-        assert found.quality.count() == 0
+    for split, walked in ((None, 20_000), (5, 20_000), (None, 100)):
+        monkeypatch.setattr(trees, "MAX_WALKED", walked)
+        found = conformance.Alignments(events, tree, ["state"], trace, split)
         assert {r["case_id"]: r["deviations"] for r in found.trace_fitness().collect()} == {"c1": 0, "c2": 0, "c3": 9}
         synced = found.sync_counts().groupBy("case_id").agg(F.sum("n").alias("n"))
         assert {r["case_id"]: r["n"] for r in synced.collect()} == {"c1": 12, "c2": 12, "c3": 5}
