@@ -209,10 +209,24 @@ def parts_of_training(events: DataFrame, split: int | None) -> tuple[DataFrame,
     return marked.where("part = 'training'"), marked.where("part = 'validation'")
 
 
-def placeholder_fitness(events: DataFrame) -> DataFrame:
-    """A stand-in fitness per trace and state that SQL can express."""
-    sizes = events.groupBy(*TRACE).agg(F.count("*").alias("n"))
-    return sizes.select(*TRACE, (F.lit(1.0) - (F.col("n") % 7) / F.lit(10.0)).alias("fitness"))
+# Activities that the fixed model of each state knows.
+KNOWN = {
+    "STATE_0": ["C_to_S_ACK", "C_to_S_ACK+PSH", "S_to_C_ACK+FIN"],
+    "STATE_1": ["C_to_S_ACK", "C_to_S_SYN", "S_to_C_SYN+ACK"],
+}
+
+
+def fixed_model(spark: SparkSession) -> DataFrame:
+    """Process trees of known alignments: in each state, its activities in any order, one event or more.
+
+    A known event is a synchronous move, any other a log move, and a trace without known
+    events has one model move.
+    """
+    rows = []
+    for state, activities in KNOWN.items():
+        rows += [(state, "0", None, 0, "loop", None), (state, "0.0", "0", 0, "xor", None), (state, "0.1", "0", 1, "tau", None)]
+        rows += [(state, f"0.0.{i}", "0.0", i, "activity", a) for i, a in enumerate(activities)]
+    return spark.createDataFrame(rows, "state string, node string, parent string, position int, operator string, activity string")
 
 
 def model_steps(events: DataFrame, split: int | None) -> DataFrame:

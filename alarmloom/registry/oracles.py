@@ -1,5 +1,7 @@
 """DuckDB SQL equivalent to the registered queries, on the same tables."""
 
+from alarmloom.registry import fixtures as fx
+
 RAW = """
 raw AS (
   SELECT CASE WHEN user_id % 2 = 0 THEN 'FP' ELSE 'TP' END AS label,
@@ -316,6 +318,20 @@ SELECT label, case_id, window_no,
        CASE WHEN d0 <= d1 AND d0 <= d2 THEN 'STATE_0' WHEN d1 <= d2 THEN 'STATE_1' ELSE 'STATE_2' END AS state FROM d"""
 
 
+KNOWN = " OR ".join(
+    f"(state = '{state}' AND activity IN ({', '.join(repr(a) for a in activities)}))" for state, activities in fx.KNOWN.items()
+)
+
+# Fitness with the fixed models: unknown events are log moves, and a trace without known ones has a model move.
+FITNESS = f"""{EVENTS}, aligned AS (
+  SELECT label, phase, state, case_id, count(*) AS n_events, count(*) FILTER (NOT ({KNOWN})) AS unknown
+  FROM log GROUP BY ALL
+), f AS (
+  SELECT label, phase, state, case_id, n_events, unknown + CAST(unknown = n_events AS INT) AS deviations, n_events + 1 AS worst,
+         1.0 - (unknown + CAST(unknown = n_events AS INT)) / CAST(n_events + 1 AS DOUBLE) AS fitness FROM aligned
+)"""
+
+
 FLAGS = [(2, "SYN"), (16, "ACK"), (1, "FIN"), (4, "RST"), (8, "PSH"), (32, "URG")]
 FLAG_NAMES = ", ".join(f"CASE WHEN (event_id % 64) & {bit} <> 0 THEN '{name}' END" for bit, name in FLAGS)
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -420,6 +436,12 @@ SELECT variant_no, n_events, n_traces, first_case FROM r WHERE variant_no <= 10"
 ), c AS (SELECT label, state, a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY ALL)
 SELECT label, state, a, b, n FROM (SELECT *, max(n) OVER (PARTITION BY label, state, a) AS top FROM c) WHERE n >= 0.5 * top""",
     "training_sync_moves": f"WITH {EVENTS} SELECT label, case_id, state, activity, n FROM counts WHERE phase = 'training'",
+    "fixed_alignments": f"""WITH {FITNESS}
+SELECT label, case_id, state, n_events, deviations, worst, round(fitness, 6) AS fitness FROM f""",
+    "fixed_sync_moves": f"""WITH {EVENTS}
+SELECT label, case_id, state, activity, count(*) AS n FROM log WHERE {KNOWN} GROUP BY ALL""",
+    "fixed_log_fitness": f"""WITH {FITNESS}
+SELECT state, count(*) AS n_traces, round(1 - sum(deviations) / CAST(sum(worst) AS DOUBLE), 6) AS fitness FROM f GROUP BY state""",
     "log_fitness": f"""WITH {EVENTS} SELECT state, count(DISTINCT case_id) AS n_traces, CAST(1 AS DOUBLE) AS fitness
 FROM log WHERE phase = 'training' GROUP BY state""",
     "control_flow_profile": f"WITH {EVENTS} SELECT state, activity, value FROM profile",
@@ -505,15 +527,9 @@ SELECT CAST(coalesce(sum(toxic_flag), 0) AS BIGINT) AS toxic_flag, CAST(coalesce
     "metrics_report": f"""WITH {PREDICTIONS}
 SELECT model, {', '.join(f'round({m}, 4) AS {m}' for m in MEASURES)}, tp, tn, fp, fn, benign_samples, anomaly_samples
 FROM metrics ORDER BY f1_score DESC, model""",
-    "trace_fitness_mean": f"""WITH {EVENTS}, f AS (
-  SELECT label, state, case_id, 1.0 - (count(*) % 7) / 10.0 AS fitness FROM log GROUP BY ALL
-) SELECT label, case_id, round(avg(fitness), 6) + 0.0 AS fitness, count(*) AS n_states FROM f GROUP BY ALL""",
-    "trace_fitness_min": f"""WITH {EVENTS}, f AS (
-  SELECT label, state, case_id, 1.0 - (count(*) % 7) / 10.0 AS fitness FROM log GROUP BY ALL
-) SELECT label, case_id, round(CAST(min(fitness) AS DOUBLE), 6) AS fitness FROM f GROUP BY ALL""",
-    "robust_threshold": f"""WITH {EVENTS}, f AS (
-  SELECT label, state, case_id, 1.0 - (count(*) % 7) / 10.0 AS fitness FROM log GROUP BY ALL
-), m AS (SELECT label, case_id, avg(fitness) AS fitness FROM f GROUP BY ALL)
+    "trace_fitness_mean": f"""WITH {FITNESS} SELECT label, case_id, round(avg(fitness), 6) + 0.0 AS fitness, count(*) AS n_states FROM f GROUP BY ALL""",
+    "trace_fitness_min": f"""WITH {FITNESS} SELECT label, case_id, round(CAST(min(fitness) AS DOUBLE), 6) AS fitness FROM f GROUP BY ALL""",
+    "robust_threshold": f"""WITH {FITNESS}, m AS (SELECT label, case_id, avg(fitness) AS fitness FROM f GROUP BY ALL)
 SELECT label, round(greatest(0, avg(fitness) - 2 * stddev_pop(fitness)), 6) AS threshold, count(*) AS n_traces FROM m GROUP BY label""",
     "xes_round_trip": f"""WITH {EVENTS}
 SELECT label, case_id, state, event_no, activity, strftime(ts, {STAMP}) AS ts_text, payload_size FROM numbered""",
@@ -556,9 +572,7 @@ SELECT cut, band, recall, precision,
   (SELECT fp_count FROM per_band WHERE band = 'BAND_75_99') AS fp_high,
   (SELECT round(avg(mean_similarity), 6) FROM banded WHERE band = 'BAND_25_75' AND label = 'TP') AS similarity_middle
 FROM band_table""",
-    "threshold_store": f"""WITH {EVENTS}, f AS (
-  SELECT label, state, case_id, 1.0 - (count(*) % 7) / 10.0 AS fitness FROM log GROUP BY ALL
-), m AS (SELECT label, case_id, avg(fitness) AS fitness FROM f GROUP BY ALL),
+    "threshold_store": f"""WITH {FITNESS}, m AS (SELECT label, case_id, avg(fitness) AS fitness FROM f GROUP BY ALL),
 t AS (SELECT greatest(0, avg(fitness) - 2 * stddev_pop(fitness)) AS threshold FROM m)
 SELECT count(*) FILTER (fitness >= threshold) AS kept, round(max(threshold), 6) AS threshold FROM m, t""",
     "cell_states": "SELECT event_id % 2 AS part, event_id, 'STATE_' || CAST(user_id % 3 AS VARCHAR) AS state FROM events",

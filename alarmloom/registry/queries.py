@@ -451,8 +451,29 @@ def token_replay(spark, sf_dir):
     return replayed.select(*ALARM, "state", "produced", "consumed", "missing", "remaining", r6("fitness"))
 
 
+def _fixed(spark, sf_dir) -> conformance.Alignments:
+    source = fx.packets(spark, sf_dir)
+    return conformance.Alignments(fx.numbered_events(source), fx.fixed_model(spark), ["state"], fx.TRACE, source.split)
+
+
 def _fitness(spark, sf_dir) -> DataFrame:
-    return fx.placeholder_fitness(fx.state_events(fx.packets(spark, sf_dir)))
+    return _fixed(spark, sf_dir).trace_fitness()
+
+
+@query
+def fixed_alignments(spark, sf_dir):
+    """Alignments with models whose costs are known in closed form."""
+    return _fitness(spark, sf_dir).select(*ALARM, "state", "n_events", "deviations", "worst", r6("fitness"))
+
+
+@query
+def fixed_sync_moves(spark, sf_dir):
+    return _fixed(spark, sf_dir).sync_counts().select(*ALARM, "state", "activity", "n")
+
+
+@query
+def fixed_log_fitness(spark, sf_dir):
+    return _fixed(spark, sf_dir).log_fitness().select("state", "n_traces", r6("fitness"))
 
 
 @query
