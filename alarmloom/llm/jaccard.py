@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from alarmloom.llm.components import components
@@ -33,6 +34,8 @@ CROWD = 24
 JOIN_BLOCK = 6 << 20
 # Nodes of a block when families of crowds are compared, and members compared at a time.
 BLOCK = 256
+# Partners of a node that one lot of the verification holds.
+LOT = 256
 COLUMNS = 1 << 15
 SIZES = 1 << 31
 PROBE, DELETED = 1, 2
@@ -313,33 +316,51 @@ def _texts(nodes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("id", "key", "text").join(small_side(cut_lineage(wanted)), ["id", "key"]).select("node", "text")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> DataFrame:
-    """The pairs that are linked, counted on the shingles of one text of each node."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = _texts(nodes, members, docs)
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def _compressed(rows: DataFrame) -> DataFrame:
+    """The rows with their text compressed, for the way through a shuffle."""
 
     def work(batches):
-        hashes, known = WordHashes(), {}
+        press = zstandard.ZstdCompressor(level=3).compress
+        for part in batches:
+            packed = pa.array([press(x) for x in part.column("text").to_pylist()], pa.binary())
+            yield part.set_column(part.schema.get_field_index("text"), "text", packed)
 
-        def of(node: int, value: bytes) -> np.ndarray:
-            if node not in known:
-                if len(known) >= 200:
-                    known.clear()
-                known[node] = sets([value], hashes, size)[0]
-            return known[node]
+    return rows.mapInArrow(work, rows.schema)
 
-        for part in batches:
-            columns = (part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            keep = []
-            for a, b, text_a, text_b in zip(*columns):
-                one, other = of(a, text_a), of(b, text_b)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(bool(rule.linked(common, len(one), len(other))))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a bigint, b bigint").distinct()
+def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> DataFrame:
+    """The pairs that are linked, counted on the shingles of one text of each node.
+
+    A text goes straight from the scan to the node a that it is held against, compressed,
+    and no pair carries two. The partners of a node are dealt in lots, so that a node with
+    many is no hot key; its own text goes to each lot.
+    """
+    lots = pairs.groupBy("a").agg(F.ceil(F.count("*") / LOT).alias("lots"))
+    own = lots.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lots") - 1)).alias("lot"))
+    dealt = pairs.join(lots, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("lots")).alias("lot"))
+    one = members.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "key")).alias("at"))
+    placed = own.unionByName(dealt).join(one, "node").select("a", "lot", "node", "at.id", "at.key")
+    rows = docs.select("id", "key", "text").join(small_side(cut_lineage(placed)), ["id", "key"]).select("a", "lot", "node", "text")
+
+    def work(batches):
+        hashes, open_, at, mine = WordHashes(), zstandard.ZstdDecompressor().decompress, None, None
+        for part in batches:
+            out: list[list[int]] = [[], []]
+            for a, lot, node, packed in zip(*(part.column(c).to_pylist() for c in ("a", "lot", "node", "text"))):
+                if node == a:
+                    if at != (a, lot):
+                        at, mine = (a, lot), sets([open_(packed)], hashes, size)[0]
+                    continue
+                other = sets([open_(packed)], hashes, size)[0]
+                common = len(np.intersect1d(mine, other, assume_unique=True))
+                if rule.linked(common, len(mine), len(other)):
+                    out[0].append(a)
+                    out[1].append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    # A node's own text comes first in each of its lots.
+    ordered = _compressed(rows).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("node") != F.col("a"))
+    return ordered.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def common_members(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -394,7 +415,7 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
     all_rest = F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1)
     all_main = F.sequence(-F.col("main_blocks"), F.lit(-1).cast("bigint"))
     meets = F.when(is_main, all_rest).otherwise(F.concat(all_rest, all_main))
-    texts = _texts(blocked.select("node"), members, docs)
+    texts = _compressed(_texts(blocked.select("node"), members, docs))
     rows = blocked.join(texts, "node").select(
         "family", "node", "root", "block", "text", F.explode(meets).alias("other")
     )
@@ -403,7 +424,8 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
     def work(table: pa.Table) -> pa.Table:
         one, two = (table.column(c)[0].as_py() for c in ("one", "two"))
         node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-        held = sets(table.column("text").to_pylist(), WordHashes(), size)
+        open_ = zstandard.ZstdDecompressor().decompress
+        held = sets([open_(x) for x in table.column("text").to_pylist()], WordHashes(), size)
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         shared = common_members([held[i] for i in left], [held[i] for i in right])
         n = np.array([len(m) for m in held], np.int64)
