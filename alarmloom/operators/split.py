@@ -1,18 +1,21 @@
 """Exact, repeatable splits by ranked hash, without sorting the table.
 
 A row's hash is md5 of seed and id. A histogram of hash prefixes shows in which
-prefix the wanted rank falls; only the rows of that one prefix are ranked. The
-split itself is a comparison with the hash found, so rows are not shuffled.
+prefix the wanted ranks fall; one histogram serves all cuts of a table. Only the rows of
+those prefixes are ranked, after histograms of longer prefixes where one holds many rows.
+The split itself is a comparison with the hashes found, so rows are not shuffled.
 Row ids are expected to be unique within a group; copies of an id stay together.
 """
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from alarmloom.operators.sizing import small_side
 
-PREFIX = 4
+# Hex digits that a histogram looks at together, and rows of a prefix that are ranked in one task.
+PREFIX, RANKED_ROWS = 4, 200_000
 
 
 def rank_hash(seed: int | Column, row_id: Column) -> Column:
@@ -81,17 +84,77 @@ def mark_share(
     )
 
 
-def in_share(df: DataFrame, row_id: str, share: float, seed: int, rounding: str = "ceil") -> Column:
-    """Condition that holds on exactly the wanted number of rows of df.
+def rank_cuts(hashed: DataFrame, row_id: str, ranks: Callable[[int], list[int]]) -> list[tuple[str, object] | None]:
+    """Hash and id of the rows of some ranks, in the order of hash and id.
 
-    The cut is one hash, found by two small jobs; the condition compares with it.
+    `hashed` holds `_hash` and the id; ranks gives them (from 1) for a number of rows, and
+    rank 0 has no row. A histogram of the first digits finds the prefix of every rank; a
+    prefix of more than RANKED_ROWS rows gets a histogram of its next digits. So the table
+    is read twice, and once more for every 65,536 times as many rows.
+    """
+    open_: dict[str, list[tuple[int, int]]] = {}
+    found: list[tuple[str, object] | None] = []
+    small: dict[str, list[tuple[int, int]]] = {}
+    digits = 0
+    while open_ or not digits:
+        before = digits
+        digits += PREFIX
+        rows = hashed.where(F.substring("_hash", 1, before).isin(list(open_))) if before else hashed
+        counts = sorted(rows.groupBy(F.substring("_hash", 1, digits).alias("p")).count().collect())
+        if not before:
+            wanted = ranks(sum(n for _, n in counts))
+            found = [None] * len(wanted)
+            open_ = {"": [(rank, k) for k, rank in enumerate(wanted) if rank > 0]}
+        deeper: dict[str, list[tuple[int, int]]] = {}
+        for prefix, held in open_.items():
+            below = 0
+            for longer, n in counts:
+                if not longer.startswith(prefix):
+                    continue
+                inside = [(rank - below, k) for rank, k in held if below < rank <= below + n]
+                below += n
+                if inside:
+                    (deeper if n > RANKED_ROWS and digits < 32 else small).setdefault(longer, []).extend(inside)
+        open_ = deeper
+    if not small:
+        return found
+    lengths = {len(p) for p in small}
+    named = F.coalesce(*[F.when(F.substring("_hash", 1, n).isin([p for p in small if len(p) == n]), F.substring("_hash", 1, n)) for n in lengths])
+    until = Window.partitionBy("_prefix").orderBy("_hash", row_id).rowsBetween(Window.unboundedPreceding, 0)
+    same = hashed.withColumn("_prefix", named).where("_prefix is not null").groupBy("_prefix", "_hash", row_id).agg(F.count("*").alias("_n"))
+    placed = same.withColumn("_until", F.sum("_n").over(until))
+    hits = [(F.col("_prefix") == p) & (F.col("_until") >= rank) & (F.col("_until") - F.col("_n") < rank) for p, held in small.items() for rank, _ in held]
+    rows = placed.where(F.array_contains(F.array(*hits), True)).collect()
+    for prefix, held in small.items():
+        for rank, k in held:
+            row = next(r for r in rows if r["_prefix"] == prefix and r["_until"] - r["_n"] < rank <= r["_until"])
+            found[k] = row["_hash"], row[row_id]
+    return found
+
+
+def in_shares(df: DataFrame, row_id: str, shares: list[float], seed: int, rounding: str = "ceil") -> list[Column]:
+    """Conditions that hold on exactly the wanted number of rows of df.
+
+    Every share is one of the rows that the shares before left over; together they take the
+    first rows in the order of the hash. All cuts are found together.
     """
     row_hash = rank_hash(seed, F.col(row_id))
-    hashed = df.select(F.lit(0).alias("_all"), row_hash.alias("_hash"), row_id)
-    cut = _cuts(hashed, row_id, share, ["_all"], rounding, None).first()
-    if cut is None:
-        return F.lit(False)
-    return _up_to(row_hash, F.col(row_id), F.lit(cut["_cut_hash"]), F.lit(cut["_cut_id"]))
+
+    def ranks(n: int) -> list[int]:
+        out, taken = [], 0
+        for share in shares:
+            taken += expected_size(n - taken, share, rounding)
+            out.append(taken)
+        return out
+
+    cuts = rank_cuts(df.select(row_hash.alias("_hash"), row_id), row_id, ranks)
+    until = [F.lit(False) if cut is None else _up_to(row_hash, F.col(row_id), F.lit(cut[0]), F.lit(cut[1])) for cut in cuts]
+    return [until[0], *(now & ~earlier for earlier, now in zip(until, until[1:]))]
+
+
+def in_share(df: DataFrame, row_id: str, share: float, seed: int, rounding: str = "ceil") -> Column:
+    """Condition that holds on exactly the wanted number of rows of df."""
+    return in_shares(df, row_id, [share], seed, rounding)[0]
 
 
 def holdout(df: DataFrame, row_id: str, share: float = 0.4, seed: int = 42) -> DataFrame:
@@ -104,11 +167,10 @@ def detection_parts(
 ) -> DataFrame:
     """Parts of a detection run: normal rows to train, validation and test, attacks to test.
 
-    Both cuts are found first, so the rows are read once and labelled in place.
+    Both cuts are found first, from the same histogram; the rows are then labelled in place.
     """
     normal = flows.where(F.col(label) == 1)
-    tested = in_share(normal, row_id, test, seed)
-    validated = in_share(normal.where(~tested), row_id, validation, seed)
+    tested, validated = in_shares(normal, row_id, [test, validation], seed)
     part = F.when(F.col(label) == -1, "test").when(tested, "test").when(validated, "validation").otherwise("train")
     return flows.where(F.col(label).isin(1, -1)).withColumn("part", part)
 

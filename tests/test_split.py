@@ -58,3 +58,23 @@ def test_repeated_split(spark):
         assert all(sizes[r, d, "inference", "TP"] == 2 for d in "abc")
     trained = [members(rows.where(f"repetition = {r} and detector = 'a' and phase = 'training'")) for r in range(1, 6)]
     assert len({frozenset(t) for t in trained}) > 1
+
+
+@pytest.mark.parametrize("ranked,prefix", [(200_000, 4), (3, 1), (1, 2)])
+def test_ranks_are_found_by_digits(spark, monkeypatch, ranked, prefix):
+    monkeypatch.setattr(split, "RANKED_ROWS", ranked)
+    monkeypatch.setattr(split, "PREFIX", prefix)
+    rows = spark.range(500).selectExpr("id % 180 as id").repartition(3)
+    hashed = rows.withColumn("_hash", split.rank_hash(7, F.col("id")))
+    ordered = sorted((r["_hash"], r["id"]) for r in hashed.collect())
+    wanted = [1, 2, 0, 77, 250, 251, 499, 500]
+    found = split.rank_cuts(hashed, "id", lambda n: wanted if n == 500 else None)
+    assert found == [ordered[r - 1] if r else None for r in wanted]
+    assert split.rank_cuts(hashed.limit(0), "id", lambda n: [n, 0]) == [None, None]
+
+
+def test_shares_follow_each_other(spark):
+    rows = spark.range(1000)
+    one, two, three = split.in_shares(rows, "id", [0.4, 0.14, 1.0], 42)
+    counts = rows.select(*(F.count_if(c).alias(n) for c, n in ((one, "a"), (two, "b"), (three, "c"), (one & two, "both")))).first()
+    assert tuple(counts) == (400, 84, 516, 0)
