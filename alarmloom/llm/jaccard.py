@@ -343,8 +343,9 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int,
     rows = docs.select("id", "key", "text").join(small_side(cut_lineage(placed)), ["id", "key"]).select("a", "lot", "node", "text")
 
     def work(batches):
-        hashes, open_, at, mine = WordHashes(), zstandard.ZstdDecompressor().decompress, None, None
+        open_, at, mine = zstandard.ZstdDecompressor().decompress, None, None
         for part in blocks(batches):
+            hashes = WordHashes()
             out: list[list[int]] = [[], []]
             for a, lot, node, packed in zip(*(part.column(c).to_pylist() for c in ("a", "lot", "node", "text"))):
                 if node == a:
