@@ -32,8 +32,8 @@ from alarmloom.operators.sizing import cut_lineage, small_side
 CROWD = 24
 # Text that one task prepares together.
 JOIN_BLOCK = 6 << 20
-# Nodes of a block when families of crowds are compared, and members compared at a time.
-BLOCK = 256
+# Nodes and shingles of a block when families of crowds are compared, and members compared at a time.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 # Partners of a node that one lot of the verification holds.
 LOT = 256
 COLUMNS = 1 << 15
@@ -59,6 +59,8 @@ MET = pa.schema(
     [("a", pa.int64()), ("b", pa.int64()), ("crowd", pa.int64()), ("size", pa.int32()), ("flags", pa.int32())]
 )
 
+BLOCKS_SQL = "family bigint, block bigint, rest_blocks bigint, main_blocks bigint, packed binary"
+
 
 class Rule:
     """Bands of sizes for the threshold part / whole, and the segments of each band."""
@@ -384,6 +386,16 @@ def common_members(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray
     return out.astype(np.int64)
 
 
+def _block(table: pa.Table) -> pa.Table:
+    """One row of a block: its nodes, their roots and texts, compressed as a whole, as nodes of a family share much."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    texts = [open_(x) for x in table.column("text").to_pylist()]
+    node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+    packed = pack(node, root, np.array([len(t) for t in texts], np.int64), b"".join(texts), level=9)
+    first = table.slice(0, 1).select(["family", "block", "rest_blocks", "main_blocks"])
+    return first.append_column("packed", pa.array([packed], pa.binary()))
+
+
 def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule):
     """Links between nodes of a family of crowds that are in different components so far.
 
@@ -397,15 +409,20 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
     joined = placed.join(mixed.select("crowd"), "crowd").join(hubs, "crowd")
     family = components(joined.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     known = family.withColumnRenamed("root", "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = cut_lineage(known)
-    by_root = known.groupBy("family", "root").agg(F.count("*").alias("n"))
-    top = by_root.groupBy("family").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    held = members.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
+    known = cut_lineage(known.join(held, "node"))
+    by_root = known.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    top = by_root.groupBy("family").agg(F.max(F.struct("n", "root", "m")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+    def n_blocks(n, m):
+        return F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES))
+
     # Blocks 0, 1, ... hold the rest of a family, blocks -1, -2, ... its largest component.
     sizes = top.select(
         "family",
         F.col("top.root").alias("main"),
-        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("rest_blocks"),
-        F.ceil(F.col("top.n") / BLOCK).alias("main_blocks"),
+        n_blocks(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("rest_blocks"),
+        n_blocks(F.col("top.n"), F.col("top.m")).alias("main_blocks"),
     ).where("rest_blocks > 0")
     spread = known.join(sizes, "family").withColumn("hashed", F.xxhash64("node"))
     is_main = F.col("root") == F.col("main")
@@ -413,20 +430,27 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
         "block",
         F.when(is_main, -1 - F.pmod("hashed", "main_blocks")).otherwise(F.pmod("hashed", "rest_blocks")).cast("bigint"),
     )
+    blocked = cut_lineage(blocked.select("family", "node", "root", "block", "rest_blocks", "main_blocks"))
+    texts = _compressed(_texts(blocked.select("node"), members, docs))
+    packed = blocked.join(texts, "node").groupBy("family", "block").applyInArrow(_block, BLOCKS_SQL)
     all_rest = F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1)
     all_main = F.sequence(-F.col("main_blocks"), F.lit(-1).cast("bigint"))
-    meets = F.when(is_main, all_rest).otherwise(F.concat(all_rest, all_main))
-    texts = _compressed(_texts(blocked.select("node"), members, docs))
-    rows = blocked.join(texts, "node").select(
-        "family", "node", "root", "block", "text", F.explode(meets).alias("other")
-    )
-    rows = rows.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "root", "text")
+    meets = F.when(F.col("block") < 0, all_rest).otherwise(F.concat(all_rest, all_main))
+    rows = cut_lineage(packed).select("family", "block", "packed", F.explode(meets).alias("other"))
+    rows = rows.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "packed")
 
     def work(table: pa.Table) -> pa.Table:
         one, two = (table.column(c)[0].as_py() for c in ("one", "two"))
-        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-        open_ = zstandard.ZstdDecompressor().decompress
-        held = sets([open_(x) for x in table.column("text").to_pylist()], WordHashes(), size)
+        node, root, block, held = [], [], [], []
+        for b, x in zip(table.column("block").to_pylist(), table.column("packed").to_pylist()):
+            nodes, root_of, sizes_of, joined = unpack(x, np.int64, np.int64, np.int64, None)
+            ends = np.cumsum(sizes_of).tolist()
+            texts = [joined[low:high] for low, high in zip([0, *ends], ends)]
+            held += sets(texts, WordHashes(), size)
+            node.append(nodes)
+            root.append(root_of)
+            block.append(np.full(len(nodes), b))
+        node, root, block = (np.concatenate(c) for c in (node, root, block))
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         shared = common_members([held[i] for i in left], [held[i] for i in right])
         n = np.array([len(m) for m in held], np.int64)

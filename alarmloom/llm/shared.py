@@ -144,11 +144,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def pack(*arrays: np.ndarray | bytes) -> bytes:
+def pack(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     """One compressed string of several arrays."""
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
     head = np.array([len(p) for p in parts], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(parts))
 
 
 def unpack(data: bytes, *kinds) -> list:
