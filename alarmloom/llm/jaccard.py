@@ -40,9 +40,9 @@ COLUMNS = 1 << 15
 SIZES = 1 << 31
 PROBE, DELETED = 1, 2
 
-# Bits of a set's parity map.
+# Least bits of a set's parity map; larger sets have two to four bits a member.
 MAP_BITS = 1024
-NODES_SQL = "doc_id bigint, id bigint, key bigint, n_shingles bigint, node bigint, bits array<bigint>"
+NODES_SQL = "doc_id bigint, id bigint, key bigint, n_shingles bigint, node bigint, bits binary"
 NODES = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -50,7 +50,7 @@ NODES = pa.schema(
         ("key", pa.int64()),
         ("n_shingles", pa.int64()),
         ("node", pa.int64()),
-        ("bits", pa.list_(pa.int64())),
+        ("bits", pa.binary()),
     ]
 )
 PACKED = pa.schema([("bucket", pa.int64()), ("packed", pa.binary())])
@@ -112,13 +112,22 @@ def digest(members: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
-def parity(members: np.ndarray) -> np.ndarray:
-    """Map of MAP_BITS bits, each the parity of the members that hash to it.
+def parity(members: np.ndarray) -> bytes:
+    """Map of bits, each the parity of the members that hash to it.
 
-    A member more or less flips one bit, so two sets differ in as many members as bits at least.
+    A member more or less flips one bit, so two sets differ in as many members as bits at
+    least. The bits grow with the set, in powers of two, so that the map never fills up.
     """
-    odd = np.bincount((members >> np.uint64(54)).astype(np.int64), minlength=MAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    n = max(MAP_BITS, 1 << (2 * len(members) - 1).bit_length())
+    odd = np.bincount((mix(members) & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def flipped(one: bytes, other: bytes) -> int:
+    """Bits in which two parity maps differ; the longer one is folded to the bits of the shorter."""
+    short, long_ = sorted((np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)), key=len)
+    folded = np.bitwise_xor.reduce(long_.reshape(-1, len(short)), axis=0)
+    return int(np.bitwise_count(short ^ folded).sum())
 
 
 def signatures(members: list[np.ndarray], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -176,7 +185,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
             found = sets(part.column("text").to_pylist(), hashes, size)
             lengths = pa.array([len(m) for m in found], pa.int64())
             nodes = pa.array([digest(m) if len(m) else None for m in found], pa.int64())
-            bits = pa.array([parity(m) if len(m) else None for m in found], pa.list_(pa.int64()))
+            bits = pa.array([parity(m) if len(m) else None for m in found], pa.binary())
             columns = [part.column("doc_id"), part.column("id"), part.column("key"), lengths, nodes, bits]
             yield pa.RecordBatch.from_arrays(columns, schema=NODES)
 
@@ -284,11 +293,21 @@ def _possible(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     def of(name: str) -> DataFrame:
         return facts.select(F.col("node").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("n").alias(f"n_{name}"))
 
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    flipped = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(flipped, F.lit(0), lambda total, n: total + n)
-    limit = (rule.whole - rule.part) * (F.col("n_a") + F.col("n_b"))
-    return both.where((rule.whole + rule.part) * apart <= limit).select("a", "b")
+    near = F.lit(rule.part) * F.greatest("n_a", "n_b") <= F.lit(rule.whole) * F.least("n_a", "n_b")
+    sizes = facts.select("node", "n")
+    for name in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}")), name)
+    both = pairs.where(near).select("a", "b").join(of("a"), "a").join(of("b"), "b")
+
+    def work(batches):
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
+            maps = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())
+            apart = np.fromiter((flipped(x, y) for x, y in maps), np.int64, len(a))
+            keep = (rule.whole + rule.part) * apart <= (rule.whole - rule.part) * (n_a + n_b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+    return both.mapInArrow(work, "a bigint, b bigint")
 
 
 def _linked(tried: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:

@@ -120,5 +120,16 @@ def test_parity_maps_never_differ_more_than_the_sets():
         one = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))
         other = np.unique(np.concatenate((one[rng.random(len(one)) > 0.1], rng.integers(0, 1 << 63, 20).astype(np.uint64))))
         apart = len(np.setxor1d(one, other))
-        flipped = np.unpackbits((jaccard.parity(one) ^ jaccard.parity(other)).view(np.uint8)).sum()
+        flipped = jaccard.flipped(jaccard.parity(one), jaccard.parity(other))
         assert flipped <= apart
+
+
+def test_parity_maps_never_exceed_the_difference():
+    random = np.random.default_rng(5)
+    for n, gone, more in ((10, 1, 2), (500, 40, 90), (3000, 0, 1500), (5000, 2000, 900), (9000, 8000, 0)):
+        own = random.integers(0, 1 << 63, n + more, dtype=np.uint64)
+        one, other = own[:n], own[gone:]
+        apart = jaccard.flipped(jaccard.parity(one), jaccard.parity(other))
+        assert apart <= gone + more and apart % 2 == (gone + more) % 2
+        assert apart >= (gone + more) / 4
+    assert jaccard.flipped(jaccard.parity(one), jaccard.parity(one)) == 0
