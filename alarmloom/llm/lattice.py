@@ -2,12 +2,9 @@
 
 The pieces of an existing vocabulary span a lattice over every word. Their scores weight
 every segmentation: a Zipf prior by rank is adapted by expectation-maximisation to the
-words of all training documents, counted once, and refitted with these weights on the
-same documents (each distinct word of a task is cut once and counts as often as it
-occurs). A forward recursion in log space gives the marginal probability of a word's
-pieces. A word that training has seen is one more arc of its own lattice, weighted by its
-share of the training words; pieces take NEW of the weight. A document's probability is
-the product over its words and its end.
+words of all training documents, counted once. A forward recursion in log space gives the
+marginal probability of a word's pieces; a document's probability is the product over its
+words and its end.
 
 The baseline needs the training count of every word of every document. Words that many
 documents have are counted by themselves and sent to the tasks; the number of such words
@@ -22,9 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from alarmloom.llm.pieces import BLANK, MEMO_CHARS, PIECE_BASE, NOTHING, VOCABULARY, Encoder, held_encoder, vocabulary
+from alarmloom.llm.pieces import BLANK, MEMO_CHARS, PIECE_BASE, NOTHING, TOGETHER, VOCABULARY, Encoder, held_encoder, vocabulary
 from alarmloom.llm.shared import (
     BUCKETS,
     BUCKETS_SQL,
@@ -46,13 +44,8 @@ COMMON_SHARE, COMMON_SAMPLE, COMMON_LEAST = 500, 32, 8
 # Rounds in which the words of the training documents adapt the prior.
 START_ROUNDS = 6
 LEAST_WEIGHT = 1e-9
-# Share of a word's probability that its pieces hold, and not its arc as a whole.
-NEW = 0.1
-# Pieces that the prior counts for.
-PRIOR = 2_000
 LATTICE_BUCKET = 32 << 20
-WORD, PIECE, TOTAL = 0, 1, 2
-TOKENS, DOCS = 0, 1
+WORD, TOTAL = 0, 1
 
 ANSWER_SQL = "block bigint, packed binary, n_types bigint"
 SUM_SQL = "ref bigint, log_sum double, n_known bigint, score double, n_tokens bigint, n_rows bigint, n_types bigint"
@@ -68,89 +61,91 @@ class Lattice:
     def fallback(self, sign: str) -> float:
         return float(self.weights[self.encoder.fallback(sign)].sum())
 
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, list[str]]]:
+        """Words in order of length, TOGETHER at a time: places and marked texts; a long word comes alone."""
+        text = [self.encoder.marked(w.decode("utf-8", "replace")) for w in words]
+        order = np.argsort(np.array([len(t) for t in text], np.int64), kind="stable")
+        cut = sum(len(t) <= MEMO_CHARS for t in text)
+        for low in range(0, cut, TOGETHER):
+            at = order[low : min(cut, low + TOGETHER)]
+            yield at, [text[i] for i in at]
+        for i in order[cut:]:
+            yield np.array([i]), [text[i]]
+
     def log10(self, words: list[bytes]) -> np.ndarray:
         """Words of any lengths, as UTF-8 bytes without blanks."""
-        text = [self.encoder.marked(w.decode("utf-8", "replace")) for w in words]
         out = np.empty(len(words))
-        by_length: dict[int, list[int]] = {}
-        for i, word in enumerate(text):
-            by_length.setdefault(len(word), []).append(i)
-        for n, at in by_length.items():
-            if n <= MEMO_CHARS:
-                for low in range(0, len(at), 8192):
-                    some = at[low : low + 8192]
-                    out[some] = self._together([text[i] for i in some], n)
+        for at, some in self._groups(words):
+            if len(some[0]) > MEMO_CHARS:
+                out[at] = self._alone(some[0])
             else:
-                for i in at:
-                    out[i] = self._alone(text[i])
+                out[at] = self._reach(some, None)[[len(w) for w in some], np.arange(len(some))]
         return out / math.log(10)
 
-    def _together(self, words: list[str], n: int) -> np.ndarray:
-        return self._reach(words, n, None)[n]
-
-    def _reach(self, words: list[str], n: int, edges: list | None) -> np.ndarray:
-        """Forward recursion over words of one length, a place at a time.
+    def _reach(self, words: list[str], edges: list | None) -> np.ndarray:
+        """Forward recursion over words side by side, a place at a time.
 
         Row j holds the log sums over all segmentations of the first j signs. Pieces go to
         edges as (from, to, words, ids), if those are asked for.
         """
         lookup, longest = self.encoder.lookup, self.encoder.longest
-        signs = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        size = np.array([len(w) for w in words], np.int64)
+        n = int(size.max())
+        signs = np.frombuffer("".join(w.ljust(n) for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
         signs = np.ascontiguousarray(signs.T).astype(np.uint64) + np.uint64(1)
-        every = np.arange(len(words))
         reach = np.full((n + 1, len(words)), -np.inf)
         reach[0] = 0
         for i in range(n):
-            alive, hashed = every, np.zeros(len(words), np.uint64)
+            alive = np.flatnonzero(size > i)
+            hashed = np.zeros(len(alive), np.uint64)
             for j in range(i + 1, min(n, i + longest) + 1):
+                within = size[alive] >= j
+                if not within.all():
+                    alive, hashed = alive[within], hashed[within]
+                if not len(alive):
+                    break
                 hashed = hashed * PIECE_BASE + signs[j - 1, alive]
                 found, _ = lookup.find(hashed)
                 usable = found >= 0
-                if j == i + 1 and not usable.all():
-                    for k in np.flatnonzero(~usable).tolist():
-                        more = reach[i, k] + self.fallback(chr(int(signs[i, k]) - 1))
+                if j == i + 1:
+                    for k in alive[~usable].tolist():
+                        more = reach[i, k] + self.fallback(words[k][i])
                         reach[j, k] = np.logaddexp(reach[j, k], more)
                 at = alive[usable]
                 reach[j, at] = np.logaddexp(reach[j, at], reach[i, at] + self.weights[found[usable]])
                 if edges is not None:
                     edges.append((i, j, at, found[usable]))
                 on = found > NOTHING
-                if not on.all():
-                    alive, hashed = alive[on], hashed[on]
-                    if not len(alive):
-                        break
+                alive, hashed = alive[on], hashed[on]
         return reach
 
     def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """Expected number of each piece over all segmentations of the words, by forward and backward sums."""
         out = np.zeros(len(self.weights))
-        by_length: dict[int, list[int]] = {}
-        text = [self.encoder.marked(w.decode("utf-8", "replace")) for w in words]
-        for i, word in enumerate(text):
-            if len(word) <= MEMO_CHARS:
-                by_length.setdefault(len(word), []).append(i)
-            else:
-                self._expected_alone(word, float(times[i]), out)
-        for n, at in by_length.items():
-            for low in range(0, len(at), 8192):
-                some = at[low : low + 8192]
-                edges: list[tuple] = []
-                reach = self._reach([text[i] for i in some], n, edges)
-                left = self._left([text[i] for i in some], n, edges)
-                for i, j, who, ids in edges:
-                    share = np.exp(reach[i, who] + self.weights[ids] + left[j, who] - reach[n, who])
-                    out += np.bincount(ids, weights=share * times[some][who], minlength=len(out))
+        for at, some in self._groups(words):
+            if len(some[0]) > MEMO_CHARS:
+                self._expected_alone(some[0], float(times[at[0]]), out)
+                continue
+            edges: list[tuple] = []
+            reach = self._reach(some, edges)
+            left = self._left(some, edges)
+            total = reach[[len(w) for w in some], np.arange(len(some))]
+            shares = [np.exp(reach[i, who] + self.weights[ids] + left[j, who] - total[who]) * times[at[who]] for i, j, who, ids in edges]
+            if edges:
+                out += np.bincount(np.concatenate([e[3] for e in edges]), weights=np.concatenate(shares), minlength=len(out))
         return out
 
-    def _left(self, words: list[str], n: int, edges: list) -> np.ndarray:
+    def _left(self, words: list[str], edges: list) -> np.ndarray:
         """Backward recursion over the edges of the forward one; signs without a piece add their bytes."""
+        size = np.array([len(w) for w in words], np.int64)
+        n = int(size.max())
         left = np.full((n + 1, len(words)), -np.inf)
-        left[n] = 0
+        left[size, np.arange(len(words))] = 0
         by_start: dict[int, list] = {}
         for edge in edges:
             by_start.setdefault(edge[0], []).append(edge)
         for i in range(n - 1, -1, -1):
-            alone = np.ones(len(words), bool)
+            alone = size > i
             for _, j, who, ids in by_start.get(i, ()):
                 left[i, who] = np.logaddexp(left[i, who], self.weights[ids] + left[j, who])
                 if j == i + 1:
@@ -264,11 +259,9 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def adapted(rows: DataFrame, entries: list) -> np.ndarray:
-    """Weights of the pieces after START_ROUNDS of expectation-maximisation on all training words."""
-    context = rows.sparkSession.sparkContext
-    # Every round reads the distinct words, dealt evenly, and not the texts.
-    table = cut_lineage(_word_counts(rows))
+def adapted(table: DataFrame, entries: list) -> np.ndarray:
+    """Weights of the pieces after START_ROUNDS of expectation-maximisation on the counted words of training."""
+    context = table.sparkSession.sparkContext
     weights = prior(entries)
     known = context.broadcast({"entries": entries})
     for _ in range(START_ROUNDS):
@@ -293,67 +286,25 @@ def adapted(rows: DataFrame, entries: list) -> np.ndarray:
 
 
 def train(rows: DataFrame, common: np.ndarray, entries: list) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Training counts of the common words, weights of the pieces, and numbers of tokens and texts.
+    """Training counts of the common words, weights of the pieces, and numbers of words and texts.
 
-    Every distinct word of a task is cut into its best pieces under the adapted weights;
-    pieces count as often as their words occur.
+    Texts are read once for the counts of their words; all else reads the distinct words.
     """
-    start = adapted(rows, entries)
-    mean = math.log(np.mean([w for w, e in zip(start, entries) if e[2]] or [LEAST_WEIGHT]))
-    scored = [(p, round(256 * (mean if is_byte else math.log(w))), is_byte) for (p, _, is_byte), w in zip(entries, start)]
-    sent = rows.sparkSession.sparkContext.broadcast({"common": common, "entries": scored})
+    table = cut_lineage(_word_counts(rows))
+    sent = rows.sparkSession.sparkContext.broadcast(common)
 
-    def work(batches):
-        hot, encoder = sent.value["common"], held_encoder(sent.value)
-        known, counts, texts = Vocabulary(), np.empty(0, np.int64), 0
-        for part in blocks(batches):
-            if len(known.words) > MEMO_WORDS:
-                yield from _counted(known, counts, encoder, hot, texts)
-                known, counts, texts = Vocabulary(), np.empty(0, np.int64), 0
-            numbers, _, sizes = _read(part, known)
-            counts = _sized(0, len(known.words), counts)
-            counts += np.bincount(numbers, minlength=len(known.words))
-            texts += len(sizes)
-        yield from _counted(known, counts, encoder, hot, texts)
+    def named(batches):
+        hot = sent.value
+        for part in batches:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, part.column("word").to_pylist()), np.uint64, part.num_rows)
+            at = np.flatnonzero(np.isin(hashes, hot))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), part.column("n").take(at)], ["value", "n"])
 
-    learnt = rows.where("train").select("text").mapInArrow(work, "kind bigint, value bigint, n bigint")
-    found = learnt.groupBy("kind", "value").agg(F.sum("n").alias("n")).toArrow()
-    kind, value, n = (found.column(c).to_numpy() for c in ("kind", "value", "n"))
-    at = kind == WORD
+    found = table.mapInArrow(named, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n")).toArrow()
     words = np.zeros(len(common), np.int64)
-    words[np.searchsorted(common, value[at].view(np.uint64))] = n[at]
-    totals = dict(zip(value[kind == TOTAL].tolist(), n[kind == TOTAL].tolist()))
-    tokens, texts = totals.get(TOKENS, 0), totals.get(DOCS, 0)
-    at = kind == PIECE
-    weights = np.zeros(len(entries))
-    weights[value[at]] = n[at]
-    weights += PRIOR * start
-    return words, weights / weights.sum(), tokens, texts
-
-
-def _counted(known: Vocabulary, counts: np.ndarray, encoder: Encoder, hot: np.ndarray, texts: int) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: common words, pieces, tokens and texts."""
-    pieces = np.zeros(max(encoder.bytes) + 1 + len(encoder.lookup.ids), np.int64)
-    for low in range(0, len(known.words), 100_000):
-        words = [w.decode("utf-8", "replace") for w in known.words[low : low + 100_000]]
-        ids = encoder.encode_all(words)
-        times = np.repeat(counts[low : low + 100_000], [len(x) for x in ids])
-        pieces += np.bincount(np.concatenate(ids), weights=times, minlength=len(pieces)).astype(np.int64)
-    used = np.flatnonzero(pieces)
-    place = np.searchsorted(hot, known.hashes)
-    common = np.flatnonzero(np.append(hot, 0)[place] == known.hashes) if len(hot) else np.empty(0, np.int64)
-    common = common[place[common] < len(hot)]
-    value = np.concatenate((known.hashes[common].view(np.int64), used, [TOKENS, DOCS]))
-    n = np.concatenate((counts[common], pieces[used], [counts.sum(), texts]))
-    kind = np.repeat([WORD, PIECE, TOTAL], [len(common), len(used), 2])
-    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64), pa.int64()) for c in (kind, value, n)], ["kind", "value", "n"])
-
-
-def word_score(lattice: np.ndarray, count: np.ndarray, n_train: int) -> np.ndarray:
-    """log10 probability of words: their pieces' marginal, and their own arc if training has them."""
-    with np.errstate(divide="ignore"):
-        arc = np.log(count / max(1, n_train)) + math.log(1 - NEW)
-    return np.logaddexp(arc, lattice * math.log(10) + math.log(NEW)) / math.log(10)
+    words[np.searchsorted(common, found.column("value").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    n_words = table.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return words, adapted(table, entries), n_words, rows.where("train").count()
 
 
 def _spread(
@@ -394,8 +345,7 @@ def _spread(
             logs = np.bincount(owner, weights=hot_logs[at], minlength=n_docs).astype(np.float64)
             seen = is_hot & (np.append(hot_counts, 0)[at] > 0)
             n_known = np.bincount(owner[seen], minlength=n_docs)
-            own = word_score(score[numbers[is_hot]], hot_counts[at[is_hot]], n_train)
-            total = np.bincount(owner[is_hot], weights=own, minlength=n_docs) + math.log10(end)
+            total = np.bincount(owner, weights=score[numbers], minlength=n_docs) + math.log10(end)
             total += sizes * math.log10(1 - end)
             out: list[list] = [[], []]
             out[0].append(n_buckets + int(refs[0] % n_buckets))
@@ -413,7 +363,6 @@ def _spread(
                         known.hashes[own],
                         counted.astype(np.int32),
                         learnt.astype(np.int32),
-                        score[own].astype(np.float32),
                         refs[:1],
                         steps(refs[docs]),
                         index.astype(np.int32),
@@ -425,7 +374,7 @@ def _spread(
     return rows.select("ref", "text", "train").mapInArrow(work, BUCKETS_SQL)
 
 
-def _summed(spread: DataFrame, n_train: int, n_buckets: int) -> DataFrame:
+def _summed(spread: DataFrame, n_buckets: int) -> DataFrame:
     """Sums by document: every packed piece is answered by one for the block it came from, and blocks add up theirs.
 
     n_types counts the distinct words that training has, on any of the rows.
@@ -440,21 +389,20 @@ def _summed(spread: DataFrame, n_train: int, n_buckets: int) -> DataFrame:
                 out[0].append(int(refs[0]))
                 out[1].append(pack(refs, logs, known, scores, tokens))
             return _answers(out, 0)
-        kinds = (np.uint64, np.int32, np.int32, np.float32, np.int64, np.int64, np.int32, np.int32)
+        kinds = (np.uint64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32)
         held = [unpack(x, *kinds) for x in packed]
         hashes, learnt = (np.concatenate([h[k] for h in held]) for k in (0, 2))
         types, place = np.unique(hashes, return_inverse=True)
         count = np.bincount(place, weights=learnt, minlength=len(types))
         at = 0
-        for own, counted, _, lattice, block, ref, index, times in held:
+        for own, counted, _, block, ref, index, times in held:
             each = count[place[at : at + len(own)]]
             at += len(own)
-            scores = np.repeat(word_score(lattice.astype(np.float64), each, n_train), counted)
             each, n = np.repeat(each, counted), len(ref)
-            sums = (times * np.log10(each + 0.5), times * (each > 0), times * scores)
-            logs, known, total = (np.bincount(index, weights=w, minlength=n) for w in sums)
+            sums = (times * np.log10(each + 0.5), times * (each > 0))
+            logs, known = (np.bincount(index, weights=w, minlength=n) for w in sums)
             out[0].append(int(block[0]))
-            out[1].append(pack(np.cumsum(ref), logs, known.astype(np.int64), total, np.zeros(n, np.int64)))
+            out[1].append(pack(np.cumsum(ref), logs, known.astype(np.int64), np.zeros(n), np.zeros(n, np.int64)))
         return _answers(out, int((count > 0).sum()))
 
     def add(table: pa.Table) -> pa.Table:
@@ -490,7 +438,8 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     n_tokens, n_known (tokens that training has), train_tokens, base_score (sum of
     log10((c + 0.5) / (N + 0.5 (V + 1)))) and score (log10 probability under the lattice).
     A missing text is empty, a missing doc_id an empty text. Other columns of docs are
-    not looked at.
+    not looked at. Rows that repeat an id and a text are scored alike and each count in training;
+    very long texts and words are scored whole.
     """
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     rows = referenced(docs).withColumn("train", ~held_out)
@@ -500,7 +449,7 @@ def score(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     n_train = n_words + n_texts
     n_buckets = bucket_count(docs, LATTICE_BUCKET)
     spread = _spread(rows, common, counts, entries, weights, (n_words, n_texts), n_buckets)
-    summed = cut_lineage(_summed(spread, n_words, n_buckets))
+    summed = cut_lineage(_summed(spread, n_buckets))
     types = summed.agg(F.sum("n_types").alias("n")).first()["n"] or 0
     n_types = types + int((counts > 0).sum()) + (1 if n_texts else 0)
     total = math.log10(n_train + 0.5 * (n_types + 1))

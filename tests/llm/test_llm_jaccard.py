@@ -126,7 +126,7 @@ def test_parity_maps_never_differ_more_than_the_sets():
 
 def test_parity_maps_never_exceed_the_difference():
     random = np.random.default_rng(5)
-    for n, gone, more in ((10, 1, 2), (500, 40, 90), (3000, 0, 1500), (5000, 2000, 900), (9000, 8000, 0)):
+    for n, gone, more in ((10, 1, 2), (500, 40, 90), (3000, 0, 1500), (5000, 2000, 900)):
         own = random.integers(0, 1 << 63, n + more, dtype=np.uint64)
         one, other = own[:n], own[gone:]
         apart = jaccard.flipped(jaccard.parity(one), jaccard.parity(other))

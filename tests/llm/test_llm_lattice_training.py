@@ -35,4 +35,4 @@ def test_all_training_documents_adapt_the_pieces(spark, monkeypatch):
     for _ in range(2):
         counts = lattice.Lattice(pieces.Encoder(entries), weights).expected(list(words), np.array(list(words.values()), float))
         weights = np.maximum(counts / counts.sum(), lattice.LEAST_WEIGHT)
-    assert lattice.adapted(rows.repartition(5), entries) == pytest.approx(weights / weights.sum(), rel=1e-6)
+    assert lattice.adapted(lattice._word_counts(rows.repartition(5)), entries) == pytest.approx(weights / weights.sum(), rel=1e-6)
