@@ -1,9 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-The first pass cuts a page into blocks and labels each on its own: by the landmark it
-stands in (article, menu, footer, comments, ...) and else by length, link density and the
-density of stop words. The second pass gives ambiguous short blocks the label of their
-nearest decided neighbours. One map over the pages, without a shuffle.
+The first pass cuts a page into blocks. What stands in furniture (menus, footers, forms,
+comments, ...) goes; on all other blocks length, link density, the density of stop words and an
+article landmark have votes. Where a page's language has no list of stop words, long blocks
+without links have that vote. The second pass gives ambiguous blocks the label of their nearest
+decided neighbours. One map over the pages, without a shuffle.
 """
 
 from __future__ import annotations
@@ -42,8 +43,11 @@ STOP = frozenset(
     "el los las del y una por con no se lo su para como más al o pero sus le ya este".split()
 )
 LONG, SHORT = 200, 70
-LINKED, LINKED_ARTICLE = 0.2, 0.6
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+LINKED, ALL_LINKED = 0.2, 0.6
+# Shares of stop words; the list is short, so prose has fewer of them than under longer lists.
+STOP_LOW, STOP_HIGH = 0.08, 0.18
+# Class words that mark a container as the article.
+MARKED = re.compile(r"(main|article|post|entry|story)[-_]?(content|body|text|main)?|content[-_]?(main|body)?")
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
@@ -51,8 +55,9 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[^a-z]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 
-GOOD, BAD, SHORT_BLOCK, NEAR, HEADING = "good", "bad", "short", "near", "heading"
+GOOD, BAD, SHORT_BLOCK, NEAR, HEADING, OUT = "good", "bad", "short", "near", "heading", "out"
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -76,7 +81,7 @@ def _hint(name: str, attributes: str) -> str:
     """What an element says about its content: bad, good, hidden or nothing."""
     if name in HIDDEN:
         return "hidden"
-    hinted = ""
+    hinted, marked = "", False
     if attributes and not attributes.isspace():
         words: set[str] = set()
         for key, *values in ATTRIBUTE.findall(attributes):
@@ -88,9 +93,10 @@ def _hint(name: str, attributes: str) -> str:
             else:
                 spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
                 words.update(WORDS.split(spaced.lower()))
+                marked |= key != "role" and any(MARKED.fullmatch(x) for x in value.lower().split()) or value == "main"
         if name not in ("html", "body") and words & (HARD_HINTS if name in ("article", "main") else HINTS):
             hinted = "bad"
-        elif not hinted and {"main", "articlebody"} & words and name not in ("html", "body"):
+        elif not hinted and marked and name in CONTAINERS and name not in ("html", "body"):
             hinted = "good"
     if hinted == "bad" or name in FURNITURE:
         return "bad"
@@ -168,34 +174,64 @@ def cut(html: str) -> Iterator[Block]:
         yield block
 
 
-def label(text: str, block: Block, has_article: bool) -> str:
-    """First pass: the block on its own."""
-    if block.place == "bad":
-        return BAD
+def density(text: str) -> float:
+    """Share of stop words among the words of a text."""
+    words = LETTERS.findall(text.lower())
+    return sum(w in STOP for w in words) / len(words) if words else 0.0
+
+
+def votes(text: str, block: Block, stops: float | None) -> int:
+    """Votes of length, links, stop words (None: the language has no list) and landmark on a block."""
     linked = block.linked / max(1, len(text))
-    if block.place == "good":
-        return GOOD if linked <= LINKED_ARTICLE else SHORT_BLOCK if len(text) < SHORT else BAD
-    if has_article and block.place == "":
-        return BAD
+    out = 2 if block.place == "good" else 0
     if linked > LINKED:
-        return BAD
+        out -= 3 if linked > ALL_LINKED and len(text) >= SHORT else 2
+    if len(text) < SHORT:
+        return out - (1 if 0 < linked <= LINKED and not out else 0)
+    if len(text) > LONG:
+        out += 1 if stops is not None or block.linked else 2
+    if stops is not None:
+        out += 1 if stops >= STOP_HIGH else -1 if stops < STOP_LOW else 0
+    return out
+
+
+def named(text: str, block: Block, count: int) -> str:
+    """The label that votes amount to."""
+    if count >= 2 or count <= -1:
+        return GOOD if count >= 2 else BAD
     if block.heading and len(text) < LONG:
         return HEADING
-    if len(text) < SHORT:
-        return BAD if block.linked else SHORT_BLOCK
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-    if density >= STOP_HIGH:
-        return GOOD if len(text) > LONG else NEAR
-    return NEAR if density >= STOP_LOW else BAD
+    return SHORT_BLOCK if len(text) < SHORT else NEAR
+
+
+def labels(found: list[tuple[str, Block]]) -> list[str]:
+    """First pass: each block on its own, given what is known of the whole page.
+
+    A page whose text has hardly a stop word is in a language without a list. Where
+    landmarks hold at least as much text as the good blocks outside of them, they are the
+    article, which is two votes against what is outside.
+    """
+    own = [b.place != "bad" for _, b in found]
+    stops = [density(t) if keep and len(t) >= SHORT else 0.0 for (t, _), keep in zip(found, own)]
+    sizes = [len(t) if keep and len(t) >= SHORT else 0 for (t, _), keep in zip(found, own)]
+    listed = sum(s * n for s, n in zip(stops, sizes)) >= STOP_LOW * sum(sizes)
+    counts = [votes(t, b, s if listed else None) for (t, b), s in zip(found, stops)]
+    inside = sum(len(t) for t, b in found if b.place == "good")
+    outside = sum(len(t) for (t, b), keep, c in zip(found, own, counts) if keep and b.place != "good" and c >= 2)
+    marked = inside > 0 and inside >= outside
+    return [
+        named(t, b, c - 2 if marked and b.place != "good" else c) if keep else OUT
+        for (t, b), keep, c in zip(found, own, counts)
+    ]
 
 
 def settle(labels: list[str]) -> list[bool]:
     """Second pass: ambiguous blocks take the label of the nearest decided neighbours.
 
     Of two neighbours as near as each other, both must be good for a short block and
-    either for a block with many stop words; a heading follows what comes after it.
-    Without any decided neighbour, blocks with many stop words stay.
+    either for a longer one; a heading follows what comes after it. Furniture goes and
+    says nothing about what is beside it. On a page where nothing is decided, all that is
+    not furniture stays.
     """
     n = len(labels)
     before, after = [-1] * n, [n] * n
@@ -205,13 +241,13 @@ def settle(labels: list[str]) -> list[bool]:
         after[i] = i + 1 if labels[i + 1] in (GOOD, BAD) else after[i + 1]
     out = []
     for i, own in enumerate(labels):
-        if own in (GOOD, BAD):
+        if own in (GOOD, BAD, OUT):
             out.append(own == GOOD)
             continue
         left = labels[before[i]] == GOOD if before[i] >= 0 else None
         right = labels[after[i]] == GOOD if after[i] < n else None
         if left is None and right is None:
-            out.append(own == NEAR or NEAR in labels)
+            out.append(True)
         elif own == HEADING:
             out.append(bool(right))
         elif left is None or right is None:
@@ -227,16 +263,15 @@ def main_text(html: str) -> str:
     """The text of one page."""
     found = [(b.text(), b) for b in cut(html)]
     found = [(t, b) for t, b in found if t and b.place != "hidden"]
-    has_article = any(b.place == "good" for _, b in found)
-    kept = settle([label(t, b, has_article) for t, b in found])
-    return " ".join(t for (t, _), keep in zip(found, kept) if keep)
+    return " ".join(t for (t, _), keep in zip(found, settle(labels(found))) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points of the text), one row per row of pages.
 
-    A missing or empty page has an empty text. Repeated rows each give a row; other
-    columns of pages are not looked at.
+    A missing or empty page has an empty text; a very long one is read whole. Two equally
+    near neighbours that disagree keep an ambiguous block unless it is short. Repeated rows
+    each give a row; other columns of pages are not looked at.
     """
 
     def work(batches):

@@ -20,6 +20,7 @@ PAGES = [
     ('<article><p title="a>b">kept</p><p hidden>gone</p></article>', "kept"),
     ("<body class='sidebar'><article><div id='cookie-notice'>We use</div>plain < text</article>", "plain < text"),
 ]
+RUSSIAN = "Старый мельник каждое утро выходил к реке и долго смотрел на воду. "
 PROSE = "The cat of the house was in the garden and it is that for the of and the dog that was on it with the bird of the sea. "
 
 
@@ -34,6 +35,39 @@ def test_prose_without_landmarks():
     assert html.main_text(page) == " ".join(["Head", (PROSE * 3).strip(), "Short.", (PROSE * 3).strip()])
 
 
+def test_a_marked_heading_is_no_article():
+    page = f"<body><div><h1 class='main-title'>Head</h1></div><div>{PROSE * 3}</div><footer>f</footer></body>"
+    assert html.main_text(page) == f"Head {PROSE * 3}".strip()
+
+
+@pytest.mark.parametrize("tag", ["p", "div"])
+def test_languages_without_stop_words(tag):
+    menu = "<div><a href=x>Главная</a> <a href=y>Новости</a></div>"
+    one = f"<body>{menu}<{tag}>{RUSSIAN * 10}</{tag}><footer>Подвал</footer></body>"
+    assert html.main_text(one) == (RUSSIAN * 10).strip()
+    many = f"<body>{menu}" + f"<{tag}>{RUSSIAN}</{tag}>" * 3 + f"<{tag}>{RUSSIAN * 4}</{tag}><footer>Подвал</footer></body>"
+    assert html.main_text(many).endswith((RUSSIAN * 4).strip()) and "Подвал" not in html.main_text(many)
+
+
+def test_long_prose_outside_of_the_article_stays_and_teasers_go():
+    body = f"<article><p>{PROSE * 4}</p></article><div>{PROSE * 2}</div><div>Buy now</div><div><a href=x>{PROSE}</a></div>"
+    assert html.main_text(body) == f"{PROSE * 4}{PROSE * 2}".strip()
+
+
+def test_pages_without_landmarks(spark):
+    """With article made div, the rules alone keep the article and leave the furniture."""
+    total = kept = whole = stray = 0
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for row in rows:
+        article = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
+        truth = " ".join(unescape(re.sub(r"</?b>", "", re.sub(r"<(?!/?b>)[^>]*>", " ", article))).split())
+        found = html.main_text(re.sub(r"(</?)article>", r"\1div>", row["html"]))
+        total, kept, whole = total + len(truth), kept + min(len(found), len(truth)), whole + (found == truth)
+        stray += len(found) > len(truth)
+    assert stray == 0
+    assert kept >= 0.95 * total and whole >= 0.9 * len(rows)
+
+
 def test_ambiguous_blocks_follow_their_neighbours():
     g, b, s, n, h = html.GOOD, html.BAD, html.SHORT_BLOCK, html.NEAR, html.HEADING
     assert html.settle([g, s, s, b]) == [True, True, False, False]
@@ -41,6 +75,8 @@ def test_ambiguous_blocks_follow_their_neighbours():
     assert html.settle([g, n, b]) == [True, True, False]
     assert html.settle([b, h, g, h]) == [False, True, True, False]
     assert html.settle([s, n]) == [True, True]
+    assert html.settle([html.OUT, s, html.OUT]) == [False, True, False]
+    assert html.settle([g, s, html.OUT, b]) == [True, True, False, False]
     assert html.settle([]) == []
 
 
