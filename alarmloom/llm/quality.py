@@ -1,11 +1,13 @@
 """Quality rules: text statistics and the perplexity of a modified Kneser-Ney model.
 
-The n-grams are of bytes inside words (blanks stand for the word's borders), so the model
-of a language is bounded by its spelling and not by the corpus. Spark counts them over
-all texts, discounts are taken from counts of counts, and the probabilities are sent to
-the tasks as arrays sorted by hash. Every word is scored once per task. Documents whose
-perplexity lies outside of their language's band are rejected; the bands are quantiles
-over all documents that pass the base rules.
+The n-grams are of bytes and run over the borders of words (any white space is one blank),
+so both spelling and the order of words count. Spark counts them over all texts, discounts
+are taken from counts of counts, and the probabilities are sent to the tasks as arrays sorted
+by hash, in parts of bounded size. Texts are dealt to two folds by their hash, and each fold is
+scored by what the other one taught, so that no text, nor a copy of it, vouches for itself.
+Documents whose perplexity per word or per byte lies outside of their language's bands are
+rejected; the bands follow the quartiles of all documents that pass the base rules. Per word,
+signs stuck to words and foreign words show; per byte, lists of words and a wrong order do.
 """
 
 from __future__ import annotations
@@ -17,26 +19,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from alarmloom.llm.shared import MEMO_WORDS, ODD, SPACE, Vocabulary, batch, blocks, covered, mix, shingles
+from alarmloom.llm.shared import BLOCK_BYTES, MEMO_WORDS, ODD, SPACE, Vocabulary, batch, blocks, covered, mix, shingles
 from alarmloom.operators.sizing import cut_lineage
 
 # Bytes in an n-gram; five leave room for the language in 64 bits.
 ORDER = 5
-# Entries that may be sent to every task; above, rare n-grams of the highest order leave the model first.
-MODEL_ENTRIES = 8_000_000
+# Entries of a part of the model; a task holds one part at a time.
+PART_ENTRIES = 8_000_000
+# Bytes of text that are looked up together in each of several parts.
+PARTS_BLOCK = 32 << 20
+# Windows over borders of words that a task holds before it sends their n-grams.
+HELD_WINDOWS = 2_000_000
 # A band reaches from the quartiles outwards by so many interquartile ranges.
-REACH = 24.0
-# Words at which a text's deviation from its language counts half.
-HALF_WORDS = 12
-# Documents a language needs for bands of its own.
+REACH = 2.0
+# Words of a text at which chance and the differences between texts weigh the same.
+EVEN_WORDS = 2000
+# Documents a language needs for a band; with fewer, only the base rules judge.
 BAND_DOCS = 50
-# Steps of the histogram from which quantiles are read, per unit of log10 perplexity.
-STEPS = 2000
+# Steps of the histograms from which quantiles are read, per unit, and how far deviations are told apart.
+STEPS, FAR = 2000, 100
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 10
-SYMBOL_SHARE = 10
+# The bits of an n-gram of the highest order.
+GRAM = np.uint64((1 << (8 * ORDER)) - 1)
 
 FEATURES = [
     ("n_words", pa.int64()),
@@ -52,29 +61,46 @@ FEATURE_SQL = (
 
 
 @dataclass
-class Model:
+class Part:
     """Sorted arrays per order: hashes of n-grams with log10 probabilities, of contexts with log10 weights."""
 
-    languages: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
-    floor: np.ndarray
 
 
-def _plain(model: Model) -> tuple:
-    """The model without its class, so that tasks need no copy of the package."""
-    return model.languages, model.grams, model.contexts, model.floor
+@dataclass
+class Model:
+    """Languages, and the parts as broadcasts.
+
+    N-grams of three and more bytes are dealt to the parts by language and the two bytes before
+    their last one, so that all shorter n-grams and contexts of a lookup are in its part.
+    """
+
+    languages: list[str]
+    parts: list[Broadcast]
+
+    def part(self, k: int) -> Part:
+        """One part; only the part of a model with one part stays in memory."""
+        sent = self.parts[k]
+        if len(self.parts) == 1 or getattr(sent, "_path", None) is None:
+            return Part(*sent.value)
+        return Part(*sent.load_from_path(sent._path))
 
 
 @dataclass
 class Band:
-    """Lower and upper limit of log10 perplexity, and its median."""
+    """Median log10 perplexity, and the limits of the deviation from it in units of chance."""
 
     low: float
     middle: float
     high: float
 
 
+def _fold(text: Column) -> Column:
+    """The fold of a text, 0 or 1; copies share it."""
+    return F.pmod(F.xxhash64(text), F.lit(2))
+
+
 # ---- statistics of a block of texts ----
 
 
@@ -104,6 +130,7 @@ class Texts:
 
     def __init__(self, texts: list[bytes], vocabulary: Vocabulary):
         split = [t.split() for t in texts]
+        self.windows = _windows(split)
         self.sizes = np.array([len(w) for w in split], np.int64)
         self.numbers = vocabulary.of([w for ws in split for w in ws])
         bounds = np.concatenate(([0], np.cumsum(self.sizes)))
@@ -122,57 +149,97 @@ class Texts:
 # ---- counting and estimation ----
 
 
+def _windows(split: list[list[bytes]]) -> np.ndarray:
+    """For each word the four bytes before it and its first four with the blank after it; 0 where it is over."""
+    some = [b" " * (ORDER - 1) + b" ".join(ws) + b" " for ws in split if ws]
+    if not some:
+        return np.empty(0, np.uint64)
+    raw = np.frombuffer(b"".join(some).replace(b"\0", b"\1") + bytes(ORDER), np.uint8)
+    lengths = np.fromiter((len(w) for ws in split for w in ws), np.int64)
+    text = np.repeat(np.arange(len(some)), [len(ws) for ws in split if ws])
+    start = np.cumsum(lengths + 1) - lengths - 1 + (ORDER - 1) * (text + 1)
+    out = np.zeros(len(start), np.uint64)
+    for k in range(1 - ORDER, ORDER - 1):
+        byte = raw[start + k].astype(np.uint64)
+        out = out << np.uint64(8) | (np.where(k > lengths, np.uint64(0), byte) if k > 0 else byte)
+    return out
+
+
+def _border_grams(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams that end in the second half of each window, and the window of each."""
+    keys = np.stack([windows >> np.uint64(8 * k) & GRAM for k in range(ORDER - 2, -1, -1)], axis=1)
+    at = np.flatnonzero((keys & np.uint64(255)).ravel())
+    return keys.ravel()[at], at // (ORDER - 1)
+
+
 def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams that end at each byte of the words or at their end, and the word of each."""
-    pad = b" " * (ORDER - 1)
-    raw = np.frombuffer(pad + (b" " + pad).join(words) + b" ", np.uint8).astype(np.uint64)
+    """Packed n-grams inside of words, the blank after them included, and the word of each."""
+    raw = np.frombuffer(b" ".join(words).replace(b"\0", b"\1") + b" ", np.uint8).astype(np.uint64)
     key = np.zeros(len(raw), np.uint64)
     for k in range(ORDER):
-        key[k:] |= raw[: len(raw) - k] << np.uint64(8 * k)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    owner = np.repeat(np.arange(len(words)), lengths)
-    first = (ORDER - 1) + np.concatenate(([0], np.cumsum(lengths + ORDER - 1)[:-1]))
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + first[owner]
+        key[k:] |= raw[: max(0, len(raw) - k)] << np.uint64(8 * k)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    count = np.maximum(lengths - ORDER + 2, 0)
+    owner = np.repeat(np.arange(len(words)), count)
+    first = np.cumsum(lengths + 1) - lengths - 1 + ORDER - 1
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
     return key[at], owner
 
 
+class Counts:
+    """Words and border windows of a task with their counts by language."""
+
+    def __init__(self):
+        self.vocabulary = Vocabulary()
+        self.words: dict[str, np.ndarray] = {}
+        self.windows: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, langs: list[str], texts: list[bytes]) -> None:
+        for lang in dict.fromkeys(langs):
+            split = [t.split() for t, own in zip(texts, langs) if own == lang]
+            numbers = self.vocabulary.of([w for ws in split for w in ws])
+            n = np.bincount(numbers, minlength=len(self.vocabulary.words))
+            before = self.words.get(lang, n[:0])
+            n[: len(before)] += before
+            self.words[lang] = n
+            pair = np.unique(_windows(split), return_counts=True)
+            self.windows.setdefault(lang, []).append(pair)
+            self.held += len(pair[0])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+        for lang, n in self.words.items():
+            known = np.flatnonzero(n)
+            inner, owner = _grams([self.vocabulary.words[k] for k in known.tolist()])
+            windows, counts = (np.concatenate(x) for x in zip(*self.windows[lang]))
+            outer, window = _border_grams(windows)
+            grams, place = np.unique(np.concatenate((inner, outer)), return_inverse=True)
+            weights = np.concatenate((n[known][owner], counts[window])).astype(np.float64)
+            total = np.bincount(place, weights=weights, minlength=len(grams))
+            yield batch(schema, [[lang] * len(grams), grams.astype(np.int64), total.astype(np.int64)])
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """Occurrences of each n-gram by language: lang, gram, n.
+    """Occurrences of each n-gram in all words of all texts: lang, gram, n.
 
-    All texts are read; those with fewer than ten words or more than one symbol in ten
-    words teach the model nothing, and a word counts once in a text, so that repetitive
-    texts weigh no more than others.
+    lang is the language behind the number of the fold that these counts are to score.
     """
 
     def work(batches):
-        held: dict[str, Counter] = {}
-        size = 0
+        counts = Counts()
         for part in blocks(batches):
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                words = text.split()
-                if len(words) >= LEAST_WORDS and SYMBOL_SHARE * (len(text) - len(text.translate(None, SYMBOLS))) <= len(words):
-                    held.setdefault(lang, Counter()).update(set(words))
-            size = sum(map(len, held.values()))
-            if size > MEMO_WORDS:
-                yield from _counted(held)
-                held = {}
-        yield from _counted(held)
-
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    rows = rows.where("text is not null")
+            counts.add(part.column("lang").to_pylist(), part.column("text").to_pylist())
+            if len(counts.vocabulary.words) > MEMO_WORDS or counts.held > HELD_WINDOWS:
+                yield from counts.rows()
+                counts = Counts()
+        yield from counts.rows()
+
+    lang = F.concat((1 - _fold(F.col("text"))).cast("string"), F.coalesce("lang", F.lit(""))).alias("lang")
+    rows = docs.where("text is not null").select(lang, F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(work, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _counted(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-    for lang, words in held.items():
-        if words:
-            keys, owner = _grams(list(words))
-            grams, place = np.unique(keys, return_inverse=True)
-            n = np.bincount(place, weights=np.fromiter(words.values(), np.float64, len(words))[owner])
-            yield batch(schema, [[lang] * len(grams), grams.astype(np.int64), n.astype(np.int64)])
-
-
 def _smoothed(grams: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
     """Interpolated probability p of each n-gram and the weight of its context.
 
@@ -207,16 +274,27 @@ def _smoothed(grams: DataFrame, lower: DataFrame | None, order: int) -> DataFram
     return rows.select("lang", "gram", "context", "weight", p.alias("p"))
 
 
-def fit(docs: DataFrame) -> Model:
-    """The model of every language of the documents, learnt from the words of all texts fit to learn from."""
+def _dealt(lang: np.ndarray | Column, two: np.ndarray | Column, n_parts: int) -> np.ndarray | Column:
+    """The part of n-grams by language number and the two bytes before the last one."""
+    return (two * 40503 + lang * 17) % n_parts
+
+
+def _sorted(table: pa.Table, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    codes = table.column("code").to_numpy().astype(np.uint64) << np.uint64(8 * ORDER)
+    held, first = np.unique(mix(table.column(key).to_numpy().astype(np.uint64) | codes), return_index=True)
+    return held, np.log10(table.column(value).to_numpy()[first]).astype(np.float32)
+
+
+def fit(docs: DataFrame, part_entries: int = PART_ENTRIES) -> Model:
+    """The model of every language, learnt from all words of all documents.
+
+    It has as many parts as its entries need. The driver holds one part at a time.
+    """
+    spark = docs.sparkSession
     counts = cut_lineage(count_grams(docs))
-    least = 1
-    while least < 1 << 40:
-        entries = counts.where(F.col("n") >= least).count()
-        if entries <= MODEL_ENTRIES:
-            break
-        least *= 2
-    levels = [counts.where(F.col("n") >= least)]
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    codes = spark.createDataFrame(list(enumerate(languages)), "code int, lang string")
+    levels = [counts]
     for order in range(ORDER - 1, 0, -1):
         mask = (1 << (8 * order)) - 1
         shorter = F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")
@@ -225,19 +303,16 @@ def fit(docs: DataFrame) -> Model:
     tables = []
     for order, level in enumerate(reversed(levels), start=1):
         below = cut_lineage(_smoothed(level, below, order))
-        tables.append(below.toArrow())
-    languages = sorted({x for t in tables for x in t.column("lang").unique().to_pylist()})
-    place = {lang: i for i, lang in enumerate(languages)}
-    grams, contexts = [], []
-    for table in tables:
-        codes = np.array([place[x] for x in table.column("lang").to_pylist()], np.uint64) << np.uint64(40)
-        key = mix(table.column("gram").to_numpy().astype(np.uint64) | codes)
-        order = np.argsort(key)
-        grams.append((key[order], np.log10(table.column("p").to_numpy())[order].astype(np.float32)))
-        held, first = np.unique(mix(table.column("context").to_numpy().astype(np.uint64) | codes), return_index=True)
-        contexts.append((held, np.log10(table.column("weight").to_numpy()[first]).astype(np.float32)))
-    # Without any n-gram of order 1, a byte has this log10 probability.
-    return Model(languages, grams, contexts, np.float64(-math.log10(256)))
+        tables.append(below.join(F.broadcast(codes), "lang").drop("lang"))
+    n_parts = max(1, math.ceil(sum(t.count() for t in tables) / part_entries))
+    two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    parts = []
+    for k in range(n_parts):
+        own = [t.where(_dealt(F.col("code"), two, n_parts) == k) if order > 2 else t for order, t in enumerate(tables, 1)]
+        rows = [t.toArrow() for t in own]
+        held = [_sorted(t, "gram", "p") for t in rows], [_sorted(t, "context", "weight") for t in rows]
+        parts.append(spark.sparkContext.broadcast(held))
+    return Model(languages, parts)
 
 
 def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,11 +324,12 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
 
 
 class Scorer:
-    """Words of a task and their log10 probabilities in each language, found once."""
+    """log10 probabilities of texts; words of a task are looked up once in each language."""
 
     def __init__(self, model: Model):
         self.model = model
         self.place = {lang: i for i, lang in enumerate(model.languages)}
+        self.block = BLOCK_BYTES if len(model.parts) == 1 else PARTS_BLOCK
         self.vocabulary = Vocabulary()
         self.known: dict[str, np.ndarray] = {}
 
@@ -262,155 +338,182 @@ class Scorer:
             self.vocabulary, self.known = Vocabulary(), {}
         return Texts(texts, self.vocabulary)
 
-    def _score(self, lang: str, words: list[bytes]) -> np.ndarray:
-        keys, owner = _grams(words)
-        code = np.uint64(self.place.get(lang, len(self.place)) << 40)
+    def _found(self, part: Part, keys: np.ndarray, code: np.uint64) -> np.ndarray:
         score = np.zeros(len(keys))
         open_ = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
             own = keys[open_] & np.uint64((1 << (8 * order)) - 1)
-            hit, p = _find(self.model.grams[order - 1], mix(own | code))
+            hit, p = _find(part.grams[order - 1], mix(own | code))
             score[open_[hit]] += p[hit]
             open_, own = open_[~hit], own[~hit]
             if not len(open_):
                 break
-            seen, weight = _find(self.model.contexts[order - 1], mix((own >> np.uint64(8)) | code))
+            seen, weight = _find(part.contexts[order - 1], mix((own >> np.uint64(8)) | code))
             score[open_[seen]] += weight[seen]
-        score[open_] += self.model.floor
-        return np.bincount(owner, weights=score, minlength=len(words))
-
-    def perplexity(self, langs: list[str], texts: Texts) -> list[float | None]:
-        """log10 perplexity per byte of each text; none for a text without words."""
+        # Without any n-gram of order 1, a byte is one of 256.
+        score[open_] -= math.log10(256)
+        return score
+
+    def logs(self, asked: list[tuple[str, np.ndarray]]) -> list[np.ndarray]:
+        """log10 probability of the last byte of n-grams, for each language asked for."""
+        out = [np.zeros(len(keys)) for _, keys in asked]
+        n_parts = len(self.model.parts)
+        for k in range(n_parts):
+            part = self.model.part(k)
+            for (lang, keys), score in zip(asked, out):
+                code = self.place.get(lang, len(self.place))
+                two = (keys >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
+                at = np.flatnonzero(_dealt(code, two, n_parts) == k)
+                score[at] = self._found(part, keys[at], np.uint64(code << 8 * ORDER))
+        return out
+
+    def perplexity(self, langs: list[str], texts: Texts) -> tuple[list[float | None], list[float | None]]:
+        """log10 perplexity per word and per byte of each text; none for a text without words.
+
+        langs are the languages behind the number of the text's fold.
+        """
         words = self.vocabulary.words
         owner = np.repeat(np.arange(len(langs)), texts.sizes)
         place = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
         code = np.array([place[lang] for lang in langs], np.int64)[owner] if len(langs) else owner
-        score = np.zeros(len(owner))
+        asked, rest = [], []
         for lang, i in place.items():
             at = np.flatnonzero(code == i)
             held = self.known.get(lang, np.empty(0))
             held = np.concatenate((held, np.full(len(words) - len(held), np.nan)))
-            numbers = texts.numbers[at]
-            new = np.unique(numbers[np.isnan(held[numbers])])
-            for low in range(0, len(new), 50_000):
-                some = new[low : low + 50_000]
-                held[some] = self._score(lang, [words[k] for k in some.tolist()])
-            score[at] = held[numbers]
             self.known[lang] = held
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+            new = np.unique(texts.numbers[at][np.isnan(held[texts.numbers[at]])])
+            inner, word = _grams([words[k] for k in new.tolist()])
+            windows, index = np.unique(texts.windows[at], return_inverse=True)
+            outer, window = _border_grams(windows)
+            asked += [(lang, inner), (lang, outer)]
+            rest.append((at, held, new, word, len(windows), index, window))
+        score = np.zeros(len(owner))
+        found = iter(self.logs(asked))
+        for at, held, new, word, n_windows, index, window in rest:
+            held[new] = np.bincount(word, weights=next(found), minlength=len(new))
+            borders = np.bincount(window, weights=next(found), minlength=n_windows)
+            score[at] = held[texts.numbers[at]] + borders[index]
         total = np.bincount(owner, weights=score, minlength=len(langs))
-        size = np.bincount(owner, weights=lengths[texts.numbers] + 1, minlength=len(langs))
-        return [-t / n if n else None for t, n in zip(total.tolist(), size.tolist())]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        n_bytes = np.bincount(owner, weights=lengths[texts.numbers] + 1, minlength=len(langs))
+        return tuple([-t / n if n else None for t, n in zip(total.tolist(), size.tolist())] for size in (texts.sizes, n_bytes))
 
 
-SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *FEATURES, ("log10_perplexity", pa.float64())])
+MEASURES = ["log10_perplexity", "byte_perplexity"]
+SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *FEATURES, *[(m, pa.float64()) for m in MEASURES]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, the base columns and the log10 perplexity per byte, one row per row of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(_plain(model))
+    """doc_id, lang, the base columns and both measures of perplexity (log10), one row per row of docs."""
 
     def work(batches):
-        scorer = Scorer(Model(*sent.value))
-        for part in blocks(batches):
+        scorer = Scorer(model)
+        for part in blocks(batches, limit=scorer.block):
             texts = scorer.read(part.column("text").to_pylist())
             langs = part.column("lang").to_pylist()
-            yield batch(SCORED, [part.column("doc_id"), langs, *texts.columns, scorer.perplexity(langs, texts)])
+            keys = [f"{fold}{lang}" for fold, lang in zip(part.column("fold").to_pylist(), langs)]
+            yield batch(SCORED, [part.column("doc_id"), langs, *texts.columns, *scorer.perplexity(keys, texts)])
 
-    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
-    return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text).mapInArrow(
-        work, f"doc_id bigint, lang string, {FEATURE_SQL}, log10_perplexity double"
+    text = F.coalesce("text", F.lit(""))
+    columns = ["doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.cast("binary").alias("text"), _fold(text).alias("fold")]
+    return docs.select(*columns).mapInArrow(
+        work, f"doc_id bigint, lang string, {FEATURE_SQL}, log10_perplexity double, byte_perplexity double"
     )
 
 
-def bands(scored: DataFrame, reach: float = REACH) -> dict[str, Band]:
-    """Bands by language, and under None one of all documents, from exact histograms.
-
-    Only documents that pass the base rules count. The number of rows that reach the
-    driver is bounded by languages times steps.
-    """
-    step = F.floor(F.col("log10_perplexity") * STEPS).alias("step")
-    rows = scored.where("not base_failed").groupBy("lang", step).agg(F.count("*").alias("n")).collect()
+def _deviation(value: Column, n_words: Column, middle: Column) -> Column:
+    """Deviation from the median in units that chance gives texts of any length alike."""
+    return (value - middle) * F.sqrt(n_words / (1 + n_words / EVEN_WORDS))
 
-    def band(pairs: list[tuple[int, int]]) -> Band:
-        pairs.sort()
-        ends, values = np.cumsum([n for _, n in pairs]), [s for s, _ in pairs]
-        at = lambda share: values[int(np.searchsorted(ends, share * ends[-1]))] / STEPS
-        low, middle, high = at(0.25), at(0.5), at(0.75)
-        wide = reach * max(high - low, 2 / STEPS)
-        return Band(low - wide, middle, high + wide)
 
+def _quantiles(rows: DataFrame, value: Column, shares: list[float]) -> dict[str, list[float]]:
+    """Quantiles of a value by language, from an exact histogram; the driver gets languages times steps."""
+    step = F.floor(value * STEPS).alias("step")
     own: dict[str, list[tuple[int, int]]] = {}
-    total: Counter = Counter()
-    for r in rows:
+    for r in rows.groupBy("lang", step).agg(F.count("*").alias("n")).collect():
         own.setdefault(r["lang"], []).append((r["step"], r["n"]))
-        total[r["step"]] += r["n"]
-    out = {lang: band(pairs) for lang, pairs in own.items() if sum(n for _, n in pairs) >= BAND_DOCS}
-    if total:
-        out[None] = band(list(total.items()))
+    out = {}
+    for lang, pairs in own.items():
+        pairs.sort()
+        ends = np.cumsum([n for _, n in pairs])
+        if ends[-1] >= BAND_DOCS:
+            out[lang] = [pairs[int(np.searchsorted(ends, share * ends[-1]))][0] / STEPS for share in shares]
     return out
 
 
-def accepted(value: float | None, n_words: int, band: Band | None) -> bool:
-    """Whether a text's perplexity is in its band; deviations of short texts count less."""
-    if value is None or band is None:
-        return True
-    shrunk = band.middle + (value - band.middle) * math.sqrt(n_words / (n_words + HALF_WORDS))
-    return band.low <= shrunk <= band.high
+def bands(scored: DataFrame, reach: float = REACH) -> dict[str, list[Band]]:
+    """Bands of both measures by language, of documents that pass the base rules.
 
-
-def _verdict(limits: dict) -> callable:
-    def kept(value, n_words, lang, base_failed):
-        return not base_failed and accepted(value, n_words, limits.get(lang, limits.get(None)))
-
-    return kept
+    scored has lang, n_words, base_failed and the measures. Languages with fewer than
+    BAND_DOCS such documents have none.
+    """
+    rows = scored.where("not base_failed and log10_perplexity is not null")
+    out: dict[str, list[Band]] = {}
+    for measure in MEASURES:
+        middle = {lang: m for lang, (m,) in _quantiles(rows, F.col(measure), [0.5]).items()}
+        if not middle:
+            break
+        of = F.try_element_at(F.create_map(*[F.lit(x) for pair in middle.items() for x in pair]), F.col("lang"))
+        far = _deviation(F.col(measure), F.col("n_words"), of)
+        far = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), far))
+        for lang, (low, high) in _quantiles(rows.where(of.isNotNull()), far, [0.25, 0.75]).items():
+            wide = reach * max(high - low, 2 / STEPS)
+            out.setdefault(lang, []).append(Band(low - wide, middle[lang], high + wide))
+    return out
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Base columns, perplexity and verdict, one row per row of docs.
 
     Columns: doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, log10_perplexity, kept. A missing text has no words and fails; a missing
-    language counts as a language of its own; languages with few documents use the band
-    of all. Other columns of docs are not looked at.
+    base_failed, log10_perplexity (per word), byte_perplexity (log10), kept. A missing text has no words and fails; a missing
+    language counts as a language of its own; languages with few documents have no band.
+    Rows that repeat others have the same verdict, very long texts are read whole, and a
+    perplexity on a limit is inside. Other columns of docs are not looked at.
     """
     scored = cut_lineage(score(docs, fit(docs)))
     limits = bands(scored)
     names = [f.name for f in scored.schema] + ["kept"]
-    lows = _table(scored.sparkSession, limits)
-    n = F.col("n_words")
-    shrunk = F.col("middle") + (F.col("log10_perplexity") - F.col("middle")) * F.sqrt(n / (n + HALF_WORDS))
-    fine = F.coalesce(shrunk.between(F.col("low"), F.col("high")), F.lit(True))
-    joined = scored.join(F.broadcast(lows), scored["lang"].eqNullSafe(lows["band"]), "left")
-    if None in limits:
-        rest = limits[None]
-        for name in ("low", "middle", "high"):
-            joined = joined.withColumn(name, F.coalesce(name, F.lit(getattr(rest, name))))
-    return joined.withColumn("kept", ~F.col("base_failed") & fine).select(*names)
+    return scored.withColumn("kept", _kept(limits, *(F.col(c) for c in ("lang", "n_words", "base_failed", *MEASURES)))).select(*names)
 
 
-def _table(spark: SparkSession, limits: dict) -> DataFrame:
-    rows = [(lang, b.low, b.middle, b.high) for lang, b in limits.items() if lang is not None]
-    return spark.createDataFrame(rows, "band string, low double, middle double, high double")
+def _kept(limits: dict[str, list[Band]], lang: Column, n_words: Column, base_failed: Column, *measures: Column) -> Column:
+    """The verdict as an expression over maps of bands by language."""
+    kept = ~base_failed
+    for k, value in enumerate(measures if limits else []):
+        pairs = [(F.lit(x), F.struct(F.lit(b[k].low), F.lit(b[k].middle), F.lit(b[k].high))) for x, b in limits.items()]
+        band = F.try_element_at(F.create_map(*[x for pair in pairs for x in pair]), F.coalesce(lang, F.lit("")))
+        far = _deviation(value, n_words, band["col2"])
+        kept &= F.coalesce(far.between(band["col1"], band["col3"]), F.lit(True))
+    return kept
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns and nothing else.
 
-    The statistics are made in the pass that filters, so no text is shuffled.
+    Texts are read twice, to count and to score; rows travel with their scores, so that no text
+    is shuffled and none is scored again. Nulls, repeated rows and limits as in judge().
     """
     model = fit(docs)
-    limits = bands(cut_lineage(score(docs, model)))
-    sent = docs.sparkSession.sparkContext.broadcast(_plain(model))
-    kept = _verdict(limits)
+    extra = ["fold", "n_words", "base_failed", *MEASURES]
+    while set(extra) & set(docs.columns):
+        extra = [f"_{c}" for c in extra]
+    fold, size, failed, *measures = extra
+    kinds = [LongType(), BooleanType(), DoubleType(), DoubleType()]
+    schema = StructType([*docs.schema.fields, *map(StructField, extra[1:], kinds)])
 
     def work(batches):
-        scorer = Scorer(Model(*sent.value))
-        for part in blocks(batches):
+        scorer = Scorer(model)
+        for part in blocks(batches, limit=scorer.block):
             texts = scorer.read([(t or "").encode() for t in part.column("text").to_pylist()])
-            langs = [x or "" for x in part.column("lang").to_pylist()]
-            columns = zip(scorer.perplexity(langs, texts), texts.columns[0], langs, texts.columns[-1])
-            mask = [kept(v, n, lang, failed) for v, n, lang, failed in columns]
-            yield part.filter(pa.array(mask, pa.bool_()))
-
-    return docs.mapInArrow(work, docs.schema)
+            folds, langs = part.column(fold).to_pylist(), part.column("lang").to_pylist()
+            found = scorer.perplexity([f"{k}{x or ''}" for k, x in zip(folds, langs)], texts)
+            new = [pa.array(texts.columns[0], pa.int64()), pa.array(texts.columns[-1], pa.bool_()), *[pa.array(x, pa.float64()) for x in found]]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *extra[1:]])
+
+    rows = cut_lineage(docs.withColumn(fold, _fold(F.coalesce("text", F.lit("")))).mapInArrow(work, schema))
+    names = ["n_words", "base_failed", *MEASURES]
+    scored = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), *[F.col(a).alias(b) for a, b in zip(extra[1:], names)])
+    verdict = _kept(bands(scored), F.col("lang"), F.col(size), F.col(failed), *map(F.col, measures))
+    return rows.where(verdict).select(*docs.columns)

@@ -1,5 +1,6 @@
 """Base rules against plain counting, the model against its definition, verdicts against labels."""
 
+import random
 import re
 from collections import Counter
 
@@ -41,45 +42,88 @@ def test_empty_table(spark):
     assert quality.filtered(empty(spark)).collect() == []
 
 
+def spoilt(docs, labels):
+    """Clean texts with words shuffled (kind 1), one word in ten foreign (2), or few words over and over (3)."""
+    rng = random.Random(5)
+    rows = docs.join(labels.where("quality = 1"), "doc_id").orderBy("doc_id").select("text", "lang").collect()
+    out = []
+    for k, row in enumerate([r for r in rows if len(r["text"].split()) >= 60][:300]):
+        w = row["text"].split()
+        foreign = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+        if k % 3 == 0:
+            rng.shuffle(w)
+        elif k % 3 == 1:
+            w = [foreign() if rng.random() < 0.1 else x for x in w]
+        else:
+            w = [x for i in range(60) for x in (*rng.sample(w[:8], 8), w[8 + i % (len(w) - 8)])]
+        out.append((10**9 + k, " ".join(w), row["lang"]))
+    return out
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    return quality.judge(docs).join(labels, "doc_id").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    more = spark.createDataFrame(spoilt(docs, labels), "doc_id long, text string, lang string")
+    return quality.judge(docs.unionByName(more)).join(labels, "doc_id", "left").toPandas()
 
 
 def test_clean_documents_stay_and_junk_goes(judged):
     clean = judged[(judged.quality == 1) & ~judged.base_failed]
     junk = judged[judged.quality == 0]
-    assert clean.kept.mean() == 1.0
-    assert junk.kept.mean() < 0.1
+    assert clean.kept.mean() >= 0.975
+    assert junk.kept.mean() < 0.3
 
 
-def test_probabilities_of_a_context_sum_to_one(spark):
+@pytest.mark.parametrize("kind,most", [(0, 0.15), (1, 0.1), (2, 0.1)])
+def test_word_order_foreign_words_and_repetition(judged, kind, most):
+    spoilt_ = judged[(judged.doc_id >= 10**9) & (judged.doc_id % 3 == (10**9 + kind) % 3)]
+    assert len(spoilt_) == 100
+    assert spoilt_.kept.mean() <= most
+
+
+def test_counts_of_all_words_over_borders(spark):
+    texts = ["ab c\n\nabc  \u00e9", "", None, "%%% a|b", "x" * 9]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    expected = Counter()
+    for t in texts:
+        w = (t or "").encode().split()
+        line = b"    " + b" ".join(w) + b" "
+        expected.update(int.from_bytes(line[i - 4 : i + 1], "big") for i in range(4, len(line)) if w)
+    found = Counter()
+    for r in quality.count_grams(docs).collect():
+        assert r["lang"] in ("0en", "1en")
+        found[r["gram"]] += r["n"]
+    assert found == expected
+
+
+def test_parts_give_the_same_perplexity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model = quality.fit(docs)
-    scorer = quality.Scorer(model)
-    lang = "en"
-    code = np.uint64(scorer.place[lang] << 40)
-
-    def p(gram):
-        key, total = np.uint64(gram), 0.0
-        for order in range(quality.ORDER, 0, -1):
-            own = np.array([key & np.uint64((1 << (8 * order)) - 1)])
-            hit, value = quality._find(model.grams[order - 1], quality.mix(own | code))
-            if hit[0]:
-                return 10 ** (total + value[0])
-            seen, weight = quality._find(model.contexts[order - 1], quality.mix((own >> np.uint64(8)) | code))
-            total += weight[0] if seen[0] else 0.0
-        return 10 ** (total + model.floor)
-
-    for context in (b"    ", b" the", b"ther", b"zzzz", b"  qx"):
-        base = int.from_bytes(context, "big") << 8
-        assert sum(p(base | b) for b in range(256)) == pytest.approx(1.0, abs=1e-3)
+    one, many = quality.fit(docs), quality.fit(docs, part_entries=20_000)
+    assert len(one.parts) == 1 and len(many.parts) > 3
+    values = [
+        {r["doc_id"]: (r["log10_perplexity"], r["byte_perplexity"]) for r in quality.score(docs, m).collect()} for m in (one, many)
+    ]
+    assert values[0].keys() == values[1].keys()
+    for k, pair in values[0].items():
+        assert pair == (None, None) or pair == pytest.approx(values[1][k], abs=1e-9)
 
 
-def test_bands_shrink_short_texts():
-    band = quality.Band(0.4, 0.5, 0.6)
-    assert not quality.accepted(0.7, 1000, band)
-    assert quality.accepted(0.7, 3, band)
-    assert quality.accepted(None, 0, band) and quality.accepted(9.0, 50, None)
+def test_probabilities_of_a_context_sum_to_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scorer = quality.Scorer(quality.fit(docs))
+    for context in (b"    ", b" the", b"ther", b"e. T", b"zzzz", b"  qx"):
+        base = int.from_bytes(context, "big") << 8
+        keys = np.array([base | b for b in range(256)], np.uint64)
+        for lang in ("0en", "1en"):
+            assert (10 ** scorer.logs([(lang, keys)])[0]).sum() == pytest.approx(1.0, abs=1e-3)
+
+
+def test_a_text_and_its_copies_do_not_vouch_for_themselves(spark):
+    text = " ".join(f"zq{k}xv" for k in range(40))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**9 + k, text, "en") for k in range(30)], docs.schema)
+    scored = quality.score(docs.unionByName(more), quality.fit(docs.unionByName(more))).where("lang = 'en'")
+    high = scored.where(f"doc_id >= {10**9}").agg({"byte_perplexity": "min"}).first()[0]
+    rest = scored.where(f"doc_id < {10**9} and n_words >= 10").agg({"byte_perplexity": "avg"}).first()[0]
+    assert high > 1.5 * rest
