@@ -72,6 +72,22 @@ def test_states_and_variants(spark, tmp_path):
         states.StateModel.load(spark, str(tmp_path / "absent"))
 
 
+@pytest.mark.parametrize("n_partitions", [1, 3, 8])
+def test_mixture_finds_far_groups_however_rows_are_dealt(spark, n_partitions):
+    """Three far groups stay apart for every dealing of the rows, and their sizes and spreads are those of the rows."""
+    g, noise = F.col("id") % 3, F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0
+    rows = spark.range(3000).select(
+        "id", (g * 100_000 + noise).alias("avg_payload"), (g + 1).alias("n_servers"), (g * 3 + 2).alias("n_user_ports"),
+        (2 - g).alias("n_ack"), F.lit(0).alias("n_syn"), (g * g).alias("n_fin"), F.when(g == 1, 5).otherwise(0).alias("n_psh"),
+        g.alias("n_rst"),
+    ).repartition(n_partitions)
+    for seed in range(3):
+        model = states.fit_states(rows, 3, "gmm", seed=seed)
+        found = model.label(rows).select((F.col("id") % 3).alias("g"), "state").distinct().collect()
+        assert sorted((r["g"], r["state"]) for r in found) == [(i, f"STATE_{i}") for i in range(3)]
+        assert model.clusterer.weights.tolist() == pytest.approx([1 / 3] * 3)
+
+
 def log_of(spark, traces):
     rows = [("L", case, i + 1, i + 1, a, i, 0) for case, seq in traces.items() for i, a in enumerate(seq)]
     return spark.createDataFrame(
