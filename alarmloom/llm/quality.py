@@ -129,10 +129,9 @@ class Texts:
     """Words of a block of texts as numbers of a vocabulary, and the base columns."""
 
     def __init__(self, texts: list[bytes], vocabulary: Vocabulary):
-        split = [t.split() for t in texts]
-        self.windows = _windows(split)
-        self.sizes = np.array([len(w) for w in split], np.int64)
-        self.numbers = vocabulary.of([w for ws in split for w in ws])
+        words = Words(texts)
+        self.windows, self.sizes, self.lengths = words.windows(), words.sizes, words.length
+        self.numbers = vocabulary.of_places(words.raw, words.start, words.length)
         bounds = np.concatenate(([0], np.cumsum(self.sizes)))
         repeats = _repeats(vocabulary.hashes[self.numbers], bounds)
         rows: list[list] = [[] for _ in FEATURES]
@@ -149,20 +148,28 @@ class Texts:
 # ---- counting and estimation ----
 
 
-def _windows(split: list[list[bytes]]) -> np.ndarray:
-    """For each word the four bytes before it and its first four with the blank after it; 0 where it is over."""
-    some = [b" " * (ORDER - 1) + b" ".join(ws) + b" " for ws in split if ws]
-    if not some:
-        return np.empty(0, np.uint64)
-    raw = np.frombuffer(b"".join(some).replace(b"\0", b"\1") + bytes(ORDER), np.uint8)
-    lengths = np.fromiter((len(w) for ws in split for w in ws), np.int64)
-    text = np.repeat(np.arange(len(some)), [len(ws) for ws in split if ws])
-    start = np.cumsum(lengths + 1) - lengths - 1 + (ORDER - 1) * (text + 1)
-    out = np.zeros(len(start), np.uint64)
-    for k in range(1 - ORDER, ORDER - 1):
-        byte = raw[start + k].astype(np.uint64)
-        out = out << np.uint64(8) | (np.where(k > lengths, np.uint64(0), byte) if k > 0 else byte)
-    return out
+class Words:
+    """Words of a block of texts in one buffer, each text after ORDER - 1 blanks, each word before one.
+
+    start and length tell the place of each word, sizes the number of words of each text.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        split = [t.split() for t in texts]
+        self.sizes = np.array([len(ws) for ws in split], np.int64)
+        self.raw = b"".join([b" " * (ORDER - 1) + b" ".join(ws) + b" " for ws in split if ws])
+        blank = np.frombuffer(self.raw, np.uint8) == 32
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        self.start, self.length = edges[::2], edges[1::2] - edges[::2]
+
+    def windows(self) -> np.ndarray:
+        """For each word the four bytes before it and its first four with the blank after it; 0 where it is over."""
+        raw = np.frombuffer(self.raw.replace(b"\0", b"\1") + bytes(ORDER), np.uint8)
+        out = np.zeros(len(self.start), np.uint64)
+        for k in range(1 - ORDER, ORDER - 1):
+            byte = raw[self.start + k].astype(np.uint64)
+            out = out << np.uint64(8) | (np.where(k > self.length, np.uint64(0), byte) if k > 0 else byte)
+        return out
 
 
 def _border_grams(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +204,13 @@ class Counts:
 
     def add(self, langs: list[str], texts: list[bytes]) -> None:
         for lang in dict.fromkeys(langs):
-            split = [t.split() for t, own in zip(texts, langs) if own == lang]
-            numbers = self.vocabulary.of([w for ws in split for w in ws])
+            words = Words([t for t, own in zip(texts, langs) if own == lang])
+            numbers = self.vocabulary.of_places(words.raw, words.start, words.length)
             n = np.bincount(numbers, minlength=len(self.vocabulary.words))
             before = self.words.get(lang, n[:0])
             n[: len(before)] += before
             self.words[lang] = n
-            pair = np.unique(_windows(split), return_counts=True)
+            pair = np.unique(words.windows(), return_counts=True)
             self.windows.setdefault(lang, []).append(pair)
             self.held += len(pair[0])
 
@@ -386,17 +393,19 @@ class Scorer:
             inner, word = _grams([words[k] for k in new.tolist()])
             windows, index = np.unique(texts.windows[at], return_inverse=True)
             outer, window = _border_grams(windows)
-            asked += [(lang, inner), (lang, outer)]
-            rest.append((at, held, new, word, len(windows), index, window))
+            # Many windows and words share their n-grams.
+            grams, back = np.unique(np.concatenate((inner, outer)), return_inverse=True)
+            asked.append((lang, grams))
+            rest.append((at, held, new, word, len(windows), index, window, back))
         score = np.zeros(len(owner))
         found = iter(self.logs(asked))
-        for at, held, new, word, n_windows, index, window in rest:
-            held[new] = np.bincount(word, weights=next(found), minlength=len(new))
-            borders = np.bincount(window, weights=next(found), minlength=n_windows)
+        for at, held, new, word, n_windows, index, window, back in rest:
+            logs = next(found)
+            held[new] = np.bincount(word, weights=logs[back[: len(word)]], minlength=len(new))
+            borders = np.bincount(window, weights=logs[back[len(word) :]], minlength=n_windows)
             score[at] = held[texts.numbers[at]] + borders[index]
         total = np.bincount(owner, weights=score, minlength=len(langs))
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        n_bytes = np.bincount(owner, weights=lengths[texts.numbers] + 1, minlength=len(langs))
+        n_bytes = np.bincount(owner, weights=texts.lengths + 1, minlength=len(langs))
         return tuple([-t / n if n else None for t, n in zip(total.tolist(), size.tolist())] for size in (texts.sizes, n_bytes))
 
 

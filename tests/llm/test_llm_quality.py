@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from llm_tables import as_rows, awkward, empty, texts_of, words
 
-from alarmloom.llm import quality
+from alarmloom.llm import quality, shared
 
 BASE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -127,3 +127,26 @@ def test_a_text_and_its_copies_do_not_vouch_for_themselves(spark):
     high = scored.where(f"doc_id >= {10**9}").agg({"byte_perplexity": "min"}).first()[0]
     rest = scored.where(f"doc_id < {10**9} and n_words >= 10").agg({"byte_perplexity": "avg"}).first()[0]
     assert high > 1.5 * rest
+
+
+def test_repeated_words_are_looked_up_once(monkeypatch):
+    """Words keep their numbers however they are found, and a block asks for each distinct word and n-gram once."""
+    words = [b"a", b"ab", b"eightlen", b"ninechars", "Größe".encode(), b"x\xff", b"#", b"12345678", b"123456789"]
+    texts = [b" \t".join(words * 50), b"", b"\n\x0b\x0c", b"a  ab\r\n" * 20, b"ab"]
+    for more in ([], [b"a\0 a a\0\0 \0 ab\0cdefghijk"]):
+        block, vocabulary = quality.Words(texts + more), shared.Vocabulary()
+        split = [t.split() for t in texts + more]
+        numbers = vocabulary.of_places(block.raw, block.start, block.length)
+        assert [vocabulary.words[k] for k in numbers] == [w for ws in split for w in ws]
+        assert block.sizes.tolist() == [len(ws) for ws in split]
+        assert block.length.tolist() == [len(w) for ws in split for w in ws]
+    assert len(quality.Words([b"", b" "]).start) == 0
+
+    asked, grams = [], []
+    plain = shared.Vocabulary.of
+    monkeypatch.setattr(shared.Vocabulary, "of", lambda self, ws: asked.extend(ws) or plain(self, ws))
+    monkeypatch.setattr(quality.Scorer, "logs", lambda self, pairs: [grams.append(k) or np.zeros(len(k)) for _, k in pairs])
+    scorer = quality.Scorer(quality.Model(["en"], []))
+    scorer.perplexity(["en"], scorer.read([b" ".join([b"a", b"ab", b"12345678"] * 5000)]))
+    assert sorted(asked) == [b"12345678", b"a", b"ab"]
+    assert [len(k) for k in grams] == [len(set(k.tolist())) for k in grams]
