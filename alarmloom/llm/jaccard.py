@@ -9,8 +9,9 @@ neighbours) make up for are skipped as probes, since small segments are shared b
 What meets is verified on the texts, unless maps of the sets' parities rule a link out.
 
 Documents with equal sets are one node. Signatures that many nodes share are not
-expanded into pairs: their members are held against the member that shares most. What is
-then still in different components is held against each other in blocks of bounded size.
+expanded into pairs: their members are held against the member that shares most. Of what is
+then still in different components, the maps are held against each other in blocks of
+bounded size, and the pairs that they leave over are verified on the texts.
 """
 
 from __future__ import annotations
@@ -32,11 +33,10 @@ from alarmloom.operators.sizing import cut_lineage, small_side
 CROWD = 24
 # Text that one task prepares together.
 JOIN_BLOCK = 6 << 20
-# Nodes and shingles of a block when families of crowds are compared, and members compared at a time.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+# Nodes and shingles of a block when the maps of families of crowds are compared.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
 # Partners of a node that one lot of the verification holds.
 LOT = 256
-COLUMNS = 1 << 15
 SIZES = 1 << 31
 PROBE, DELETED = 1, 2
 
@@ -330,13 +330,6 @@ def _linked(tried: DataFrame, members: DataFrame, docs: DataFrame, size: int, ru
     return links, components(links)
 
 
-def _texts(nodes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and text of the named nodes: the text of one of the documents of each."""
-    one = members.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "key")).alias("at"))
-    wanted = one.join(nodes, "node").select("node", F.col("at.id").alias("id"), F.col("at.key").alias("key"))
-    return docs.select("id", "key", "text").join(small_side(cut_lineage(wanted)), ["id", "key"]).select("node", "text")
-
-
 def _compressed(rows: DataFrame) -> DataFrame:
     """The rows with their text compressed, for the way through a shuffle."""
 
@@ -385,51 +378,67 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int,
     return ordered.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def common_members(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of one list with all of the other."""
-    if not one or not other:
-        return np.zeros((len(one), len(other)), np.int64)
-    sizes = [np.array([len(m) for m in x]) for x in (one, other)]
-    tokens, place = np.unique(np.concatenate([*one, *other]), return_inverse=True)
-    cut = int(sizes[0].sum())
-    rows = [np.repeat(np.arange(len(s)), s) for s in sizes]
-    out = np.zeros((len(one), len(other)), np.float32)
-    for low in range(0, len(tokens), COLUMNS):
-        grids = []
-        for own, row, n in ((place[:cut], rows[0], len(one)), (place[cut:], rows[1], len(other))):
-            at = (own >= low) & (own < low + COLUMNS)
-            grid = np.zeros((n, min(COLUMNS, len(tokens) - low)), np.float32)
-            grid[row[at], own[at] - low] = 1
-            grids.append(grid)
-        out += grids[0] @ grids[1].T
-    return out.astype(np.int64)
-
-
 def _block(table: pa.Table) -> pa.Table:
-    """One row of a block: its nodes, their roots and texts, compressed as a whole, as nodes of a family share much."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    texts = [open_(x) for x in table.column("text").to_pylist()]
-    node, root = (table.column(c).to_numpy() for c in ("node", "root"))
-    packed = pack(node, root, np.array([len(t) for t in texts], np.int64), b"".join(texts), level=9)
+    """One row of a block: its nodes, their roots, sizes and parity maps."""
+    maps = table.column("bits").to_pylist()
+    columns = [table.column(c).to_numpy() for c in ("node", "root", "n_shingles")]
+    packed = pack(*columns, np.array([len(m) for m in maps], np.int64), b"".join(maps))
     first = table.slice(0, 1).select(["family", "block", "rest_blocks", "main_blocks"])
     return first.append_column("packed", pa.array([packed], pa.binary()))
 
 
-def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule):
-    """Links between nodes of a family of crowds that are in different components so far.
+def _by_length(sizes: np.ndarray, lengths: np.ndarray, joined: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each length of a map that occurs, the indexes of its nodes by size, and their maps as rows."""
+    ends = np.cumsum(lengths)
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == length)
+        at = at[np.argsort(sizes[at], kind="stable")]
+        yield at, np.stack([np.frombuffer(joined, np.uint64, length // 8, ends[i] - length) for i in at])
+
+
+def possible_across(one: bytes, other: bytes, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of two blocks, in different components, whose parity maps do not rule a link out."""
+    (node_a, root_a, n_a, *maps_a), (node_b, root_b, n_b, *maps_b) = (
+        unpack(x, np.int64, np.int64, np.int64, np.int64, None) for x in (one, other)
+    )
+    out: list[list[np.ndarray]] = [[], []]
+    right = list(_by_length(n_b, *maps_b))
+    for at_a, rows in _by_length(n_a, *maps_a):
+        for at_b, columns in right:
+            width = min(rows.shape[1], columns.shape[1])
+            left, against = (np.bitwise_xor.reduce(x.reshape(len(x), -1, width), axis=1) for x in (rows, columns))
+            sizes = n_b[at_b]
+            low = np.searchsorted(sizes, -(-rule.part * n_a[at_a] // rule.whole))
+            high = np.searchsorted(sizes, rule.whole * n_a[at_a] // rule.part, side="right")
+            for i, bits, start, end in zip(at_a.tolist(), left, low.tolist(), high.tolist()):
+                if start >= end:
+                    continue
+                apart = np.bitwise_count(against[start:end] ^ bits).sum(axis=1, dtype=np.int64)
+                held = (rule.whole + rule.part) * apart <= (rule.whole - rule.part) * (n_a[i] + sizes[start:end])
+                j = at_b[start:end][held]
+                j = j[root_b[j] != root_a[i]]
+                if len(j):
+                    out[0].append(np.minimum(node_a[i], node_b[j]))
+                    out[1].append(np.maximum(node_a[i], node_b[j]))
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in out)
+
+
+def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of nodes of a family of crowds that are in different components so far and may be linked.
 
     Crowds that still have several components are joined to families by their hubs. A
-    family's largest component is not held against itself; all other nodes are held
-    against all, in blocks of about BLOCK nodes that each have a task of their own.
-    Of the links of two blocks only a spanning forest is returned.
+    family's largest component is not held against itself; of all other nodes the parity maps
+    are held against all, in blocks of about BLOCK nodes that each have a task of their own.
     """
     placed = crowds.select("crowd", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     joined = placed.join(mixed.select("crowd"), "crowd").join(hubs, "crowd")
     family = components(joined.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     known = family.withColumnRenamed("root", "family").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = members.where("node is not null").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    known = cut_lineage(known.join(held, "node"))
+    held = members.where("node is not null").groupBy("node")
+    held = held.agg(F.max("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
+    known = cut_lineage(known.join(held.drop("bits"), "node"))
     by_root = known.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     top = by_root.groupBy("family").agg(F.max(F.struct("n", "root", "m")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -449,9 +458,8 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
         "block",
         F.when(is_main, -1 - F.pmod("hashed", "main_blocks")).otherwise(F.pmod("hashed", "rest_blocks")).cast("bigint"),
     )
-    blocked = cut_lineage(blocked.select("family", "node", "root", "block", "rest_blocks", "main_blocks"))
-    texts = _compressed(_texts(blocked.select("node"), members, docs))
-    packed = blocked.join(texts, "node").groupBy("family", "block").applyInArrow(_block, BLOCKS_SQL)
+    blocked = blocked.select("family", "node", "root", "n_shingles", "block", "rest_blocks", "main_blocks")
+    packed = blocked.join(held.select("node", "bits"), "node").groupBy("family", "block").applyInArrow(_block, BLOCKS_SQL)
     all_rest = F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1)
     all_main = F.sequence(-F.col("main_blocks"), F.lit(-1).cast("bigint"))
     meets = F.when(F.col("block") < 0, all_rest).otherwise(F.concat(all_rest, all_main))
@@ -459,39 +467,12 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
     rows = rows.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "packed")
 
     def work(table: pa.Table) -> pa.Table:
-        one, two = (table.column(c)[0].as_py() for c in ("one", "two"))
-        node, root, block, held = [], [], [], []
-        for b, x in zip(table.column("block").to_pylist(), table.column("packed").to_pylist()):
-            nodes, root_of, sizes_of, joined = unpack(x, np.int64, np.int64, np.int64, None)
-            ends = np.cumsum(sizes_of).tolist()
-            texts = [joined[low:high] for low, high in zip([0, *ends], ends)]
-            held += sets(texts, WordHashes(), size)
-            node.append(nodes)
-            root.append(root_of)
-            block.append(np.full(len(nodes), b))
-        node, root, block = (np.concatenate(c) for c in (node, root, block))
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        shared = common_members([held[i] for i in left], [held[i] for i in right])
-        n = np.array([len(m) for m in held], np.int64)
-        linked = rule.linked(shared, n[left][:, None], n[right][None, :]) & (root[left][:, None] != root[right][None, :])
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        out: list[list[int]] = [[], []]
-        for i, j in zip(*np.nonzero(linked)):
-            a, b = int(left[i]), int(right[j])
-            x, y = find(int(root[a])), find(int(root[b]))
-            if x != y:
-                parent[x] = y
-                out[0].append(int(node[a]))
-                out[1].append(int(node[b]))
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-
-    return rows.groupBy("family", "one", "two").applyInArrow(work, "a bigint, b bigint")
+        one = table.column("one")[0].as_py()
+        blobs = dict(zip(table.column("block").to_pylist(), table.column("packed").to_pylist()))
+        other = next((x for b, x in blobs.items() if b != one), blobs[one])
+        return pa.table([pa.array(c, pa.int64()) for c in possible_across(blobs[one], other, rule)], names=["a", "b"])
+
+    return rows.groupBy("family", "one", "two").applyInArrow(work, "a bigint, b bigint").distinct()
 
 
 def classes(source: DataFrame, size: int, part: int, whole: int) -> DataFrame:
@@ -513,8 +494,10 @@ def classes(source: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     tried = cut_lineage(_possible(direct.unionByName(stars).distinct(), members, rule))
     links, roots = _linked(tried, members, source, size, rule)
     if not crowds.isEmpty():
-        more = cut_lineage(_across(crowds, hubs, roots, members, source, size, rule))
-        if not more.isEmpty():
+        # What has been tried and is in different components is not linked.
+        left = cut_lineage(_across(crowds, hubs, roots, members, rule).join(tried, ["a", "b"], "left_anti"))
+        if not left.isEmpty():
+            more, _ = _linked(left, members, source, size, rule)
             roots = components(links.unionByName(more))
     return members.drop("bits").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_tables import as_rows, awkward, empty, lowered, texts_of, words
 
@@ -133,3 +134,35 @@ def test_parity_maps_never_exceed_the_difference():
         assert apart <= gone + more and apart % 2 == (gone + more) % 2
         assert apart >= (gone + more) / 4
     assert jaccard.flipped(jaccard.parity(one), jaccard.parity(one)) == 0
+
+
+@pytest.mark.parametrize("part", [80, 90])
+def test_maps_of_blocks_keep_all_linked_pairs_and_rule_out_far_ones(part):
+    """Blocks of a family travel as parity maps, not as texts; sizes reach over several lengths of maps."""
+    rng, rule = np.random.default_rng(part), jaccard.Rule(part, 100)
+    groups = []
+    for n in (3, 40, 500, 510, 560, 1000, 1100, 5000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for gone in (0, n // 50, n // 11, n // 5, n // 2):
+            more = rng.integers(0, 1 << 63, gone // 2, dtype=np.uint64)
+            groups.append(np.unique(np.concatenate((base[gone:], more))))
+    groups = list({jaccard.digest(m): m for m in groups}.values())
+    rows = [(jaccard.digest(m), i % 3, len(m), jaccard.parity(m)) for i, m in enumerate(groups)]
+
+    def block(own):
+        columns = zip(*([*r, 1, 0, 1, 1] for r in own))
+        names = ["node", "root", "n_shingles", "bits", "family", "block", "rest_blocks", "main_blocks"]
+        return jaccard._block(pa.table(dict(zip(names, map(list, columns)))))["packed"][0].as_py()
+
+    one, other = rows[::2], rows[1::2]
+    found = set(zip(*(x.tolist() for x in jaccard.possible_across(block(one), block(other), rule))))
+    same = set(zip(*(x.tolist() for x in jaccard.possible_across(block(rows), block(rows), rule))))
+    held = {r[0]: set(m.tolist()) for r, m in zip(rows, groups)}
+    root = {r[0]: r[1] for r in rows}
+    pairs = {(min(a, b), max(a, b)) for a in held for b in held if root[a] != root[b]}
+    share = {p: len(held[p[0]] & held[p[1]]) / len(held[p[0]] | held[p[1]]) for p in pairs}
+    linked = {p for p in pairs if share[p] >= part / 100 - 1e-12}
+    crossing = {(min(a[0], b[0]), max(a[0], b[0])) for a in one for b in other}
+    assert linked and linked <= same <= pairs
+    assert linked & crossing == found & linked and found == same & crossing
+    assert all(share[p] > 0.4 for p in same if min(len(held[x]) for x in p) > 30)
