@@ -34,6 +34,8 @@ PART_ENTRIES = 8_000_000
 PARTS_BLOCK = 32 << 20
 # Windows over borders of words that a task holds before it sends their n-grams.
 HELD_WINDOWS = 2_000_000
+# Windows whose n-grams are made together, and n-grams that a task sends in one batch.
+WINDOWS_BLOCK, SENT_ROWS = 250_000, 1 << 16
 # A band reaches from the quartiles outwards by so many interquartile ranges.
 REACH = 2.0
 # Words of a text at which chance and the differences between texts weigh the same.
@@ -193,6 +195,14 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[at], owner
 
 
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), ranked[1:] != ranked[:-1])))
+    return ranked[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
 class Counts:
     """Words and border windows of a task with their counts by language."""
 
@@ -219,12 +229,15 @@ class Counts:
         for lang, n in self.words.items():
             known = np.flatnonzero(n)
             inner, owner = _grams([self.vocabulary.words[k] for k in known.tolist()])
-            windows, counts = (np.concatenate(x) for x in zip(*self.windows[lang]))
-            outer, window = _border_grams(windows)
-            grams, place = np.unique(np.concatenate((inner, outer)), return_inverse=True)
-            weights = np.concatenate((n[known][owner], counts[window])).astype(np.float64)
-            total = np.bincount(place, weights=weights, minlength=len(grams))
-            yield batch(schema, [[lang] * len(grams), grams.astype(np.int64), total.astype(np.int64)])
+            grams, total = _added(inner, n[known][owner])
+            windows, counts = _added(*(np.concatenate(x) for x in zip(*self.windows.pop(lang))))
+            for low in range(0, len(windows), WINDOWS_BLOCK):
+                outer, window = _border_grams(windows[low : low + WINDOWS_BLOCK])
+                more = _added(outer, counts[low : low + WINDOWS_BLOCK][window])
+                grams, total = _added(*(np.concatenate(x) for x in zip((grams, total), more)))
+            for low in range(0, len(grams), SENT_ROWS):
+                own = grams[low : low + SENT_ROWS].astype(np.int64)
+                yield batch(schema, [pa.repeat(lang, len(own)), own, total[low : low + SENT_ROWS]])
 
 
 def count_grams(docs: DataFrame) -> DataFrame:

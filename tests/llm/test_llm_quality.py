@@ -150,3 +150,31 @@ def test_repeated_words_are_looked_up_once(monkeypatch):
     scorer.perplexity(["en"], scorer.read([b" ".join([b"a", b"ab", b"12345678"] * 5000)]))
     assert sorted(asked) == [b"12345678", b"a", b"ab"]
     assert [len(k) for k in grams] == [len(set(k.tolist())) for k in grams]
+
+
+def test_counts_are_made_and_sent_in_pieces(monkeypatch):
+    """Neither the n-grams over borders nor a batch grow with what a task holds."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "bc", "def", "ghijkl", "ü", "mnopqrstu"], k=60)).encode() for _ in range(30)]
+
+    def counted():
+        counts = quality.Counts()
+        for low in range(0, 30, 10):
+            counts.add(["x", "y"] * 5, texts[low : low + 10])
+        return list(counts.rows())
+
+    def total(rows):
+        out = Counter()
+        for r in rows:
+            for lang, gram, n in zip(*(r.column(i).to_pylist() for i in range(3))):
+                out[lang, gram] += n
+        return out
+
+    whole, made = counted(), []
+    plain = quality._border_grams
+    monkeypatch.setattr(quality, "_border_grams", lambda w: made.append(len(w)) or plain(w))
+    monkeypatch.setattr(quality, "WINDOWS_BLOCK", 7)
+    monkeypatch.setattr(quality, "SENT_ROWS", 50)
+    pieces = counted()
+    assert max(made) == 7 and max(len(r) for r in pieces) == 50
+    assert total(pieces) == total(whole)
