@@ -310,8 +310,8 @@ def _possible(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(work, "a bigint, b bigint")
 
 
-def _linked(tried: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Links enough for the components of all linked pairs, and those components.
+def _linked(tried: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> DataFrame:
+    """The components of all linked pairs.
 
     First every node is held against its smallest partner only; of the other pairs, those
     that are in one component by then need no look.
@@ -325,9 +325,9 @@ def _linked(tried: DataFrame, members: DataFrame, docs: DataFrame, size: int, ru
     rest = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
     more = cut_lineage(_verified(cut_lineage(rest), members, docs, size, rule))
     if more.isEmpty():
-        return links, roots
-    links = links.unionByName(more)
-    return links, components(links)
+        return roots
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(stars.unionByName(more.select("a", "b")))
 
 
 def _compressed(rows: DataFrame) -> DataFrame:
@@ -492,13 +492,13 @@ def classes(source: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     stars = stars.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     direct = met.where("crowd is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = cut_lineage(_possible(direct.unionByName(stars).distinct(), members, rule))
-    links, roots = _linked(tried, members, source, size, rule)
+    roots = _linked(tried, members, source, size, rule)
     if not crowds.isEmpty():
         # What has been tried and is in different components is not linked.
         left = cut_lineage(_across(crowds, hubs, roots, members, rule).join(tried, ["a", "b"], "left_anti"))
         if not left.isEmpty():
-            more, _ = _linked(left, members, source, size, rule)
-            roots = components(links.unionByName(more))
+            more = _linked(left, members, source, size, rule)
+            roots = components(roots.unionByName(more).select(F.col("node").alias("a"), F.col("root").alias("b")))
     return members.drop("bits").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
