@@ -3,8 +3,9 @@
 The n-grams are of bytes and run over the borders of words (any white space is one blank),
 so both spelling and the order of words count. Spark counts them over all texts, discounts
 are taken from counts of counts, and the probabilities are sent to the tasks as arrays sorted
-by hash, in parts of bounded size. Texts are dealt to two folds by their hash, and each fold is
-scored by what the other one taught, so that no text, nor a copy of it, vouches for itself.
+by hash, in parts of bounded size; Spark sorts and packs them, and the driver holds one piece of
+a part at a time. Texts are dealt to two folds by their hash, and each fold is scored by what the
+other one taught, so that no text, nor a copy of it, vouches for itself.
 Documents whose perplexity per word or per byte lies outside of their language's bands are
 rejected; the bands follow the quartiles of all documents that pass the base rules. Per word,
 signs stuck to words and foreign words show; per byte, lists of words and a wrong order do.
@@ -16,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,31 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from alarmloom.llm.shared import BLOCK_BYTES, MEMO_WORDS, ODD, SPACE, Vocabulary, batch, blocks, covered, mix, shingles
+from alarmloom.llm.shared import (
+    BLOCK_BYTES,
+    BUCKETS,
+    BUCKETS_SQL,
+    MEMO_WORDS,
+    ODD,
+    SPACE,
+    Vocabulary,
+    batch,
+    blocks,
+    by_bucket,
+    covered,
+    mix,
+    pack,
+    shingles,
+    unpack,
+)
 from alarmloom.operators.sizing import cut_lineage
 
 # Bytes in an n-gram; five leave room for the language in 64 bits.
 ORDER = 5
 # Entries of a part of the model; a task holds one part at a time.
 PART_ENTRIES = 8_000_000
+# Entries of a piece of a part, which the driver passes on as one broadcast.
+PIECE_ENTRIES = 1 << 20
 # Bytes of text that are looked up together in each of several parts.
 PARTS_BLOCK = 32 << 20
 # Windows over borders of words that a task holds before it sends their n-grams.
@@ -48,6 +68,8 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 10
 # The bits of an n-gram of the highest order.
 GRAM = np.uint64((1 << (8 * ORDER)) - 1)
+# Arrays of a piece: for each order hashes and values of n-grams, then of contexts.
+TABLES = [np.uint64, np.float32] * (2 * ORDER)
 
 FEATURES = [
     ("n_words", pa.int64()),
@@ -72,21 +94,30 @@ class Part:
 
 @dataclass
 class Model:
-    """Languages, and the parts as broadcasts.
+    """Languages, and the parts, each as broadcasts of its pieces by range of hashes.
 
     N-grams of three and more bytes are dealt to the parts by language and the two bytes before
     their last one, so that all shorter n-grams and contexts of a lookup are in its part.
     """
 
     languages: list[str]
-    parts: list[Broadcast]
+    parts: list[list[Broadcast]]
+    held: Part | None = None
 
     def part(self, k: int) -> Part:
         """One part; only the part of a model with one part stays in memory."""
-        sent = self.parts[k]
-        if len(self.parts) == 1 or getattr(sent, "_path", None) is None:
-            return Part(*sent.value)
-        return Part(*sent.load_from_path(sent._path))
+        if self.held:
+            return self.held
+        pieces = []
+        for sent in self.parts[k]:
+            path = getattr(sent, "_path", None)
+            pieces.append(unpack(sent.value if path is None else sent.load_from_path(path), *TABLES))
+        arrays = [np.concatenate(x) for x in zip(*pieces)]
+        tables = list(zip(arrays[::2], arrays[1::2]))
+        part = Part(tables[::2], tables[1::2])
+        if len(self.parts) == 1:
+            self.held = part
+        return part
 
 
 @dataclass
@@ -299,16 +330,47 @@ def _dealt(lang: np.ndarray | Column, two: np.ndarray | Column, n_parts: int) ->
     return (two * 40503 + lang * 17) % n_parts
 
 
-def _sorted(table: pa.Table, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    codes = table.column("code").to_numpy().astype(np.uint64) << np.uint64(8 * ORDER)
-    held, first = np.unique(mix(table.column(key).to_numpy().astype(np.uint64) | codes), return_index=True)
-    return held, np.log10(table.column(value).to_numpy()[first]).astype(np.float32)
+def _pieces(entries: DataFrame, n_parts: int, n_pieces: int) -> DataFrame:
+    """The tables of all parts by ranges of hashes, one row each: bucket (part * n_pieces + range) and packed."""
+
+    def spread(batches):
+        for rows in batches:
+            order, code, gram, context = (rows.column(c).to_numpy().astype(np.int64) for c in ("order", "code", "gram", "context"))
+            part = _dealt(code, gram >> 8 & 0xFFFF, n_parts)
+            out: list[list] = [[], []]
+            for kind, (key, value) in enumerate(((gram, "p"), (context, "weight"))):
+                hashed = mix((key | code << 8 * ORDER).astype(np.uint64))
+                table = (2 * (order - 1) + kind).astype(np.uint8)
+                value = np.log10(rows.column(value).to_numpy()).astype(np.float32)
+                piece = ((hashed >> np.uint64(32)) * np.uint64(n_pieces) >> np.uint64(32)).astype(np.int64)
+                for k in range(n_parts):
+                    own = np.flatnonzero((order <= 2) | (part == k))
+                    for b, at in by_bucket(k * n_pieces + piece[own]):
+                        at = own[at]
+                        at = at[np.lexsort((hashed[at], table[at]))]
+                        # Many n-grams share their context.
+                        at = at[np.append(True, (hashed[at[1:]] != hashed[at[:-1]]) | (table[at[1:]] != table[at[:-1]]))]
+                        out[0].append(b)
+                        out[1].append(pack(table[at], hashed[at], value[at]))
+            yield batch(BUCKETS, out)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        parts = zip(*(unpack(x, np.uint8, np.uint64, np.float32) for x in rows.column("packed").to_pylist()))
+        table, hashed, value = (np.concatenate(x) for x in parts)
+        arrays = []
+        for k in range(2 * ORDER):
+            own = np.flatnonzero(table == k)
+            held, first = np.unique(hashed[own], return_index=True)
+            arrays += [held, value[own[first]]]
+        return pa.table([rows.column("bucket").slice(0, 1), pa.array([pack(*arrays)], pa.binary())], schema=BUCKETS)
+
+    return entries.mapInArrow(spread, BUCKETS_SQL).groupBy("bucket").applyInArrow(gather, BUCKETS_SQL)
 
 
 def fit(docs: DataFrame, part_entries: int = PART_ENTRIES) -> Model:
     """The model of every language, learnt from all words of all documents.
 
-    It has as many parts as its entries need. The driver holds one part at a time.
+    It has as many parts as its entries need. The driver holds one piece of a part at a time.
     """
     spark = docs.sparkSession
     counts = cut_lineage(count_grams(docs))
@@ -323,15 +385,16 @@ def fit(docs: DataFrame, part_entries: int = PART_ENTRIES) -> Model:
     tables = []
     for order, level in enumerate(reversed(levels), start=1):
         below = cut_lineage(_smoothed(level, below, order))
-        tables.append(below.join(F.broadcast(codes), "lang").drop("lang"))
-    n_parts = max(1, math.ceil(sum(t.count() for t in tables) / part_entries))
-    two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    parts = []
-    for k in range(n_parts):
-        own = [t.where(_dealt(F.col("code"), two, n_parts) == k) if order > 2 else t for order, t in enumerate(tables, 1)]
-        rows = [t.toArrow() for t in own]
-        held = [_sorted(t, "gram", "p") for t in rows], [_sorted(t, "context", "weight") for t in rows]
-        parts.append(spark.sparkContext.broadcast(held))
+        tables.append(below.withColumn("order", F.lit(order)))
+    entries = reduce(DataFrame.unionByName, tables).join(F.broadcast(codes), "lang").drop("lang")
+    total = entries.count()
+    n_parts = max(1, math.ceil(total / part_entries))
+    n_pieces = max(1, math.ceil(total / n_parts / PIECE_ENTRIES))
+    sent = {}
+    for row in cut_lineage(_pieces(entries, n_parts, n_pieces)).toLocalIterator():
+        sent[row["bucket"]] = spark.sparkContext.broadcast(bytes(row["packed"]))
+    # Each part has the n-grams of one and two bytes, so none is without a piece.
+    parts = [[sent[b] for b in sorted(sent) if b // n_pieces == k] for k in range(n_parts if sent else 0)]
     return Model(languages, parts)
 
 

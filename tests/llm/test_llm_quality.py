@@ -1,5 +1,6 @@
 """Base rules against plain counting, the model against its definition, verdicts against labels."""
 
+import pickle
 import random
 import re
 from collections import Counter
@@ -109,6 +110,19 @@ def test_parts_give_the_same_perplexity(spark):
         assert pair == (None, None) or pair == pytest.approx(values[1][k], abs=1e-9)
 
 
+def test_the_driver_passes_the_model_on_in_pieces(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = quality.fit(docs)
+    context, sizes = type(spark.sparkContext), []
+    send = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, x: (sizes.append(len(pickle.dumps(x))), send(self, x))[1])
+    monkeypatch.setattr(quality, "PIECE_ENTRIES", 10_000, raising=False)
+    model = quality.fit(docs)
+    assert len(model.parts) == 1 and len(sizes) > 5 and max(sizes) < 400_000
+    for own, other in zip(model.part(0).grams + model.part(0).contexts, whole.part(0).grams + whole.part(0).contexts):
+        assert np.array_equal(own[0], other[0]) and np.array_equal(own[1], other[1])
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     scorer = quality.Scorer(quality.fit(docs))
