@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm_tables import as_rows, awkward, empty, texts_of, words
 
-from alarmloom.llm import suffixes, superkmers
+from alarmloom.llm import shared, suffixes, superkmers
 
 
 def brute_bytes(rows, depth):
@@ -50,6 +50,36 @@ def test_repeated_bytes_with_unique_ids(spark):
     assert as_rows(suffixes.deduplicate(docs, 25, 12), *BYTES) == brute_bytes(texts_of(docs), 25)
 
 
+def test_anchors_are_dealt_to_all_buckets(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=30_000)) for _ in range(20)]
+    rows = shared.referenced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sizes = [0] * 16
+    for r in suffixes._first_digits(rows, 400, 200, 16).collect():
+        sizes[r["bucket"]] += len(r["packed"])
+    assert max(sizes) < 2 * sum(sizes) / 16
+
+
+@pytest.mark.parametrize("held", [1 << 20, 500])
+def test_windows_of_the_last_pass_travel_by_task(spark, monkeypatch, held):
+    """Rows between stages follow tasks, buckets and documents, not documents times buckets."""
+    monkeypatch.setattr(suffixes, "HELD_WINDOWS", held, raising=False)
+    rng = random.Random(6)
+    noise = lambda: "".join(rng.choices("abcdefgh ", k=90))
+    common = ["".join(rng.choices("abcdefgh ", k=70)) for _ in range(3)]
+    texts = [noise() + common[i % 3] + noise() + common[i % 2] + noise() for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    made = []
+    plain = suffixes.with_ranges
+    monkeypatch.setattr(suffixes, "bucket_count", lambda docs: 32)
+    monkeypatch.setattr(suffixes, "with_ranges", lambda rows, ranges: made.append(ranges) or plain(rows, ranges))
+    found = as_rows(suffixes.deduplicate(docs, 50, 25), *BYTES)
+    assert found == brute_bytes(texts_of(docs), 50)
+    assert sum(r[2] > 0 for r in found) == 60
+    last = [len(r["ranges"]) // 16 for r in made[0].collect()]
+    assert len(last) <= 60 * 10 and max(last) < 20
+
+
 def brute_words(rows, window):
     data = [(d, words(t)) for d, t in rows]
     rank = lambda d: (d is None, d)
