@@ -3,6 +3,7 @@
 import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -192,3 +193,44 @@ def test_counts_are_made_and_sent_in_pieces(monkeypatch):
     pieces = counted()
     assert max(made) == 7 and max(len(r) for r in pieces) == 50
     assert total(pieces) == total(whole)
+
+
+def test_a_part_is_put_together_piece_by_piece():
+    """Beside the part a worker holds one unpacked piece of it, not all."""
+    rng = np.random.default_rng(5)
+    kinds = quality.TABLES
+    pieces = [[rng.integers(0, 1 << 20, 10_000 + 100 * i).astype(k) for k in kinds] for i in range(20)]
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    model = quality.Model(["en"], [[Sent(shared.pack(*x)) for x in pieces]] * 2)
+    tracemalloc.start()
+    part = model.part(1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = [np.concatenate(x) for x in zip(*pieces)]
+    for k, (hashes, values) in enumerate(x for pair in zip(part.grams, part.contexts) for x in pair):
+        assert np.array_equal(hashes, whole[2 * k]) and np.array_equal(values, whole[2 * k + 1])
+    assert peak < 1.3 * sum(x.nbytes for x in whole)
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    text = " ".join(f"w{k % 700}" for k in range(4000))
+    docs = spark.createDataFrame([(i, f"{i} {text}", "en") for i in range(800)], "doc_id long, text string, lang string")
+    plain = quality.blocks
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def checked(batches, **kinds):
+        def small():
+            for x in batches:
+                assert x.nbytes < 6 << 20
+                yield x
+
+        yield from plain(small(), **kinds)
+
+    monkeypatch.setattr(quality, "blocks", checked)
+    assert quality.judge(docs.coalesce(1)).count() == 800
+    quality.filtered(docs.coalesce(1)).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
