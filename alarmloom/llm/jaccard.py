@@ -59,7 +59,7 @@ MET = pa.schema(
     [("a", pa.int64()), ("b", pa.int64()), ("crowd", pa.int64()), ("size", pa.int32()), ("flags", pa.int32())]
 )
 
-BLOCKS_SQL = "family bigint, block bigint, rest_blocks bigint, main_blocks bigint, packed binary"
+BLOCKS_SQL = "family bigint, block bigint, packed binary"
 
 
 class Rule:
@@ -383,7 +383,7 @@ def _block(table: pa.Table) -> pa.Table:
     maps = table.column("bits").to_pylist()
     columns = [table.column(c).to_numpy() for c in ("node", "root", "n_shingles")]
     packed = pack(*columns, np.array([len(m) for m in maps], np.int64), b"".join(maps))
-    first = table.slice(0, 1).select(["family", "block", "rest_blocks", "main_blocks"])
+    first = table.slice(0, 1).select(["family", "block"])
     return first.append_column("packed", pa.array([packed], pa.binary()))
 
 
@@ -429,7 +429,8 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
 
     Crowds that still have several components are joined to families by their hubs. A
     family's largest component is not held against itself; of all other nodes the parity maps
-    are held against all, in blocks of about BLOCK nodes that each have a task of their own.
+    are held against all of the same band of sizes and its neighbours, in blocks of at most
+    about BLOCK nodes of one band. Each pair of blocks is a group of its own.
     """
     placed = crowds.select("crowd", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -439,31 +440,27 @@ def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataF
     held = members.where("node is not null").groupBy("node")
     held = held.agg(F.max("n_shingles").alias("n_shingles"), F.any_value("bits").alias("bits"))
     known = cut_lineage(known.join(held.drop("bits"), "node"))
-    by_root = known.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
-    top = by_root.groupBy("family").agg(F.max(F.struct("n", "root", "m")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-    def n_blocks(n, m):
-        return F.ceil(F.greatest(n / BLOCK, m / BLOCK_SHINGLES))
-
-    # Blocks 0, 1, ... hold the rest of a family, blocks -1, -2, ... its largest component.
-    sizes = top.select(
-        "family",
-        F.col("top.root").alias("main"),
-        n_blocks(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("rest_blocks"),
-        n_blocks(F.col("top.n"), F.col("top.m")).alias("main_blocks"),
-    ).where("rest_blocks > 0")
-    spread = known.join(sizes, "family").withColumn("hashed", F.xxhash64("node"))
-    is_main = F.col("root") == F.col("main")
-    blocked = spread.withColumn(
-        "block",
-        F.when(is_main, -1 - F.pmod("hashed", "main_blocks")).otherwise(F.pmod("hashed", "rest_blocks")).cast("bigint"),
+    by_root = known.groupBy("family", "root").agg(F.count("*").alias("n"))
+    top = by_root.groupBy("family").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+    main = top.where("roots > 1").select("family", F.col("top.root").alias("main"))
+    lows = [int(x) for x in rule.lows]
+    band = F.expr(f"array_size(filter(array({', '.join(f'{x}L' for x in lows)}), low -> low <= n_shingles)) - 1").cast("bigint")
+    spread = known.join(main, "family").withColumn("band", band).withColumn("is_main", F.col("root") == F.col("main"))
+    sizes = spread.groupBy("family", "band", "is_main").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
     )
-    blocked = blocked.select("family", "node", "root", "n_shingles", "block", "rest_blocks", "main_blocks")
+    # Blocks from 0 on hold the rest of a family, those below 0 its largest component.
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")) * len(lows) + F.col("band")
+    block = F.when(F.col("is_main"), -1 - block).otherwise(block).cast("bigint").alias("block")
+    blocked = spread.join(sizes, ["family", "band", "is_main"]).select("family", "node", "root", "n_shingles", block)
     packed = blocked.join(held.select("node", "bits"), "node").groupBy("family", "block").applyInArrow(_block, BLOCKS_SQL)
-    all_rest = F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1)
-    all_main = F.sequence(-F.col("main_blocks"), F.lit(-1).cast("bigint"))
-    meets = F.when(F.col("block") < 0, all_rest).otherwise(F.concat(all_rest, all_main))
-    rows = cut_lineage(packed).select("family", "block", "packed", F.explode(meets).alias("other"))
+    packed = cut_lineage(packed)
+    # Sets of a pair are in one band or in neighbours.
+    ids = packed.select("family", "block", F.expr(f"if(block < 0, -1 - block, block) % {len(lows)}").alias("band"))
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band")
+    others = ids.select("family", near, F.col("block").alias("other"))
+    meets = ids.join(others, ["family", "band"]).where("block >= 0 or other >= 0").select("family", "block", "other")
+    rows = packed.join(small_side(cut_lineage(meets)), ["family", "block"])
     rows = rows.select("family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "packed")
 
     def work(table: pa.Table) -> pa.Table:

@@ -166,3 +166,37 @@ def test_maps_of_blocks_keep_all_linked_pairs_and_rule_out_far_ones(part):
     assert linked and linked <= same <= pairs
     assert linked & crossing == found & linked and found == same & crossing
     assert all(share[p] > 0.4 for p in same if min(len(held[x]) for x in p) > 30)
+
+
+def test_blocks_meet_only_where_sizes_are_near(spark, monkeypatch):
+    """Maps of a family are sent to blocks of their band of sizes and its neighbours, and lose no linked pair."""
+    rng, rule = np.random.default_rng(8), jaccard.Rule(80, 100)
+    groups = []
+    for n in range(20, 2000, 60):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        groups += [np.unique(np.concatenate((base[gone:], base[:gone] + np.uint64(1)))) for gone in (0, n // 20, n // 2)]
+    held = {jaccard.digest(m): m for m in groups}
+    hub = min(held)
+    members = spark.createDataFrame(
+        [(k, len(m), bytearray(jaccard.parity(m))) for k, m in held.items()], "node long, n_shingles long, bits binary"
+    )
+    crowds = spark.createDataFrame([(1, k) for k in held], "crowd long, node long")
+    hubs = spark.createDataFrame([(1, hub)], "crowd long, hub long")
+    largest = sorted(held)[:10]
+    roots = spark.createDataFrame([(k, min(largest)) for k in largest], "node long, root long")
+    plain = jaccard.possible_across
+
+    def checked(one, other, rule):
+        low, high = (jaccard.unpack(x, *[np.int64] * 4, None)[2] for x in (one, other))
+        both = np.concatenate((low, high))
+        assert both.max() * 64 <= both.min() * 101
+        return plain(one, other, rule)
+
+    monkeypatch.setattr(jaccard, "possible_across", checked)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    found = set(as_rows(jaccard._across(crowds, hubs, roots, members, rule), "a", "b"))
+    root = {k: min(largest) if k in largest else k for k in held}
+    share = {(a, b): len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for a, x in held.items() for b, y in held.items() if a < b}
+    linked = {p for p, v in share.items() if v >= 0.8 and root[p[0]] != root[p[1]]}
+    assert len(linked) > 20 and linked <= found
+    assert all(root[a] != root[b] for a, b in found)
