@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from alarmloom.llm.components import components
-from alarmloom.llm.shared import NO_ID, ODD, WordHashes, blocks, bucket_count, by_bucket, keyed, mix, pack, shingles, unpack
+from alarmloom.llm.shared import NO_ID, ODD, WordHashes, blocks, bucket_count, by_bucket, keyed, mix, pack, released, shingles, unpack
 from alarmloom.operators.sizing import cut_lineage, small_side
 
 # Nodes that may share a signature and still be paired off directly.
@@ -189,7 +189,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
             columns = [part.column("doc_id"), part.column("id"), part.column("key"), lengths, nodes, bits]
             yield pa.RecordBatch.from_arrays(columns, schema=NODES)
 
-    return docs.mapInArrow(work, NODES_SQL)
+    return docs.mapInArrow(released(work), NODES_SQL)
 
 
 def _spread(docs: DataFrame, size: int, rule: Rule, n_buckets: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _spread(docs: DataFrame, size: int, rule: Rule, n_buckets: int) -> DataFrame
                 )
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], schema=PACKED)
 
-    return docs.select("text").mapInArrow(work, "bucket bigint, packed binary")
+    return docs.select("text").mapInArrow(released(work), "bucket bigint, packed binary")
 
 
 def meet(value: np.ndarray, node: np.ndarray, size: np.ndarray, flags: np.ndarray, rule: Rule, crowd: int):
@@ -307,7 +307,7 @@ def _possible(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
             keep = (rule.whole + rule.part) * apart <= (rule.whole - rule.part) * (n_a + n_b)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return both.mapInArrow(work, "a bigint, b bigint")
+    return both.mapInArrow(released(work), "a bigint, b bigint")
 
 
 def _linked(tried: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> DataFrame:
@@ -339,7 +339,7 @@ def _compressed(rows: DataFrame) -> DataFrame:
             packed = pa.array([press(x) for x in part.column("text").to_pylist()], pa.binary())
             yield part.set_column(part.schema.get_field_index("text"), "text", packed)
 
-    return rows.mapInArrow(work, rows.schema)
+    return rows.mapInArrow(released(work), rows.schema)
 
 
 def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int, rule: Rule) -> DataFrame:
@@ -375,7 +375,7 @@ def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, size: int,
 
     # A node's own text comes first in each of its lots.
     ordered = _compressed(rows).repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("node") != F.col("a"))
-    return ordered.mapInArrow(work, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(released(work), "a bigint, b bigint").distinct()
 
 
 def _block(table: pa.Table) -> pa.Table:

@@ -40,6 +40,7 @@ from alarmloom.llm.shared import (
     mix,
     pack,
     packed_sizes,
+    released,
     shingles,
     small_batches,
     unpack,
@@ -299,7 +300,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     lang = F.concat((1 - _fold(F.col("text"))).cast("string"), F.coalesce("lang", F.lit(""))).alias("lang")
     rows = docs.where("text is not null").select(lang, F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(work, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(released(work), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _smoothed(grams: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
@@ -515,7 +516,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     columns = ["doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.cast("binary").alias("text"), _fold(text).alias("fold")]
     return docs.select(*columns).mapInArrow(
-        work, f"doc_id bigint, lang string, {FEATURE_SQL}, log10_perplexity double, byte_perplexity double"
+        released(work), f"doc_id bigint, lang string, {FEATURE_SQL}, log10_perplexity double, byte_perplexity double"
     )
 
 
@@ -612,7 +613,7 @@ def filtered(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *extra[1:]])
 
     with small_batches(docs.sparkSession):
-        rows = cut_lineage(docs.withColumn(fold, _fold(F.coalesce("text", F.lit("")))).mapInArrow(work, schema))
+        rows = cut_lineage(docs.withColumn(fold, _fold(F.coalesce("text", F.lit("")))).mapInArrow(released(work), schema))
     names = ["n_words", "base_failed", *MEASURES]
     scored = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), *[F.col(a).alias(b) for a, b in zip(extra[1:], names)])
     verdict = _kept(bands(scored), F.col("lang"), F.col(size), F.col(failed), *map(F.col, measures))

@@ -5,6 +5,7 @@ import random
 import re
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -234,3 +235,20 @@ def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
     assert quality.judge(docs.coalesce(1)).count() == 800
     quality.filtered(docs.coalesce(1)).count()
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_a_worker_gives_back_what_it_no_longer_holds():
+    def held():
+        return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))
+
+    pins = []
+
+    def work(batches):
+        for x in batches:
+            many = [bytearray(60_000) for _ in range(3000)]
+            pins.append(bytearray(60_000))
+            yield len(many)
+
+    before = held()
+    assert list(shared.released(work)([1])) == [3000]
+    assert held() < before + 40_000
