@@ -10,8 +10,9 @@ What meets is verified on the texts, unless maps of the sets' parities rule a li
 
 Documents with equal sets are one node. Signatures that many nodes share are not
 expanded into pairs: their members are held against the member that shares most. Of what is
-then still in different components, the maps are held against each other in blocks of
-bounded size, and the pairs that they leave over are verified on the texts.
+then still in different components, the maps are held against each other: where most members
+are probes all of a family of crowds, and else the few probes against their own crowd, both in
+blocks of bounded size. The pairs that the maps leave over are verified on the texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from alarmloom.llm.components import components
 from alarmloom.llm.shared import NO_ID, ODD, WordHashes, blocks, bucket_count, by_bucket, keyed, mix, pack, released, shingles, unpack
@@ -35,6 +36,8 @@ CROWD = 24
 JOIN_BLOCK = 6 << 20
 # Nodes and shingles of a block when the maps of families of crowds are compared.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
+# Probes and members of a crowd that meet in one task, and shingles of a set whose map travels to its crowds.
+PROBES, MEMBERS, MAPPED = 4096, 16384, 4096
 # Partners of a node that one lot of the verification holds.
 LOT = 256
 SIZES = 1 << 31
@@ -160,7 +163,8 @@ def signatures(members: list[np.ndarray], rule: Rule) -> Iterator[tuple[np.ndarr
         held = np.bincount(slot, minlength=total)
         slot_doc = np.repeat(np.arange(len(members)), count)
         slot_segment = np.arange(total) - np.repeat(offset, count)
-        names = mix((slot_segment.astype(np.uint64) + np.uint64(1)) * ODD + salt[slot_doc])
+        # Mixed, else empty segments of different bands would have one name.
+        names = mix((slot_segment.astype(np.uint64) + np.uint64(1)) * ODD + mix(salt)[slot_doc])
         reserve = slot_segment < rule.reserve[band][slot_doc]
         # The smallest segments are no probes, up to what the reserve makes up for.
         order = np.lexsort((held, slot_doc))
@@ -393,20 +397,23 @@ def _by_length(sizes: np.ndarray, lengths: np.ndarray, joined: bytes) -> Iterato
     for length in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == length)
         at = at[np.argsort(sizes[at], kind="stable")]
-        yield at, np.stack([np.frombuffer(joined, np.uint64, length // 8, ends[i] - length) for i in at])
+        maps = [np.frombuffer(joined, np.uint64, length // 8, ends[i] - length) for i in at] if length else np.empty((len(at), 0), np.uint64)
+        yield at, np.stack(maps)
 
 
-def possible_across(one: bytes, other: bytes, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of two blocks, in different components, whose parity maps do not rule a link out."""
-    (node_a, root_a, n_a, *maps_a), (node_b, root_b, n_b, *maps_b) = (
-        unpack(x, np.int64, np.int64, np.int64, np.int64, None) for x in (one, other)
-    )
-    out: list[list[np.ndarray]] = [[], []]
+def _not_ruled_out(n_a: np.ndarray, maps_a: tuple, n_b: np.ndarray, maps_b: tuple, rule: Rule) -> Iterator[tuple[int, np.ndarray]]:
+    """Index of a set, and indexes of the others whose size and parity map do not rule a link out.
+
+    Maps are the lengths and the bytes of all; a set without a map is ruled out by its size only.
+    """
     right = list(_by_length(n_b, *maps_b))
     for at_a, rows in _by_length(n_a, *maps_a):
         for at_b, columns in right:
             width = min(rows.shape[1], columns.shape[1])
-            left, against = (np.bitwise_xor.reduce(x.reshape(len(x), -1, width), axis=1) for x in (rows, columns))
+            if width:
+                left, against = (np.bitwise_xor.reduce(x.reshape(len(x), -1, width), axis=1) for x in (rows, columns))
+            else:
+                left, against = rows[:, :0], columns[:, :0]
             sizes = n_b[at_b]
             low = np.searchsorted(sizes, -(-rule.part * n_a[at_a] // rule.whole))
             high = np.searchsorted(sizes, rule.whole * n_a[at_a] // rule.part, side="right")
@@ -415,19 +422,87 @@ def possible_across(one: bytes, other: bytes, rule: Rule) -> tuple[np.ndarray, n
                     continue
                 apart = np.bitwise_count(against[start:end] ^ bits).sum(axis=1, dtype=np.int64)
                 held = (rule.whole + rule.part) * apart <= (rule.whole - rule.part) * (n_a[i] + sizes[start:end])
-                j = at_b[start:end][held]
-                j = j[root_b[j] != root_a[i]]
-                if len(j):
-                    out[0].append(np.minimum(node_a[i], node_b[j]))
-                    out[1].append(np.maximum(node_a[i], node_b[j]))
+                yield i, at_b[start:end][held]
+
+
+def possible_across(one: bytes, other: bytes, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of two blocks, in different components, whose parity maps do not rule a link out."""
+    (node_a, root_a, n_a, *maps_a), (node_b, root_b, n_b, *maps_b) = (
+        unpack(x, np.int64, np.int64, np.int64, np.int64, None) for x in (one, other)
+    )
+    out: list[list[np.ndarray]] = [[], []]
+    for i, j in _not_ruled_out(n_a, maps_a, n_b, maps_b, rule):
+        j = j[root_b[j] != root_a[i]]
+        if len(j):
+            out[0].append(np.minimum(node_a[i], node_b[j]))
+            out[1].append(np.maximum(node_a[i], node_b[j]))
     none = np.empty(0, np.int64)
     return tuple(np.concatenate(x) if x else none for x in out)
 
 
+def possible_probed(table: pa.Table, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of an asking row and another of its crowd that match, are in different components and may be linked."""
+    node, root, size, flags, asks = (table.column(c).to_numpy() for c in ("node", "root", "size", "flags", "asks"))
+    maps = [m or b"" for m in table.column("bits").to_pylist()]
+    sides = []
+    for at in (np.flatnonzero(asks), np.flatnonzero(~asks)):
+        own = [maps[i] for i in at.tolist()]
+        sides.append((at, size[at].astype(np.int64), (np.array([len(m) for m in own], np.int64), b"".join(own))))
+    (at_a, n_a, maps_a), (at_b, n_b, maps_b) = sides
+    out: list[list[np.ndarray]] = [[], []]
+    for i, j in _not_ruled_out(n_a, maps_a, n_b, maps_b, rule):
+        one, others = at_a[i], at_b[j]
+        others = others[allowed(flags[one], flags[others]) & (root[others] != root[one])]
+        if len(others):
+            out[0].append(np.minimum(node[one], node[others]))
+            out[1].append(np.maximum(node[one], node[others]))
+    none = np.empty(0, np.int64)
+    return tuple(np.unique(np.stack([np.concatenate(x) for x in out]), axis=1)) if out[0] else (none, none)
+
+
+def _probed(crowds: DataFrame, roots: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of a crowd with a probe, in different components so far, that may be linked.
+
+    A match needs a probe, and most members of a crowd are none: it is a segment of few members
+    that they do not ask for. So only the probes are held against the members, in lots of
+    about PROBES against blocks of about MEMBERS. Maps of sets above MAPPED shingles stay
+    behind; their pairs, which are few, are left to what tries pairs.
+    """
+    placed = crowds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    probe = F.col("flags").bitwiseAND(F.lit(PROBE)) > 0
+    facts = placed.groupBy("crowd").agg(
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.ceil(F.count_if(probe) / PROBES).alias("lots"),
+        F.ceil(F.count("*") / MEMBERS).alias("blocks"),
+        F.count_if(F.col("flags") == PROBE).alias("whole"),
+    )
+    facts = facts.where("low <> high and lots > 0").drop("low", "high")
+    # Without a probe that is whole, a set with a member left out that is no probe matches none.
+    rows = placed.join(facts, "crowd").where((F.col("whole") > 0) | (F.col("flags") != DELETED))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    def one_of(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n))
+
+    kept = ["crowd", "node", "root", "size", "flags"]
+    asking = rows.where(probe).select(*kept, one_of("lots").alias("lot"), every("blocks").alias("block"), F.lit(True).alias("asks"))
+    asked = rows.select(*kept, every("lots").alias("lot"), one_of("blocks").alias("block"), F.lit(False).alias("asks"))
+    maps = members.where(F.col("n_shingles") <= MAPPED).where("node is not null").groupBy("node").agg(F.any_value("bits").alias("bits"))
+    dealt = asking.unionByName(asked).join(maps, "node", "left")
+
+    def work(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array(c, pa.int64()) for c in possible_probed(table, rule)], names=["a", "b"])
+
+    return dealt.groupBy("crowd", "lot", "block").applyInArrow(work, "a bigint, b bigint").distinct()
+
+
 def _across(crowds: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of nodes of a family of crowds that are in different components so far and may be linked.
 
-    Crowds that still have several components are joined to families by their hubs. A
+    This is for crowds of many probes. Crowds that still have several components are joined to families by their hubs. A
     family's largest component is not held against itself; of all other nodes the parity maps
     are held against all of the same band of sizes and its neighbours, in blocks of at most
     about BLOCK nodes of one band. Each pair of blocks is a group of its own.
@@ -491,8 +566,12 @@ def classes(source: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     tried = cut_lineage(_possible(direct.unionByName(stars).distinct(), members, rule))
     roots = _linked(tried, members, source, size, rule)
     if not crowds.isEmpty():
+        probes = F.count_if(F.col("flags").bitwiseAND(F.lit(PROBE)) > 0)
+        many = cut_lineage(crowds.groupBy("crowd").agg((2 * probes > F.count("*")).alias("many")))
+        dense, sparse = (crowds.join(many.where(F.col("many") == x).select("crowd"), "crowd") for x in (True, False))
+        across = _across(dense, hubs, roots, members, rule).unionByName(_probed(sparse, roots, members, rule)).distinct()
         # What has been tried and is in different components is not linked.
-        left = cut_lineage(_across(crowds, hubs, roots, members, rule).join(tried, ["a", "b"], "left_anti"))
+        left = cut_lineage(across.join(tried, ["a", "b"], "left_anti"))
         if not left.isEmpty():
             more = _linked(left, members, source, size, rule)
             roots = components(roots.unionByName(more).select(F.col("node").alias("a"), F.col("root").alias("b")))

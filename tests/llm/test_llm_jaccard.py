@@ -200,3 +200,44 @@ def test_blocks_meet_only_where_sizes_are_near(spark, monkeypatch):
     linked = {p for p, v in share.items() if v >= 0.8 and root[p[0]] != root[p[1]]}
     assert len(linked) > 20 and linked <= found
     assert all(root[a] != root[b] for a, b in found)
+
+
+def test_empty_segments_of_different_bands_are_no_match():
+    rule, rng = jaccard.Rule(80, 100), np.random.default_rng(4)
+    groups = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (20, 25, 32, 41, 52, 65, 82, 103) for _ in range(60)]
+    value, owner, _ = (np.concatenate(x) for x in zip(*jaccard.signatures(groups, rule)))
+    sizes = {}
+    for v, o in zip(value.tolist(), owner.tolist()):
+        sizes.setdefault(v, set()).add(len(groups[o]))
+    assert any(len(s) > 1 for s in sizes.values())
+    assert all(max(s) * 64 <= min(s) * 101 for s in sizes.values())
+
+
+def test_only_probes_of_a_crowd_are_held_against_its_members(spark, monkeypatch):
+    """Pairs without a probe are no match, whatever their maps say; all others that are linked are found."""
+    rng, rule = np.random.default_rng(9), jaccard.Rule(80, 100)
+    monkeypatch.setattr(jaccard, "PROBES", 3)
+    monkeypatch.setattr(jaccard, "MEMBERS", 7)
+    monkeypatch.setattr(jaccard, "MAPPED", 300)
+    groups = []
+    for n in (40, 90, 200, 400):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        groups += [np.unique(np.concatenate((base[gone:], base[:gone] + np.uint64(1)))) for gone in range(0, n // 8, max(1, n // 80))]
+    held = {jaccard.digest(m): m for m in groups}
+    flags = {k: (0, 1, 2, 3, 0, 2)[i % 6] for i, k in enumerate(held)}
+    members = spark.createDataFrame(
+        [(k, len(m), bytearray(jaccard.parity(m))) for k, m in held.items()], "node long, n_shingles long, bits binary"
+    )
+    crowds = spark.createDataFrame(
+        [(c, k, len(held[k]), f) for c in (1, 2) for k, f in flags.items() if c == 1 or f != 1],
+        "crowd long, node long, size int, flags int",
+    )
+    known = sorted(held)[:9]
+    roots = spark.createDataFrame([(k, known[0]) for k in known], "node long, root long")
+    found = as_rows(jaccard._probed(crowds, roots, members, rule), "a", "b")
+    root = {k: known[0] if k in known else k for k in held}
+    pairs = {(a, b) for a in held for b in held if a < b and root[a] != root[b]}
+    match = {p for p in pairs if (flags[p[0]] | flags[p[1]]) & 1 and not flags[p[0]] & flags[p[1]] & 2}
+    linked = {p for p in pairs if rule.linked(len(np.intersect1d(held[p[0]], held[p[1]])), len(held[p[0]]), len(held[p[1]]))}
+    assert len(found) == len(set(found)) and len(linked & match) > 20 and linked - match
+    assert linked & match <= set(found) <= match
