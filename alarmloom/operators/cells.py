@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from alarmloom.operators.sizing import cut_lineage, held_side, small_side
+from alarmloom.operators.sizing import cut_lineage, held_rows, held_side, small_side
 from alarmloom.operators.states import state_name
 from alarmloom.schema import WINDOW_FEATURES
 
@@ -20,17 +20,29 @@ from alarmloom.schema import WINDOW_FEATURES
 MAX_ROUNDS, TOLERANCE = 100, 1e-4
 # Seedings per cell; the one with the least sum of squared distances is kept.
 TRIES = 5
-
-
-def _distances(x: Column, centres: Column) -> Column:
-    """Squared distance of a point to every centre."""
+# Differences that are written out one by one, as Spark compiles these and no functions over arrays.
+UNROLLED = 256
+
+
+def _distances(x: Column, centres: Column, n_centres: int, n_features: int) -> Column:
+    """Squared distance of a point to every centre; null beyond its own number of up to n_centres."""
+    if n_centres * n_features <= UNROLLED:
+        # From 0 on and feature by feature, like the aggregate below, so that the sums are the very same.
+        found = []
+        for k in range(max(1, n_centres)):
+            total = F.lit(0.0)
+            for i in range(n_features):
+                gap = F.get(F.get(centres, F.lit(k)), F.lit(i)) - F.get(x, F.lit(i))
+                total = total + gap * gap
+            found.append(total)
+        return F.array(*found)
     squares = lambda c: F.zip_with(c, x, lambda a, b: (a - b) * (a - b))
     return F.transform(centres, lambda c: F.aggregate(squares(c), F.lit(0.0), lambda s, v: s + v))
 
 
-def _scaled(x: Column) -> Column:
-    shifted = F.zip_with(x, F.col("_shift"), lambda v, s: v - s)
-    return F.zip_with(shifted, F.col("_width"), lambda v, w: v / w)
+def _scaled(x: Column, n_features: int) -> Column:
+    shift, width = F.col("_shift"), F.col("_width")
+    return F.array(*[(F.get(x, F.lit(i)) - F.get(shift, F.lit(i))) / F.get(width, F.lit(i)) for i in range(n_features)])
 
 
 @dataclass
@@ -41,13 +53,16 @@ class CellStates:
     features: list[str]
     fitted: DataFrame
     failures: DataFrame
+    most: int
 
     def transform(self, windows: DataFrame) -> DataFrame:
         """Windows of the fitted cells with their `state`; windows of other cells are left out."""
         x = F.array(*[F.col(c).cast("double") for c in self.features])
-        joined = windows.join(small_side(self.fitted), self.cell).withColumn("_d", _distances(_scaled(x), F.col("_centres")))
+        n = len(self.features)
+        joined = windows.join(small_side(self.fitted), self.cell).withColumn("_x", _scaled(x, n))
+        joined = joined.withColumn("_d", _distances(F.col("_x"), F.col("_centres"), self.most, n))
         number = F.array_position("_d", F.array_min("_d")) - 1
-        return joined.withColumn("state", state_name(number)).drop("_shift", "_width", "_centres", "_d")
+        return joined.withColumn("state", state_name(number)).drop("_shift", "_width", "_centres", "_x", "_d")
 
 
 def _statistics(windows: DataFrame, cell: list[str], features: list[str], normalization: str) -> DataFrame:
@@ -67,8 +82,8 @@ def _statistics(windows: DataFrame, cell: list[str], features: list[str], normal
 class _Fit:
     """Centres of the open cells and tries, moved by weighted sums; keys are cells with the number of the try."""
 
-    def __init__(self, points: DataFrame, cell: list[str], clusters: str, seed: int, tries: int):
-        self.points, self.seed, self.tries = points, seed, tries
+    def __init__(self, points: DataFrame, cell: list[str], clusters: str, seed: int, tries: int, n_features: int):
+        self.points, self.seed, self.tries, self.n_features = points, seed, tries, n_features
         self.on, self.cell = cell, [*cell, "_try"]
         self.types = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in cell)
         self.wanted = cell.index(clusters)
@@ -78,8 +93,10 @@ class _Fit:
     def _near(self, keys: list[tuple]) -> DataFrame:
         """Points of some cells with their distances to the centres."""
         rows = [(*key, self.centres[key].tolist()) for key in keys]
-        frame = self.points.sparkSession.createDataFrame(rows, f"{self.types}, _try int, _centres array<array<double>>")
-        return self.points.join(held_side(frame, len(rows)), self.on).withColumn("_d", _distances(F.col("x"), F.col("_centres")))
+        frame = held_rows(self.points.sparkSession, rows, f"{self.types}, _try int, _centres array<array<double>>")
+        most = max((len(self.centres[key]) for key in keys), default=0)
+        apart = _distances(F.col("x"), F.col("_centres"), most, self.n_features)
+        return self.points.join(held_side(frame, len(rows)), self.on).withColumn("_d", apart)
 
     def seeded(self) -> None:
         """k-means++: every next centre is drawn by weight times squared distance, with hashes as dice."""
@@ -169,8 +186,9 @@ def fit_cells(
         failures.append(wanted.select(*cell).distinct().join(facts, cell, "left_anti").select(*cell, F.lit("no windows to fit").alias("reason")))
     whole = facts.where("_lost = 0").drop("_lost")
     points = windows.groupBy(*cell, values.alias("x")).agg(F.count("*").alias("w"))
-    scaled = cut_lineage(points.join(small_side(whole), cell).select(*cell, F.xxhash64("x").alias("h"), _scaled(F.col("x")).alias("x"), "w"))
-    fit = _Fit(scaled, cell, clusters, seed, tries)
+    x = _scaled(F.col("x"), len(features)).alias("x")
+    scaled = cut_lineage(points.join(small_side(whole), cell).select(*cell, F.xxhash64("x").alias("h"), x, "w"))
+    fit = _Fit(scaled, cell, clusters, seed, tries, len(features))
     fit.seeded()
     fit.moved(max_rounds, tolerance)
     failed = [(*key, reason) for key, reason in fit.failed.items()]
@@ -183,8 +201,9 @@ def fit_cells(
         shift, width = scalers[key]
         order = sorted(range(len(centres)), key=lambda i: tuple(np.round(centres[i] * width + shift, 9)))
         rows.append((*key, shift.tolist(), width.tolist(), centres[order].tolist()))
-    fitted = spark.createDataFrame(rows, f"{fit.types}, _shift array<double>, _width array<double>, _centres array<array<double>>")
+    fitted = held_rows(spark, rows, f"{fit.types}, _shift array<double>, _width array<double>, _centres array<array<double>>")
+    most = max((len(row[-1]) for row in rows), default=0)
     reasons = failures[0]
     for more in failures[1:]:
         reasons = reasons.unionByName(more)
-    return CellStates(list(cell), list(features), fitted, reasons)
+    return CellStates(list(cell), list(features), fitted, reasons, most)

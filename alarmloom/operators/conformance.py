@@ -50,9 +50,14 @@ class Models:
         self.log = list(log)
         self.trees = read_trees([row.asDict() for row in tree.collect()], log)
         self.parts: dict[tuple, Markings | Walks | Intervals] = {}
+        compiled: dict[str, Markings | Walks | Intervals] = {}
         for key, root in self.trees.items():
-            held = [self._compiled(part) for part in concurrent_parts(root)]
-            self.parts.update({(*key, number): part for number, part in enumerate(held)})
+            for number, part in enumerate(concurrent_parts(root)):
+                # Equal parts of several logs are one object, so that their sequences go side by side.
+                name = repr(part)
+                if name not in compiled:
+                    compiled[name] = self._compiled(part)
+                self.parts[(*key, number)] = compiled[name]
         self.spark = tree.sparkSession
         self.types = "".join(f"{c} {tree.schema[c].dataType.simpleString()}, " for c in log)
 
@@ -94,9 +99,14 @@ def _sequences(steps: DataFrame, keys: list[str], split: int | None) -> DataFram
 
 
 def _batches(batch: pd.DataFrame, keys: list[str], parts: dict) -> Iterator[tuple]:
-    """Rows of one part at a time, as label numbers, in slices that fit the cost table."""
-    for key, rows in batch.groupby(keys, sort=False):
-        part = parts[key]
+    """Rows of one part at a time, as label numbers, in slices that fit the cost table; logs with equal parts go together."""
+    batch = batch.dropna(subset=keys)
+    alike: dict[int, list[int]] = defaultdict(list)
+    held = [parts[key] for key in zip(*(batch[c] for c in keys))]
+    for i, part in enumerate(held):
+        alike[id(part)].append(i)
+    for places in alike.values():
+        part, rows = held[places[0]], batch.iloc[places]
         number = {label: i for i, label in enumerate(part.labels)}
         widest = max((len(before) for before, _ in part.moves), default=1)
         step = max(1, BATCH_CELLS // (part.size * max(widest, len(part.labels), 1)))
@@ -106,6 +116,14 @@ def _batches(batch: pd.DataFrame, keys: list[str], parts: dict) -> Iterator[tupl
             yield part, chunk, coded
 
 
+def _distinct(coded: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sequences that occur, each once, and for every row the one that it has."""
+    number: dict[bytes, int] = {}
+    place = np.array([number.setdefault(c.tobytes(), len(number)) for c in coded], dtype=np.int64)
+    _, first = np.unique(place, return_index=True)
+    return [coded[i] for i in first], place
+
+
 RESULT = "cost bigint, deviations bigint, n bigint, labels array<string>, synced array<bigint>"
 
 
@@ -121,16 +139,18 @@ def _align_whole(sequences: DataFrame, keys: list[str], model_keys: list[str], p
     def align(batches):
         for batch in batches:
             for part, rows, coded in _batches(batch, model_keys, parts):
-                start = np.repeat(part.cost[0][None, :], len(coded), axis=0)
-                cost, _, origin, synced, strayed = advance(part, start, coded, track=True)
+                # Parts have few activities, so traces that differ are often alike in a part.
+                once, place = _distinct(coded)
+                start = np.repeat(part.cost[0][None, :], len(once), axis=0)
+                cost, _, origin, synced, strayed = advance(part, start, once, track=True)
                 # The marking come from was reached by model moves before the first event.
                 total = strayed[:, part.final] + part.visible[0, origin[:, part.final]]
                 yield rows[keys].assign(
-                    cost=cost[:, part.final] - part.shortest,
-                    deviations=[_beyond(d, part) for d in total],
+                    cost=(cost[:, part.final] - part.shortest)[place],
+                    deviations=[_beyond(d, part) for d in total[place]],
                     n=[len(c) for c in coded],
                     labels=[part.labels] * len(coded),
-                    synced=list(synced[:, part.final, :]),
+                    synced=list(synced[place, part.final, :]),
                 )
 
     return sequences.select(*keys, "activities").mapInPandas(align, key_types + RESULT)

@@ -89,3 +89,18 @@ def test_grid_cells_do_not_depend_on_each_other(spark):
     mine = whole.table.where("repetition = 2 and window_size = 5")
     assert alone.errors.count() == 0 and alone.table.count() == 5
     assert sorted(map(str, mine.collect())) == sorted(map(str, alone.table.collect()))
+
+
+def test_distances_written_out_are_those_over_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 50, 3).tolist(), rng.normal(0, 50, (i % 3 + 1, 3)).tolist()) for i in range(60)]
+    frame = cells.held_rows(spark, rows, "i int, x array<double>, c array<array<double>>")
+    assert "LocalTableScan" in frame._jdf.queryExecution().toString()
+    found = []
+    for limit in (256, 0):
+        monkeypatch.setattr(cells, "UNROLLED", limit)
+        held = frame.select("i", "x", "c", cells._distances(F.col("x"), F.col("c"), 3, 3).alias("d"))
+        found.append(held.select("i", F.filter("d", lambda v: v.isNotNull()).alias("d"), F.array_min("d").alias("m")).orderBy("i").collect())
+    assert found[0] == found[1]
+    assert [len(r["d"]) for r in found[0]] == [len(c) for _, _, c in rows]
+    assert cells.held_rows(spark, [], "i int, c array<double>").collect() == []

@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_discovery import cheapest
@@ -134,3 +135,29 @@ def test_alarms_of_an_eleven_wide_model_are_rated(spark, monkeypatch):
     rated = triage.rate(events, triage.Trained(tree, {"control_flow": profile}, {}), trace)
     assert rated.banded.count() == 3
     assert rated.table.agg(F.sum("tp_count"), F.sum("fp_count")).first()[:] == (1, 2)
+
+
+def test_equal_parts_and_sequences_are_aligned_once(spark):
+    """Logs with equal parts share one, whose rows go side by side; a row without a log goes nowhere."""
+    nodes = [("0", None, 0, "loop", None), ("0.0", "0", 0, "activity", "a"), ("0.1", "0", 1, "activity", "b")]
+    rows = [(log, *node) for log in (1, 2, 3) for node in nodes[: 3 if log < 3 else 0]]
+    rows.append((3, "0", None, 0, "activity", "a"))
+    tree = spark.createDataFrame(rows, "log int, node string, parent string, position int, operator string, activity string")
+    models = conformance.Models(tree, ["log"])
+    assert models.parts[1, 0] is models.parts[2, 0] and models.parts[3, 0] is not models.parts[1, 0]
+    traces = [(1, list("aba")), (2, list("aba")), (2, list("ab")), (None, list("a")), (3, list("a")), (1, list("ab"))]
+    batch = pd.DataFrame({"log": [t[0] for t in traces], conformance.PART: 0, "activities": [t[1] for t in traces]})
+    found = list(conformance._batches(batch, ["log", conformance.PART], models.parts))
+    assert sorted(len(coded) for _, _, coded in found) == [1, 4]
+    part, held, coded = max(found, key=lambda x: len(x[2]))
+    once, place = conformance._distinct(coded)
+    assert len(once) == 2 and [once[k].tolist() for k in place] == [c.tolist() for c in coded]
+    given = spark.createDataFrame([t for t in traces if t[0]], "log int, activities array<string>")
+    given = given.withColumn(conformance.PART, F.lit(0)).withColumn("i", F.monotonically_increasing_id())
+    keys = ["i", "log", conformance.PART]
+    aligned = conformance._align_whole(given, keys, ["log", conformance.PART], models.parts).join(given, keys).collect()
+    for row in aligned:
+        own = models.parts[row["log"], 0]
+        number = np.array([own.labels.index(a) for a in row["activities"]], dtype=np.int64)
+        assert (row["cost"], row["deviations"], row["synced"]) == (lambda c, d, s: (c - own.shortest, d - own.shortest // LOG_MOVE, s))(*by_markings(own, number))
+    assert len(aligned) == 5
