@@ -175,6 +175,10 @@ def grid_windows(packets: DataFrame, parts: DataFrame, sizes: list[int], cluster
         window_rows(packets, size, keys, split_at).withColumn("window_size", F.lit(size).cast("bigint")) for size in sizes
     ]
     rows = reduce(lambda a, b: a.unionByName(b), per_size)
+    # Cells multiply the rows, so before that they are dealt by number and not by their size. In the
+    # order of the keys, Spark would take them as dealt already and put small partitions together.
+    n = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, *reversed(keys), *(["window_no"] if split_at else []))
     members = small_side(parts.withColumnRenamed("id", "case_id"))
     numbers = F.array(*[F.lit(k).cast("bigint") for k in clusters])
     return rows.join(members, keys).withColumn("clusters", F.explode(numbers))
