@@ -104,3 +104,10 @@ def test_distances_written_out_are_those_over_arrays(spark, monkeypatch):
     assert found[0] == found[1]
     assert [len(r["d"]) for r in found[0]] == [len(c) for _, _, c in rows]
     assert cells.held_rows(spark, [], "i int, c array<double>").collect() == []
+
+
+def test_windows_are_dealt_by_number_before_cells_multiply_them(spark):
+    source = fx.packets(spark, SF)
+    parts = split.repeated_alarm_split(*fx.grid_alarms(source.rows), fx.ALARM_DETECTORS)
+    rows = triage.grid_windows(source.rows.drop("phase"), parts, [3], [2, 3])
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
